@@ -1,5 +1,52 @@
-"""A training corpus in stages, each written and read again before the next."""
-STAGES = []
+"""A training corpus in four stages, each written as Parquet and read again by the next.
+
+Documents without a language go, one of each group of near copies stays, long strings that come more than once are cut
+out, and what is left is packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import langid, packing, repeats, simhash
+from ledgerloom.llm.queries import table, tokenizer_file
+from ledgerloom.llm.scratch import new_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose text is null, has no letter or no clear language go."""
+    return langid.with_language(docs).select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup on sets of five-word shingles at a similarity of 0.8: the smallest doc_id of each group stays."""
+    return simhash.near_copies_out(docs, words=5).select(COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of strings of 200 bytes, fewer than 50 words have, that come more than once go; n_chars follows."""
+    left = repeats.without_repeats(docs, length=200)
+    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(COLUMNS)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of 1,024 tokens; documents of which nothing is left are not packed."""
+    return packing.pack_documents(docs.filter("text <> ''"), tokenizer_file(), capacity=1024, end_id=2)
+
+
+STAGES = [("language ID", language), ("SimHash near-dedup", near_copies), ("suffix-array dedup", repeated_strings), ("best-fit packing", packing_plan)]
+
+#: Hashing, suffixes and byte-pair encoding have no SQL; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

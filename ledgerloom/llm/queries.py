@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, packing, repeats, simhash, store
+from ledgerloom.llm import bpe, langid, packing, repeats, simhash, store
 from ledgerloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-store")
     store.write_store(table(spark, sf_dir, "documents"), tokenizer_file(), folder, end_id=0)
     return store.digests(spark, folder)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
