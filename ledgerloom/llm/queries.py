@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, omh, packing, repeats, simhash, store
+from ledgerloom.llm import bpe, langid, omh, packing, rabitq, repeats, simhash, store
 from ledgerloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_rabitq_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_copies(table(spark, sf_dir, "embeddings"), least=0.9)
