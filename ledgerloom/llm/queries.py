@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, omh, packing, rabitq, repeats, simhash, store
+from ledgerloom.llm import bpe, langid, lm, omh, packing, preference, rabitq, repeats, simhash, store
 from ledgerloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,65 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_rabitq_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_copies(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query
+def op7_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_rows(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_preference_rows"] = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS idx,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+places AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY role, text ORDER BY conv_id) - 1 AS place FROM turns WHERE idx = 0),
+sides AS (
+  SELECT conv_id, CASE WHEN place % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+         min(conv_id) OVER (PARTITION BY role, text, place // 2) AS pair_id
+  FROM places),
+paired AS (SELECT s.pair_id, s.side, t.idx, t.role, t.text, '<|' || t.role || '|>' || chr(10) AS head FROM turns t JOIN sides s USING (conv_id)),
+shared AS (
+  SELECT pair_id, idx, bool_and(n = 2) AS same
+  FROM (SELECT pair_id, idx, role, text, count(*) AS n FROM paired GROUP BY ALL) GROUP BY ALL),
+common AS (SELECT pair_id, coalesce(min(idx) FILTER (WHERE NOT same), max(idx) + 1) AS n_common FROM shared GROUP BY pair_id),
+pieces AS (
+  SELECT p.*, c.n_common, p.idx >= c.n_common AS later, head || text || '<|end|>' || chr(10) AS piece FROM paired p JOIN common c USING (pair_id)),
+spans AS (
+  SELECT *, sum(CASE WHEN later THEN length(piece) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY idx) AS stop FROM pieces)
+SELECT pair_id, max(n_common)::BIGINT AS n_common,
+  coalesce(string_agg(piece, '' ORDER BY idx) FILTER (WHERE side = 'chosen' AND NOT later), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY idx) FILTER (WHERE side = 'chosen' AND later), '') AS chosen,
+  coalesce(string_agg(piece, '' ORDER BY idx) FILTER (WHERE side = 'rejected' AND later), '') AS rejected,
+  coalesce(string_agg((stop - length(piece) + length(head))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY idx) FILTER (WHERE side = 'chosen' AND later AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((stop - length(piece) + length(head))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY idx) FILTER (WHERE side = 'rejected' AND later AND role = 'assistant'), '') AS rejected_mask
+FROM spans GROUP BY pair_id
+"""
+
+
+@query
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), order=5, least=2)
+
+
+ORACLES["op1_stupid_backoff"] = """
+WITH points AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, length(coalesce(text, '')) + 1)) AS i FROM documents),
+grams AS (
+  SELECT doc_id, i, k, substr(text, i - k + 1, k) AS gram FROM points, (SELECT unnest(range(1, 6)) AS k) WHERE k <= i),
+counts AS (SELECT gram, count(*) AS n FROM grams GROUP BY gram),
+total AS (SELECT count(*) AS n FROM points),
+ratios AS (
+  SELECT g.doc_id, g.i, g.k, c.n, CASE WHEN g.k = 1 THEN c.n / t.n WHEN c.n >= 2 THEN c.n / h.n END AS ratio
+  FROM grams g JOIN counts c USING (gram) CROSS JOIN total t LEFT JOIN counts h ON g.k > 1 AND h.gram = left(g.gram, g.k - 1)),
+best AS (
+  SELECT doc_id, i, max(k) AS most, max(k) FILTER (WHERE ratio IS NOT NULL) AS k, arg_max(ratio, k) FILTER (WHERE ratio IS NOT NULL) AS ratio
+  FROM ratios GROUP BY doc_id, i),
+scored AS (
+  SELECT doc_id, k < most AS backed, CAST(round_even(ln(CASE most - k WHEN 0 THEN ratio WHEN 1 THEN 0.4::DOUBLE * ratio WHEN 2 THEN 0.4::DOUBLE * (0.4::DOUBLE * ratio)
+    WHEN 3 THEN 0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * ratio)) ELSE 0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * ratio))) END) * 1000000, 0) AS BIGINT) AS micro
+  FROM best)
+SELECT d.doc_id, count(s.micro) AS n_grams, count(*) FILTER (WHERE s.backed) AS n_backed_off, coalesce(sum(s.micro), 0)::BIGINT AS log_score_micro
+FROM documents d LEFT JOIN scored s USING (doc_id) GROUP BY d.doc_id
+"""
