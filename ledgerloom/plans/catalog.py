@@ -15,6 +15,9 @@ from ledgerloom.functions import dates, nested, text
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import filters, joins, ranking, reshape
 from ledgerloom.plans.inputs import VIEWS, duckdb_view, spark_view
+from ledgerloom.sources import ingest, publish
+from ledgerloom.streaming import feeds
+from ledgerloom.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -635,3 +638,139 @@ def risk_flag(categories):
     rows = _courses(categories).select("id", nested.current_category_name("c").alias("name"), nested.current_started("c").alias("started"), nested.current_due("c").alias("due"))
     status = F.when(F.col("id") % 2 == 0, F.lit("離脱")).otherwise(F.lit("順調"))
     return rows.withColumn("status", status).select("id", nested.risk_flag("status", "due", "name", "started", "due", now()).alias("flag"))
+
+
+# sources, sinks and streams: written into the shared folder and read back
+
+
+@query("events", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 < 2")
+def read_envelope(events):
+    """Events as JSON answers: wrapped in data, as a bare list, and broken ones, which have no rows."""
+    spark, path = events.sparkSession, new_path(events.sparkSession, "pages")
+    row = F.struct("event_id", "user_id", "event_type")
+    pages = events.groupBy((F.col("event_id") % 3).alias("kind"), F.floor(F.col("event_id") / 300).alias("page")).agg(F.collect_list(row).alias("rows"))
+    body = F.when(F.col("kind") == 0, F.to_json(F.struct(F.col("rows").alias("data")))).when(F.col("kind") == 1, F.to_json("rows")).otherwise(F.lit("{bad"))
+    pages.select(body.alias("value"), F.concat_ws("-", "kind", "page").alias("part")).repartition("part").write.partitionBy("part").text(path)
+    found = ingest.read_envelope(spark, path, [*ingest.LIST_PATHS, *ingest.MEMBER_PATHS, *ingest.LOGIN_PATHS, *ingest.NESTED_PATHS])
+    field = lambda name, kind: F.try_variant_get("row", f"$.{name}", kind).alias(name)
+    return found.select(field("event_id", "bigint"), field("user_id", "bigint"), field("event_type", "string"))
+
+
+@query("events", sql="SELECT event_id, (event_id // 100) * 1000000 + event_id % 100 AS _seq FROM events WHERE event_id // 100 <= 5")
+def concat_pages(events):
+    pages = events.select("event_id", F.floor(F.col("event_id") / 100).alias("page"), (F.col("event_id") % 100).alias("pos"))
+    return ingest.concat_pages(pages, F.col("page"), F.lit(5)).select("event_id", "_seq")
+
+
+REPORT = "SELECT n_nationkey::VARCHAR AS followed_at, n_name AS name, NULL::VARCHAR AS consult, n_regionkey::VARCHAR AS region FROM nation"
+
+
+def _report(nation: DataFrame) -> DataFrame:
+    path = new_path(nation.sparkSession, "report") + ".csv"
+    nation.select(F.col("n_nationkey").alias(" 友達追加時刻 "), F.col("n_name").alias("名前"), F.col("n_regionkey").alias("third")).write.option("header", True).csv(path)
+    return ingest.read_report(nation.sparkSession, path)
+
+
+@query("nation", sql="SELECT n_nationkey::VARCHAR AS key, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
+def read_report(nation):
+    return _report(nation).toDF("key", "name", "region")
+
+
+@query("nation", sql=REPORT)
+def resolve_headers(nation):
+    names = {"followed_at": ["追加日", "友達追加時刻"], "name": ["名前"], "consult": ["個別相談"], "region": ["none"]}
+    return ingest.resolve_headers(_report(nation), names, positional={"region": 2})
+
+
+@query("pages", "orders", sql="SELECT page_id, 'p' || page_id AS name, 'm' || page_id AS email, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS report_date FROM pages JOIN orders ON o_orderkey = page_id")
+def extract_html_rows(pages, orders):
+    """The driver's pages have no tables, so each gets one, with a row that has a date, one without and one too short."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    row = lambda last: F.concat(F.lit("<tr>"), cell(F.concat(F.lit("p"), "page_id")), cell(F.concat(F.lit("<b>m</b>"), "page_id")), *[cell(F.lit("x"))] * 4, cell(last), F.lit("</tr>"))
+    table = F.concat("html", F.lit("<table><tbody>"), row(day), row(F.lit("-")), F.lit("<tr>"), cell(day), F.lit("</tr></tbody></table>"))
+    rows = pages.join(orders, F.col("page_id") == F.col("o_orderkey")).select("page_id", table.alias("html"))
+    return ingest.extract_html_rows(rows).drop("pos")
+
+
+@query("pages", sql="SELECT page_id, len(regexp_extract_all(html, '<li>\\s*<a ')) AS n FROM pages WHERE n > 0")
+def html_links(pages):
+    return ingest.html_cells(pages, "html", "page_id", "li", ("a",)).filter(F.size("cells") >= 2).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("nation", sql="SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'https://x/' || n_nationkey END AS name, 'https://x/' || n_nationkey AS url FROM nation")
+def read_channel_list(nation):
+    path, url = new_path(nation.sparkSession, "channels"), F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string"))
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(" , "), url)).when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(" ,"), url)).otherwise(url)
+    nation.select(line).union(nation.select(F.lit("  "))).write.text(path)
+    return ingest.read_channel_list(nation.sparkSession, path)
+
+
+@query("students", sql="SELECT _seq, name FROM @students")
+def write_snapshot(students):
+    path = new_path(students.sparkSession, "snapshot")
+    publish.write_snapshot(students.limit(3), path)
+    publish.write_snapshot(students.select("_seq", "name"), path)
+    return students.sparkSession.read.parquet(path)
+
+
+@query("students", sql="SELECT coalesce(nullif(trim(motivation), ''), 'unknown') AS motivation, count(*) AS n FROM @students GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM @students")
+def write_partitioned_csv(students):
+    spark, path = students.sparkSession, new_path(students.sparkSession, "csv")
+    publish.write_partitioned_csv(students, path)
+    by = spark.read.option("header", True).csv(f"{path}/by_motivation").groupBy("motivation").agg(F.count("*").alias("n"))
+    return by.union(spark.read.option("header", True).csv(f"{path}/all").agg(F.lit("all"), F.count("*")))
+
+
+@query("students", sql="SELECT _seq, name FROM @students")
+def copy_table(students):
+    spark = students.sparkSession
+    source, target, nothing = (new_path(spark, n) for n in ("source", "target", "empty"))
+    publish.write_snapshot(students.select("_seq", "name"), source)
+    publish.write_snapshot(students.select("_seq", "name").filter("false"), nothing)
+    publish.copy_table(spark, source, target)
+    publish.copy_table(spark, nothing, target)
+    return spark.read.parquet(target)
+
+
+@query("mentions", sql="SELECT CASE WHEN id % 2 = 0 THEN sender_id ELSE '' END AS recipient, CASE WHEN id % 2 = 0 THEN 'push' ELSE 'broadcast' END AS mode, id AS seq, 't' || id AS text FROM @mentions WHERE NOT is_read")
+def write_outbox(mentions):
+    path = new_path(mentions.sparkSession, "outbox")
+    publish.write_outbox(_messages(filters.unread_mentions(mentions)), path)
+    return mentions.sparkSession.read.parquet(path)
+
+
+def _messages(mentions: DataFrame) -> DataFrame:
+    recipient = F.when(F.col("id") % 2 == 0, F.col("sender_id")).otherwise(F.lit(""))
+    return mentions.select(recipient.alias("recipient"), F.col("id").alias("seq"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+
+
+def _streamed(df: DataFrame) -> DataFrame:
+    """A frame as a stream of files in which every row was polled twice."""
+    path = new_path(df.sparkSession, "landed")
+    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query("mentions", sql="SELECT CASE WHEN id % 2 = 0 THEN sender_id ELSE '' END AS recipient, CASE WHEN id % 2 = 0 THEN 'push' ELSE 'broadcast' END AS mode, id AS seq, 't' || id AS text FROM @mentions WHERE channel = 'click'")
+def stream_chats(mentions):
+    spark, path = mentions.sparkSession, new_path(mentions.sparkSession, "outbox")
+    chats = feeds.stream_chats(_streamed(mentions), "click", ts="created_at")
+    feeds.to_outbox(_messages(chats), path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("mentions", sql="SELECT id, sender_id, created_at FROM @mentions WHERE NOT is_read")
+def stream_unread(mentions):
+    spark, path = mentions.sparkSession, new_path(mentions.sparkSession, "unread")
+    unread = feeds.stream_unread(_streamed(mentions), ts="created_at").select("id", "sender_id", "created_at")
+    feeds.to_table(unread, path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("leads", sql="SELECT date_trunc('month', followed_at)::TIMESTAMP AS month, 2 * count(*) AS n FROM @leads GROUP BY 1")
+def stream_monthly(leads):
+    spark, path = leads.sparkSession, new_path(leads.sparkSession, "monthly")
+    feeds.totals_to_table(feeds.stream_monthly(_streamed(leads), "followed_at"), path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path)

@@ -38,3 +38,8 @@ def to_outbox(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals_to_table(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of running totals, written anew with each batch."""
+    return totals.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
