@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ledgerloom.workspace import new_path
 
 
 class Scratch:
@@ -37,6 +21,14 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Like keep(), as a table bucketed by a column: groups of that column are then read without a shuffle."""
+        path = new_path(self.spark, name)
+        table = "_".join(path.rsplit("/", 1)[1].split("-"))
+        writer = df.write.bucketBy(shuffle_partitions(self.spark), by).option("compression", "zstd").option("path", path)
+        writer.saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for table in tables:
