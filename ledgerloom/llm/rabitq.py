@@ -55,6 +55,8 @@ def encode(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray,
 
 def code_products(code: np.ndarray, steps: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
     """Inner products of each coded unit vector (rows) with each rounded vector (columns)."""
+    # numpy counts the bits of signed integers without their sign
+    code, steps = code.view(np.uint64), steps.view(np.uint64)
     ones = np.bitwise_count(code).sum(1, dtype=np.int64)
     total = np.zeros((len(code), len(steps)), np.float32)
     for k in range(PLANES):
