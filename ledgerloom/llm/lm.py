@@ -20,25 +20,32 @@ from pyspark.sql import types as T
 from ledgerloom.llm.scratch import Scratch
 
 BACKOFF = 0.4
-BLOCK_ROWS = 2048
-BLOCK_CHARS = 8 << 20
+BLOCK_ROWS = 8192
+BLOCK_CHARS = 32 << 20
 SLICE = 1 << 18
 MICRO = 1_000_000
+UNKNOWN = np.iinfo(np.int64).max
 
 
 def _points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
-def grams(points: np.ndarray, order: int) -> np.ndarray:
-    """64-bit hashes of all n-grams of an order; order 0 is the empty one."""
-    h = np.full(max(len(points) - order + 1, 0), order + 1, np.uint64)
-    for k in range(order):
-        h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+def _hash(columns) -> np.ndarray:
+    """64-bit hashes of n-grams, given as their first, second, ... points."""
+    h = np.full(len(columns[0]), len(columns) + 1, np.uint64)
+    for points in columns:
+        h = (h ^ points) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
+def grams(points: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of all n-grams of an order."""
+    n = max(len(points) - order + 1, 0)
+    return _hash([points[k : k + n] for k in range(order)])
+
+
 def _blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Numbers rows by block: BLOCK_ROWS rows or BLOCK_CHARS code points at most, or one row."""
     block, rows, size = TaskContext.get().partitionId() << 32, 0, 0
@@ -82,32 +89,55 @@ def _kinds(order: int):
     return run
 
 
+class _Scores:
+    """Scores of n-grams under the counts that a block knows, each n-gram of the full order worked out once."""
+
+    def __init__(self, known: pd.DataFrame, total: int, least: int):
+        grams_, self.total, self.least = known["gram"].to_numpy().view(np.uint64), total, least
+        order = np.argsort(grams_)
+        self.table, self.counts = grams_[order], known["n"].to_numpy()[order]
+        self.micro, self.backed = np.full(len(order), UNKNOWN), np.zeros(len(order), bool)
+
+    def count(self, columns) -> np.ndarray:
+        return self.counts[np.searchsorted(self.table, _hash(columns))]
+
+    def work_out(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores in millionths of the last points of windows, a row each, and whether the longest history was of no use."""
+        columns, width = list(windows.T), windows.shape[1]
+        ratio, seen = self.count(columns[-1:]) / self.total, np.ones(len(windows), bool)
+        for k in range(2, width + 1):
+            own = self.count(columns[-k:])
+            seen = own >= self.least
+            # a count that is large enough has a history that comes at least as often
+            ratio = np.where(seen, own / self.count(columns[-k:-1]), BACKOFF * ratio)
+        return np.rint(np.log(ratio) * MICRO).astype(np.int64), ~seen
+
+    def add_up(self, points: np.ndarray, order: int) -> tuple[int, int]:
+        """Sums over all n-grams of the full order in points."""
+        at = np.searchsorted(self.table, grams(points, order))
+        new, first = np.unique(at[self.micro[at] == UNKNOWN], return_index=True)
+        if len(new):
+            places = np.flatnonzero(self.micro[at] == UNKNOWN)[first]
+            self.micro[new], self.backed[new] = self.work_out(points[places[:, None] + np.arange(order)])
+        return int(self.micro[at].sum()), int(self.backed[at].sum())
+
+
 def _scored(order: int, total: int, least: int):
     def run(known: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        known = known.assign(gram=known["gram"].to_numpy().view(np.uint64)).sort_values("gram")
-        table, counts = known["gram"].to_numpy(), known["n"].to_numpy()
-        rows = []
-        for key, text in zip(block["doc_id"], block["text"]):
-            points, score, backed = _points(text), 0, 0
-            for at in range(0, len(points), SLICE):
-                reach = min(at, order - 1)
-                part = points[at - reach : at + SLICE]
-                ratio = history = None
-                for k in range(1, order + 1):
-                    h = grams(part, k)
-                    own = counts[np.searchsorted(table, h)] if len(h) else np.zeros(0, np.int64)
-                    if k == 1:
-                        ratio, longest = own / total, np.ones(len(own), np.int64)
-                    elif len(own):
-                        # a history's count is that of the n-gram one shorter that ends one earlier
-                        seen = own >= least
-                        ratio[k - 1 :] = np.where(seen, own / history[: len(own)], BACKOFF * ratio[k - 1 :])
-                        longest[k - 1 :][seen] = k
-                    history = own
-                score += int(np.rint(np.log(ratio[reach:]) * MICRO).astype(np.int64).sum())
-                backed += int((longest[reach:] < np.minimum(np.arange(at, at + len(part) - reach) + 1, order)).sum())
-            rows.append((key, len(points), backed, score))
-        return pd.DataFrame(rows, columns=["doc_id", "n_grams", "n_backed_off", "log_score_micro"])
+        scores_, texts = _Scores(known, total, least), list(map(_points, block["text"]))
+        score, backed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for width in range(1, order):
+            long = np.flatnonzero([len(p) >= width for p in texts])
+            if len(long):
+                micro, back = scores_.work_out(np.stack([texts[k][:width] for k in long]))
+                score[long] += micro
+                backed[long] += back
+        for k, points in enumerate(texts):
+            for at in range(0, len(points) - order + 1, SLICE):
+                micro, back = scores_.add_up(points[at : at + SLICE + order - 1], order)
+                score[k] += micro
+                backed[k] += back
+        return pd.DataFrame({"doc_id": block["doc_id"], "n_grams": list(map(len, texts)), "n_backed_off": backed, "log_score_micro": score})
 
     return run
 
