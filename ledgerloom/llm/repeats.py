@@ -23,17 +23,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.scratch import Scratch
 
-FAN = 16
-GRAM = 16
+FAN = 4
 TILE = 1 << 18
 PLACE = (1 << 20) - 1
-NO_ID = -(1 << 63)
+BLOCK_ROWS = 4096
+BLOCK_BYTES = 8 << 20
 
 
 def _picked(buf: np.ndarray, reach: int) -> np.ndarray:
@@ -82,123 +83,111 @@ def anchors(raws: list[bytes], length: int, reach: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] if x else np.zeros(0, np.int64) for x in found]
 
 
-def _mark(text: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(text)
-    return ((d >> 64) ^ 1 << 63) - (1 << 63), ((d & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
+def _hash(text: bytes, seed: int = 0) -> int:
+    return (xxhash.xxh3_64_intdigest(text, seed) ^ 1 << 63) - (1 << 63)
 
 
-def _core(text: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(text) ^ 1 << 63) - (1 << 63)
+MEMBER = "part long, row int, pos int, node int, core long, hull long, whole boolean"
+NAMES = [x.split()[0] for x in MEMBER.split(", ")]
+HULL = 1  # seed
 
 
-MEMBER = "id long, tk int, pos int, node int, core long, hull_a long, hull_b long, whole boolean"
-NAMES = [x.split()[0] for x in MEMBER.split(", ")]
+def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in blocks (part) of BLOCK_ROWS rows or BLOCK_BYTES compressed bytes at most, or one row, numbered in them (row)."""
+    squeeze, block, row, size = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        packed = [squeeze.compress((t or "").encode()) for t in batch["text"]]
+        parts, rows = [], []
+        for p in packed:
+            if row and (row >= BLOCK_ROWS or size + len(p) > BLOCK_BYTES):
+                block, row, size = block + 1, 0, 0
+            parts.append(block)
+            rows.append(row)
+            row, size = row + 1, size + len(p)
+        yield batch.drop(columns="text").assign(packed=packed, part=parts, row=rows)
 
 
 def _members(length: int, reach: int, hulls: bool):
-    """The first level: a row for each anchor of (id, tk, text), with its hull, or its core alone."""
+    """The first level: a row for each anchor, with its hull, or its core alone."""
     q = length - reach + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raws = [(t or "").encode() for t in batch["text"]]
+            raws = list(map(zstandard.decompress, batch["packed"]))
             places = anchors(raws, length, reach)
-            cores = [_core(r[a : a + q]) for r, p in zip(raws, places) for a in p.tolist()]
+            cores = [_hash(r[a : a + q]) for r, p in zip(raws, places) for a in p.tolist()]
             if not hulls:
-                yield pd.DataFrame({"core": np.array(cores, np.int64)})
+                yield pd.DataFrame({"node": 0, "core": np.array(cores, np.int64)})
                 continue
             n = list(map(len, places))
-            out = {"id": np.repeat(batch["id"].to_numpy(), n), "tk": np.repeat(batch["tk"].to_numpy(), n), "pos": np.concatenate(places) if n else [], "node": 0, "core": cores}
-            marks = [
-                (*_mark(r[a - reach + 1 : a + length]), True) if a >= reach - 1 and a + length <= len(r) else (i, k << 32 | a, False)
-                for i, k, r, p in zip(batch["id"].tolist(), batch["tk"].tolist(), raws, places)
-                for a in p.tolist()
-            ]
-            yield pd.DataFrame(out | dict(zip(("hull_a", "hull_b", "whole"), zip(*marks) if marks else ([], [], []))))
+            part, row, pos = np.repeat(batch["part"].to_numpy(), n), np.repeat(batch["row"].to_numpy(), n), np.concatenate(places) if n else np.zeros(0, int)
+            whole = (pos >= reach - 1) & (pos + length <= np.repeat(np.fromiter(map(len, raws), np.int64, len(raws)), n))
+            texts = (r for r, k in zip(raws, n) for _ in range(k))
+            hull = [_hash(r[a - reach + 1 : a + length], HULL) if w else _hash(b"%d %d %d" % (b, k, a)) for r, a, w, b, k in zip(texts, pos.tolist(), whole.tolist(), part.tolist(), row.tolist())]
+            yield pd.DataFrame({"part": part, "row": row, "pos": pos, "node": 0, "core": cores, "hull": hull, "whole": whole})
 
     return run
 
 
-def _parts(length: int, node_width: int):
-    """A later level: rows of open members with their surroundings, a row for each range of node_width offsets in theirs."""
+def _parts(length: int, width: int, node_width: int, hulls: bool):
+    """A later level: from the open members and the texts of a block, a row for each range of node_width offsets in a member's width."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for m in batch.itertuples(index=False):
-                # around: the bytes from `before` bytes ahead of the anchor
-                for lo in range(m.first, m.first + m.width, node_width):
+    def run(still: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        rows, packed = [], dict(zip(texts["row"], texts["packed"]))
+        for row, own in still.groupby("row", sort=False):
+            raw = zstandard.decompress(packed[row])
+            for part, a, first in zip(own["part"].tolist(), own["pos"].tolist(), own["node"].tolist()):
+                for lo in range(first, first + width, node_width):
                     hi = lo + node_width - 1
-                    if lo > m.before or m.before - hi + length > len(m.around):
+                    if lo > a or a - hi + length > len(raw):
                         continue
-                    core = m.around[max(0, m.before - lo) : m.before - hi + length]
-                    whole = hi <= m.before and m.before - lo + length <= len(m.around)
-                    hull = _mark(m.around[m.before - hi : m.before - lo + length]) if whole else (m.id, m.tk << 32 | m.pos)
-                    rows.append((m.id, m.tk, m.pos, lo, _core(core), *hull, whole))
-            yield pd.DataFrame(rows, columns=NAMES)
-
-    return run
-
-
-def _surroundings(length: int, reach: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for m in batch.itertuples(index=False):
-                raw = zstandard.decompress(m.packed)
-                rows += [(m.id, m.tk, a, b := min(a, reach - 1), raw[a - b : a + length]) for a in map(int, m.places)]
-            yield pd.DataFrame(rows, columns=["id", "tk", "pos", "before", "around"])
+                    core = _hash(raw[max(0, a - lo) : a - hi + length])
+                    if not hulls:
+                        rows.append((lo, core))
+                        continue
+                    whole = hi <= a and a - lo + length <= len(raw)
+                    hull = _hash(raw[a - hi : a - lo + length], HULL) if whole else _hash(b"%d %d %d" % (part, row, a))
+                    rows.append((part, row, a, lo, core, hull, whole))
+        return pd.DataFrame(rows, columns=NAMES if hulls else ["node", "core"])
 
     return run
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    squeeze = zstandard.ZstdCompressor(1)
-    for batch in batches:
-        yield batch.assign(packed=[squeeze.compress((t or "").encode()) for t in batch["text"]]).drop(columns="text")
+def _resolve(cores: DataFrame, members: DataFrame, width: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of a level: the strings that repeat, as (part, row, start, stop), and the members that stay open.
 
-
-def _resolve(members: DataFrame, first_width: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of a level's members: the strings that repeat, as (id, tk, start, stop), and the members that stay open."""
-    kind = ["node", "core", "hull_a", "hull_b", "whole"]
-    classes = members.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "pos")).alias("first"))
+    Single cores go first, counted before they are shuffled. What comes back to the members are classes that are written
+    by then, so that a core with very many members is a skewed join, which Spark splits.
+    """
+    common = scratch.keep(cores.groupBy("node", "core").count().filter("count > 1").select("node", "core"), "common")
+    members = scratch.keep(members.join(common, ["node", "core"], "left_semi").select(NAMES), "members")
+    kind = ["node", "core", "hull", "whole"]
+    classes = members.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("part", "row", "pos")).alias("first"))
     classes = scratch.keep(classes, "classes")
     mixed = classes.groupBy("node", "core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("node", "core")
-    still = classes.join(mixed, ["node", "core"], "left_semi").select("first.*", "node")
-    still = scratch.keep(still, "open")
+    still = scratch.keep(classes.join(mixed, ["node", "core"], "left_semi").select("first.*", "node"), "open")
     full = scratch.keep(classes.filter("n > 1 and whole").select(*kind), "full")
     hit = members.join(full, kind, "left_semi")
-    spans = hit.select("id", "tk", (F.col("pos") - F.col("node") - (first_width - 1)).alias("start"), (F.col("pos") - F.col("node") + length).alias("stop"))
+    spans = hit.select("part", "row", (F.col("pos") - F.col("node") - (width - 1)).alias("start"), (F.col("pos") - F.col("node") + length).alias("stop"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop(classes, full)
+    scratch.drop(common, members, classes, full)
     return spans, still
 
 
-def repeated(keyed: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """Spans (id, tk, start, stop) of keyed (id, tk, text) that together cover each byte of a repeated string of so many bytes."""
-    reach = 1 << (length * 2 // 3).bit_length() - 1
-    # as many strings are told apart as the widest tree of ranges needs
-    cores = keyed.mapInPandas(_members(length, reach, False), "core long")
-    common = scratch.keep(cores.groupBy("core").count().filter("count > 1").select("core"), "common")
-    members = keyed.mapInPandas(_members(length, reach, True), MEMBER).join(common, "core", "left_semi").select(NAMES)
-    members = scratch.keep(members, "members")
-    spans, still = _resolve(members, reach, length, scratch)
-    scratch.drop(common, members)
-
-    places = still.groupBy("id", "tk").agg(F.collect_list("pos").alias("places"))
-    texts = keyed.mapInPandas(_packed, "id long, tk int, packed binary")
-    around = texts.join(places, ["id", "tk"]).mapInPandas(_surroundings(length, reach), "id long, tk int, pos int, before int, around binary")
-    around = scratch.keep(around.dropDuplicates(["id", "tk", "pos"]), "around")
-    out, width = [spans], reach
+def repeated(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Spans (part, row, start, stop) of texts (part, row, packed) that together cover each byte of a repeated string of so many bytes."""
+    width = reach = 1 << (length * 2 // 3).bit_length() - 1
+    first = texts.select("part", "row", "packed")
+    spans, still = _resolve(first.mapInPandas(_members(length, reach, False), "node int, core long"), first.mapInPandas(_members(length, reach, True), MEMBER), width, length, scratch)
+    out = [spans]
     while width > 1:
         part = max(1, width // FAN)
-        ranges = around.join(still.select("id", "tk", "pos", F.col("node").alias("first")), ["id", "tk", "pos"]).withColumn("width", F.lit(width))
-        members = scratch.keep(ranges.mapInPandas(_parts(length, part), MEMBER), "members")
-        spans, still = _resolve(members, part, length, scratch)
-        scratch.drop(members)
+        pairs = still.groupBy("part").cogroup(first.groupBy("part"))
+        cores = pairs.applyInPandas(_parts(length, width, part, False), "node int, core long")
+        spans, narrower = _resolve(cores, pairs.applyInPandas(_parts(length, width, part, True), MEMBER), part, length, scratch)
+        scratch.drop(still)
         out.append(spans)
-        width = part
-    scratch.drop(around)
+        width, still = part, narrower
     result = out[0]
     for more in out[1:]:
         result = result.union(more)
@@ -213,18 +202,20 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], stops[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _without(names: list[str]):
+    def run(spans: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        of = {row: own[["start", "stop"]].to_numpy() for row, own in spans.groupby("row", sort=False)}
         rows = []
-        for m in batch.itertuples(index=False):
-            raw, runs = zstandard.decompress(m.packed), []
-            if m.starts is not None and len(m.starts):
-                runs = merged(np.stack([np.asarray(m.starts), np.asarray(m.stops)], axis=1)).tolist()
+        for row, packed in zip(texts["row"], texts["packed"]):
+            raw = zstandard.decompress(packed)
+            runs = merged(of[row]).tolist() if row in of else []
             edges = [0, *(x for r in runs for x in r), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-        more = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=batch.index)
-        yield pd.concat([batch.drop(columns=["packed", "starts", "stops"]), more], axis=1)
+        more = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=texts.index)
+        return pd.concat([texts[names], more], axis=1)
+
+    return run
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -232,20 +223,21 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Every byte that a string of length bytes covers goes if that string starts anywhere else in the input too, in the same
     text or another; matches never cross texts. n_spans counts maximal removed runs; kept_text leaves out characters that
-    lost some of their bytes. Other columns stay, except those with the names given here or id, tk, packed, starts, stops,
-    which are dropped. Null texts count as empty, and as kept_text ''. Repeated rows are copies of each other: what is
-    long enough goes in all of them. Rows may share a doc_id or have none. An empty table gives none.
+    lost some of their bytes. Other columns stay, except those with the names given here or part, row, packed, which are
+    dropped. Null texts count as empty, and as kept_text ''. Repeated rows are copies of each other: what is long enough
+    goes in all of them. Rows may share a doc_id or have none. An empty table gives none.
+
+    Texts are compressed and written once, in blocks, as a table bucketed by block; all levels and the result read them
+    there, and only positions are shuffled.
     """
     if length < 64:
         raise ValueError("strings of fewer than 64 bytes are not supported")
-    scratch = Scratch(docs.sparkSession)
-    named = {"id", "tk", "packed", "starts", "stops", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    named = {"part", "row", "packed", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}
     docs = docs.drop(*(c for c in docs.columns if c in named))
-    keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("tk", F.hash(F.coalesce("text", F.lit(""))))
-    spans = repeated(keyed.select("id", "tk", "text"), length, scratch)
-    spans = spans.groupBy("id", "tk").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    rest = [f for f in keyed.schema if f.name != "text"]
-    packed = keyed.mapInPandas(_packed, T.StructType([*rest, T.StructField("packed", T.BinaryType())]))
+    rest = [f for f in docs.schema if f.name != "text"]
+    stored = docs.mapInPandas(_stored, T.StructType([*rest, *T.StructType.fromDDL("packed binary, part long, row int")]))
+    texts = scratch.bucketed(stored, "texts", "part")
+    spans = repeated(texts, length, scratch)
     kept = T.StructType([*rest, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")])
-    joined = packed.join(spans, ["id", "tk"], "left").select(*[f.name for f in rest], "packed", "starts", "stops")
-    return joined.mapInPandas(_without, kept).drop("id", "tk")
+    return spans.groupBy("part").cogroup(texts.groupBy("part")).applyInPandas(_without([f.name for f in rest]), kept)
