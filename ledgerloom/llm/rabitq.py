@@ -164,7 +164,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     pairs = pairs.select("tile_a", F.struct(F.col("tile_a.d").alias("d"), F.col("other").alias("salt")).alias("tile_b"))
     side = lambda s: tiles.select(*(F.col(c).alias(f"{c}_{s}") for c in tiles.columns))
     work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").repartition(shuffle_partitions(spark))
-    found = scratch.keep(work.mapInPandas(_compared(least), "a long, b long, links long"), "found")
+    found = scratch.keep(work.mapInPandas(_compared(least), "a long, b long, links long"), "found", batch_rows=4)
 
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     parts = components(found.select("a", "b"), scratch).withColumnRenamed("id", "key")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.workspace import new_path
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Scratch:
     """Tables of one job. keep() writes one and rereads it; drop() removes those that nothing reads any more."""
@@ -14,9 +16,14 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+    def keep(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write and reread. batch_rows bounds what Python functions get at once where single rows are large."""
+        path, usual = new_path(self.spark, name), self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, batch_rows or usual)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

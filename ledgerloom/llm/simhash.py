@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int, distinct: bool) -> Dat
             rows = []
             for text in batch["text"]:
                 runs = shingles(text, words)
-                runs = sorted(set(runs)) if distinct else runs
+                runs = list(set(runs)) if distinct else runs
                 rows.append((fingerprint(runs, lanes).view(np.int64), len(runs)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [r[0] for r in rows], "n_shingles": [r[1] for r in rows]})
 
@@ -126,9 +126,9 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     """Links (a, b) that connect all distinct fingerprints at most radius bits apart.
 
     prints: (id long, fp array<long>, band int), one row for each fingerprint and band. Fingerprints whose bands differ by
-    more than 1 are not compared. Tiles hold fingerprints of one band whose bits, counted in so many equal segments, agree.
-    A pair of tiles is skipped if those counts differ by more than the radius in all, since each bit changes one count by
-    one. Each pair of tiles that is left is compared exactly and gives a spanning forest of its links, never all pairs.
+    more than 1 are not compared. Tiles hold fingerprints of one band whose bits, counted in so many equal segments, agree
+    (or, in one segment, lie in the same range as wide as the radius). A pair of tiles is skipped if those counts differ by
+    more than the radius in all, since each bit changes one count by one. Each pair of tiles that is left is compared exactly and gives a spanning forest of its links, never all pairs.
     Tiles are salted to about TILE_ROWS rows, so a count that very many fingerprints share is many tiles.
     """
     width = 64 * lanes // segments
@@ -136,7 +136,8 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
         sum((F.bit_count(F.expr(f"shiftrightunsigned(fp[{at // 64}], {at % 64})").bitwiseAND(F.lit((1 << min(width, 64)) - 1 if width < 64 else -1))) for at in range(s * width, (s + 1) * width, min(width, 64))), F.lit(0))
         for s in range(segments)
     ]
-    keyed = prints.select("id", "fp", "band", F.array(*bits).alias("counts"))
+    grain = max(radius, 1) if segments == 1 else 1
+    keyed = prints.select("id", "fp", "band", F.array(*(F.floor(b / grain).cast("int") for b in bits)).alias("counts"))
     keyed = scratch.keep(keyed, "prints")
     sizes = keyed.groupBy("band", "counts").count().select("band", "counts", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("salts"))
     sizes = scratch.keep(sizes, "sizes")
@@ -150,7 +151,7 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     )
     tiles = scratch.keep(tiles, "tiles")
 
-    steps = F.array(*(F.array(*map(F.lit, d)) for d in _offsets(segments, radius)))
+    steps = F.array(*(F.array(*map(F.lit, d)) for d in _offsets(segments, -(-radius // grain))))
     left = sizes.withColumn("step", F.explode(steps)).withColumn("up", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     left = left.select(
         F.col("band").alias("band_a"), F.col("counts").alias("counts_a"), F.col("salts").alias("salts_a"), "up", "step",
@@ -170,7 +171,7 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     )
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("fps").alias(f"fps_{s}"))
     work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").select("ids_a", "fps_a", "ids_b", "fps_b")
-    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius), "a long, b long").distinct(), "links")
+    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius), "a long, b long").distinct(), "links", batch_rows=128)
     scratch.drop(keyed, sizes, tiles)
     return found
 
