@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 RUN_BYTES = 1 << 15
 
 
@@ -115,16 +115,20 @@ class Encoder:
         for at in range(0, len(texts), 256):
             some = texts[at : at + 256]
             whole = [bool(t) and any(a in t for a in self.added) for t in some]
-            parts = [[] if w else self.fragments((t or "").encode()) for t, w in zip(some, whole)]
-            missing = {f for p in parts for f in p if f not in self.known}
-            found = self._learn(list(missing)) if missing else {}
-            if len(self.known) + len(found) > REMEMBERED:
-                self.known = {}
-                found |= self._learn([f for f in {f for p in parts for f in p} if f not in found])
-            self.known |= found
-            get = self.known.__getitem__
+            get = self.known.get
+            cuts = [[] if w else self.fragments((t or "").encode()) for t, w in zip(some, whole)]
+            parts = [list(map(get, f)) for f in cuts]
+            gaps = [(p, f, [k for k, x in enumerate(p) if x is None]) for p, f in zip(parts, cuts) if None in p]
+            if gaps:
+                found = self._learn(list({f[k] for _, f, holes in gaps for k in holes}))
+                for p, f, holes in gaps:
+                    for k in holes:
+                        p[k] = found[f[k]]
+                # those met first are the most frequent ones, so they stay
+                if len(self.known) < REMEMBERED:
+                    self.known |= found
             for t, w, p in zip(some, whole, parts):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, p)))
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(p))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

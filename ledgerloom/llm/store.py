@@ -27,13 +27,12 @@ POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
 
 def cut_points(ids: np.ndarray, mean: int, most: int) -> np.ndarray:
-    """Ends of the chunks of ids: after each id where a rolling hash of the last WINDOW ids is a multiple of mean, and every `most` ids where that doesn't come."""
+    """Ends of the chunks of ids: after each id where a rolling sum of the hashes of the last WINDOW ids has zeros in the bits of mean - 1, and every `most` ids where that doesn't come."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolling = np.zeros(len(ids), np.uint64)
-    for back in range(min(WINDOW, len(ids))):
-        rolling[back:] += mixed[: len(ids) - back] * np.uint64(pow(0xD6E8FEB86659FD93, back + 1, 1 << 64))
-    ends = np.flatnonzero((rolling >> np.uint64(32)) % np.uint64(mean) == 0) + 1
+    rolling = np.cumsum(mixed * np.uint64(0xD6E8FEB86659FD93))
+    rolling[WINDOW:] -= rolling[:-WINDOW].copy()
+    ends = np.flatnonzero(rolling >> np.uint64(32) & np.uint64(mean - 1) == 0) + 1
     ends = np.unique(np.append(ends, len(ids)))
     starts = np.append(0, ends[:-1])
     if (ends - starts).max() > most:
@@ -84,7 +83,7 @@ def _with_starts(manifest: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, mean: int = 512, most: int = 4096) -> None:
-    """Write docs (doc_id, text; other columns are ignored) as a store into a new folder.
+    """Write docs (doc_id, text; other columns are ignored) as a store into a new folder; mean, a power of two, is the chunks' usual length.
 
     Null and empty texts are the end id alone. Rows with equal doc_id are documents of their own, next to each other; those
     with none come first. An empty table gives a store without documents.
