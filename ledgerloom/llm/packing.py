@@ -86,8 +86,10 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
     rows = scratch.keep(rows.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     large = F.col("length") * 2 > capacity
     placed = [rows.filter(large).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).alias("turn"), F.lit(0).alias("slot"))]
-    left = scratch.keep(rows.filter(~large).select("pid", "length"), "left")
-    counts = _by_size(left, "length")
+    # pieces of a length are used up in the order of their ranks, so they are ranked once
+    items = scratch.keep(_ranked(rows.filter(~large).select("pid", "length"), "length", ["pid"]), "items")
+    counts = _by_size(items, "length")
+    done = dict.fromkeys(counts, 0)
     gaps = rows.filter(large).select(F.col("pid").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("gap"))
     gaps = scratch.keep(gaps.filter(F.col("gap") >= min(counts, default=capacity)), "gaps")
     opened, turn, tried = 0, 0, set()
@@ -95,11 +97,9 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
         turn += 1
         longest = max(counts)
         now = {s: n for s, n in counts.items() if s * 2 > longest}
-        in_turn = F.col("length") * 2 > longest
         slots = gaps.filter(F.col("gap") >= min(now)).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("gap") / longest)))
-        slots = slots.select("sequence_id", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"), F.floor(F.col("gap") / F.col("slots")).alias("size"))
-        slots = scratch.keep(_ranked(slots, "size", ["sequence_id", "slot"]), "slots")
-        shares = sweep(now, _by_size(slots, "size"))
+        slots = slots.withColumn("size", F.floor(F.col("gap") / F.col("slots")))
+        shares = sweep(now, {r[0]: r[1] for r in slots.groupBy("size").agg(F.sum("slots")).collect()})
         if not shares:
             total = sum(s * n for s, n in now.items())
             more = -(-sum(now.values()) // (capacity // longest)) if longest in tried else -(-total // capacity)
@@ -107,26 +107,27 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
             new = spark.range(opened, opened + more).select((-F.col("id") - 1).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
             opened += more
             wider = scratch.keep(gaps.union(new), "gaps")
-            scratch.drop(gaps, slots)
+            scratch.drop(gaps)
             gaps = wider
             continue
-        plan = spark.createDataFrame(shares, "length long, first long, n long, size long, slot_first long")
+        plan = [(size, done[size] + first, n, gap, at) for size, first, n, gap, at in shares]
         # at most two shares for each size: their number is bounded by the capacity
-        ranked = _ranked(left.filter(in_turn), "length", ["pid"])
-        chosen = ranked.join(F.broadcast(plan), "length").filter("rank >= first and rank < first + n")
+        plan = F.broadcast(spark.createDataFrame(plan, "length long, first long, n long, size long, slot_first long"))
+        slots = slots.select("sequence_id", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"), "size")
+        chosen = items.join(plan, "length").filter("rank >= first and rank < first + n")
         chosen = chosen.select("pid", "length", "size", (F.col("slot_first") + F.col("rank") - F.col("first")).alias("rank"))
-        chosen = chosen.join(slots, ["size", "rank"]).select("pid", "length", "sequence_id", F.lit(turn).alias("turn"), F.col("slot").cast("int").alias("slot"))
+        chosen = chosen.join(_ranked(slots, "size", ["sequence_id", "slot"]), ["size", "rank"]).select("pid", "length", "sequence_id", F.lit(turn).alias("turn"), F.col("slot").cast("int").alias("slot"))
         chosen = scratch.keep(chosen, "placed")
         placed.append(chosen.select("pid", "sequence_id", "turn", "slot"))
         for size, _, n, _, _ in shares:
             counts[size] -= n
+            done[size] += n
         counts = {s: n for s, n in counts.items() if n}
         used = chosen.groupBy("sequence_id").agg(F.sum("length").alias("used"))
         rest = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
         rest = scratch.keep(rest.filter(F.col("gap") >= min(counts, default=capacity)), "gaps")
-        fewer = scratch.keep(left.join(chosen.select("pid"), "pid", "left_anti"), "left")
-        scratch.drop(gaps, left, slots)
-        gaps, left = rest, fewer
+        scratch.drop(gaps)
+        gaps = rest
     places = placed[0]
     for more in placed[1:]:
         places = places.union(more)
