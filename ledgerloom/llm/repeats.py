@@ -107,8 +107,8 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="text").assign(packed=packed, part=parts, row=rows)
 
 
-def _members(length: int, reach: int, hulls: bool):
-    """The first level: a row for each anchor, with its hull, or its core alone."""
+def _members(length: int, reach: int):
+    """The first level: a row for each anchor, with its core and hull."""
     q = length - reach + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,9 +116,6 @@ def _members(length: int, reach: int, hulls: bool):
             raws = list(map(zstandard.decompress, batch["packed"]))
             places = anchors(raws, length, reach)
             cores = [_hash(r[a : a + q]) for r, p in zip(raws, places) for a in p.tolist()]
-            if not hulls:
-                yield pd.DataFrame({"node": 0, "core": np.array(cores, np.int64)})
-                continue
             n = list(map(len, places))
             part, row, pos = np.repeat(batch["part"].to_numpy(), n), np.repeat(batch["row"].to_numpy(), n), np.concatenate(places) if n else np.zeros(0, int)
             whole = (pos >= reach - 1) & (pos + length <= np.repeat(np.fromiter(map(len, raws), np.int64, len(raws)), n))
@@ -129,7 +126,7 @@ def _members(length: int, reach: int, hulls: bool):
     return run
 
 
-def _parts(length: int, width: int, node_width: int, hulls: bool):
+def _parts(length: int, width: int, node_width: int):
     """A later level: from the open members and the texts of a block, a row for each range of node_width offsets in a member's width."""
 
     def run(still: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -142,25 +139,24 @@ def _parts(length: int, width: int, node_width: int, hulls: bool):
                     if lo > a or a - hi + length > len(raw):
                         continue
                     core = _hash(raw[max(0, a - lo) : a - hi + length])
-                    if not hulls:
-                        rows.append((lo, core))
-                        continue
                     whole = hi <= a and a - lo + length <= len(raw)
                     hull = _hash(raw[a - hi : a - lo + length], HULL) if whole else _hash(b"%d %d %d" % (part, row, a))
                     rows.append((part, row, a, lo, core, hull, whole))
-        return pd.DataFrame(rows, columns=NAMES if hulls else ["node", "core"])
+        return pd.DataFrame(rows, columns=NAMES)
 
     return run
 
 
-def _resolve(cores: DataFrame, members: DataFrame, width: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _resolve(members: DataFrame, width: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of a level: the strings that repeat, as (part, row, start, stop), and the members that stay open.
 
     Single cores go first, counted before they are shuffled. What comes back to the members are classes that are written
     by then, so that a core with very many members is a skewed join, which Spark splits.
     """
-    common = scratch.keep(cores.groupBy("node", "core").count().filter("count > 1").select("node", "core"), "common")
-    members = scratch.keep(members.join(common, ["node", "core"], "left_semi").select(NAMES), "members")
+    everything = scratch.keep(members, "everything")
+    common = scratch.keep(everything.groupBy("node", "core").count().filter("count > 1").select("node", "core"), "common")
+    members = scratch.keep(everything.join(common, ["node", "core"], "left_semi").select(NAMES), "members")
+    scratch.drop(everything, common)
     kind = ["node", "core", "hull", "whole"]
     classes = members.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("part", "row", "pos")).alias("first"))
     classes = scratch.keep(classes, "classes")
@@ -170,7 +166,7 @@ def _resolve(cores: DataFrame, members: DataFrame, width: int, length: int, scra
     hit = members.join(full, kind, "left_semi")
     spans = hit.select("part", "row", (F.col("pos") - F.col("node") - (width - 1)).alias("start"), (F.col("pos") - F.col("node") + length).alias("stop"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop(common, members, classes, full)
+    scratch.drop(members, classes, full)
     return spans, still
 
 
@@ -178,13 +174,12 @@ def repeated(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Spans (part, row, start, stop) of texts (part, row, packed) that together cover each byte of a repeated string of so many bytes."""
     width = reach = 1 << (length * 2 // 3).bit_length() - 1
     first = texts.select("part", "row", "packed")
-    spans, still = _resolve(first.mapInPandas(_members(length, reach, False), "node int, core long"), first.mapInPandas(_members(length, reach, True), MEMBER), width, length, scratch)
+    spans, still = _resolve(first.mapInPandas(_members(length, reach), MEMBER), width, length, scratch)
     out = [spans]
     while width > 1:
         part = max(1, width // FAN)
         pairs = still.groupBy("part").cogroup(first.groupBy("part"))
-        cores = pairs.applyInPandas(_parts(length, width, part, False), "node int, core long")
-        spans, narrower = _resolve(cores, pairs.applyInPandas(_parts(length, width, part, True), MEMBER), part, length, scratch)
+        spans, narrower = _resolve(pairs.applyInPandas(_parts(length, width, part), MEMBER), part, length, scratch)
         scratch.drop(still)
         out.append(spans)
         width, still = part, narrower
