@@ -20,6 +20,9 @@ from tokenizers import Tokenizer
 
 REMEMBERED = 1_000_000
 RUN_BYTES = 1 << 15
+GROUP_CHARS = 1 << 18
+# next to last bytes of the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000
+SPACE_LEADS = np.isin(np.arange(256), [0xC2, 0x9A, 0x80, 0x81])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -48,7 +51,11 @@ class Encoder:
             self.length[i] = len(t)
         self.decimal = {i: str(i).encode() for i in self.bytes_of}
         self.cuts = self._forced(plain.values())
-        self.known: dict[bytes, bytes] = {}
+        # a zero byte stands between texts there
+        self.inner_cuts = self.cuts.reshape(256, 256).copy()
+        self.inner_cuts[0, :] = self.inner_cuts[:, 0] = 0
+        self.inner_cuts = self.inner_cuts.reshape(-1)
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def _forced(tokens) -> np.ndarray:
@@ -64,33 +71,49 @@ class Encoder:
         kind[128:] = 4
         change = (kind[:, None] != kind[None, :]) & (kind[:, None] > 0) & (kind[:, None] < 4) & (kind[None, :] < 4)
         out = (change & ~inside).astype(np.uint8)
-        out[128:192, 32] = 2 * ~inside[128:192, 32]
+        for y in (10, 32):
+            out[128:192, y] = 2 * ~inside[128:192, y]
         return out.reshape(-1)
 
-    def fragments(self, raw: bytes) -> list[bytes]:
-        v = np.frombuffer(raw, np.uint8)
-        if len(v) < 2:
-            return [raw] if raw else []
-        kind = self.cuts[(v[:-1].astype(np.uint16) << 8) | v[1:]]
+    def _cut(self, v: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Whether a text may be cut after each of its bytes but the last."""
+        kind = inner[(v[:-1].astype(np.uint16) << 8) | v[1:]]
         cut = kind == 1
         maybe = np.flatnonzero(kind == 2)
-        # U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000 are the white space beyond ASCII; their next to last bytes
-        before = v[maybe - 1]
-        cut[maybe[(maybe > 0) & (before != 0xC2) & (before != 0x9A) & (before != 0x80) & (before != 0x81)]] = True
-        if b"\0" in raw:
-            edges = [0, *(np.flatnonzero(cut) + 1).tolist(), len(raw)]
-            return [raw[a:b] for a, b in zip(edges, edges[1:])]
+        cut[maybe[(maybe > 0) & ~SPACE_LEADS[v[maybe - 1]]]] = True
+        return cut
+
+    def fragments(self, raw: bytes) -> list[bytes]:
+        if len(raw) < 2:
+            return [raw] if raw else []
+        edges = [0, *(np.flatnonzero(self._cut(np.frombuffer(raw, np.uint8), self.cuts)) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _all_fragments(self, raws: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """Fragments of texts without a zero byte, and how many each has; an empty text has an empty one."""
+        joined = b"\0".join(raws)
+        v = np.frombuffer(joined, np.uint8)
+        if len(v) < 2:
+            return joined.split(b"\0"), [1] * len(raws)
+        cut = self._cut(v, self.inner_cuts)
         at = np.arange(len(v))
-        at[1:] += np.cumsum(cut)
+        np.add(at[1:], np.cumsum(cut), out=at[1:])
         spaced = np.zeros(at[-1] + 1, np.uint8)
         spaced[at] = v
-        return spaced.tobytes().split(b"\0")
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        shift = at - np.arange(len(v))
+        last = np.minimum(np.maximum(starts + sizes - 1, starts), len(v) - 1)
+        return spaced.tobytes().split(b"\0"), (shift[last] - shift[np.minimum(starts, len(v) - 1)] + 1).tolist()
 
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of fragments. Those that start with a space and end where a space is a certain cut are encoded in runs."""
+        """Ids of fragments. Where a cut before and after it is certain, a fragment is encoded in a run, after a line feed if it doesn't start with a space."""
         found: dict[bytes, bytes] = {}
-        chained = [f for f in missing if f[:1] == b" " and self.cuts[f[-1] << 8 | 32] == 1]
-        alone = [f for f in missing if not (f[:1] == b" " and self.cuts[f[-1] << 8 | 32] == 1)]
+        after = self.cuts.reshape(256, 256)[:, [10, 32]].min(1).tolist()
+        ends = lambda f: after[f[-1]] == 1 or after[f[-1]] == 2 and len(f) > 1 and not SPACE_LEADS[f[-2]]
+        starts = lambda f: f[0] == 32 and len(f) > 1 and f[1] > 32 or f[:1].isalnum()
+        chained = {f for f in missing if f and starts(f) and ends(f)}
+        alone = [f for f in missing if f not in chained]
         runs, size = [[]], 0
         for f in chained:
             if size > RUN_BYTES:
@@ -99,37 +122,43 @@ class Encoder:
             runs[-1].append(f)
             size += len(f)
         for run in filter(None, runs):
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(run).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))) + 1
-            data, stops = ids.tobytes(), (4 * ends).tolist()
+            parts = [f if f[0] == 32 else b"\n" + f for f in run]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))) + 1
+            data, stops = ids.tobytes(), (4 * stops).tolist()
             for f, a, b in zip(run, [0, *stops], stops):
-                found[f] = data[a:b]
+                found[f] = data[a if f[0] == 32 else a + 4 : b]
         if alone:
             for f, e in zip(alone, self.tokenizer.encode_batch_fast([f.decode() for f in alone], add_special_tokens=False)):
                 found[f] = np.array(e.ids, "<u4").tobytes()
         return found
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        raws = [t.encode() for t in texts]
+        whole = [b"\0" in r or any(a in t for a in self.added) for r, t in zip(raws, texts)]
+        pieces, counts = self._all_fragments([b"" if w else r for r, w in zip(raws, whole)])
+        got = list(map(self.known.get, pieces))
+        if None in got:
+            holes = [k for k, x in enumerate(got) if x is None]
+            found = self._learn(list({pieces[k] for k in holes}))
+            for k in holes:
+                got[k] = found[pieces[k]]
+            # those met first are the most frequent ones, so they stay
+            if len(self.known) < REMEMBERED:
+                self.known |= found
+        edges = [0, *np.cumsum(counts).tolist()]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(got[a:b]) for t, w, a, b in zip(texts, whole, edges, edges[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
-            whole = [bool(t) and any(a in t for a in self.added) for t in some]
-            get = self.known.get
-            cuts = [[] if w else self.fragments((t or "").encode()) for t, w in zip(some, whole)]
-            parts = [list(map(get, f)) for f in cuts]
-            gaps = [(p, f, [k for k, x in enumerate(p) if x is None]) for p, f in zip(parts, cuts) if None in p]
-            if gaps:
-                found = self._learn(list({f[k] for _, f, holes in gaps for k in holes}))
-                for p, f, holes in gaps:
-                    for k in holes:
-                        p[k] = found[f[k]]
-                # those met first are the most frequent ones, so they stay
-                if len(self.known) < REMEMBERED:
-                    self.known |= found
-            for t, w, p in zip(some, whole, parts):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(p))
-        return out
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size > GROUP_CHARS:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + (self._encode(some) if some else [])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, added tokens as they are written; ids without a token give nothing."""

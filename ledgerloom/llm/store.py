@@ -55,16 +55,17 @@ def _chunked(path: str, end_id: int, mean: int, most: int):
             for at in range(0, len(batch), 512):
                 part, rows, seen = batch.iloc[at : at + 512], [], set()
                 for row, key, data in zip(part["row"], part["doc_id"], encoder(path).encode(part["text"].tolist())):
-                    ids = np.frombuffer(data + end, "<u4")
-                    ends = cut_points(ids, mean, most)
-                    edges = [0, *ends.tolist()]
-                    chunks = [ids[a:b] for a, b in zip(edges, edges[1:])]
-                    addresses = [hashlib.sha256(c.tobytes()).digest() for c in chunks]
-                    for seq, (c, address) in enumerate(zip(chunks, addresses)):
-                        width = 2 if c.max() < 1 << 16 else 4
+                    data += end
+                    ids = np.frombuffer(data, "<u4")
+                    edges = [0, *cut_points(ids, mean, most).tolist()]
+                    width = 2 if ids.max() < 1 << 16 else 4
+                    narrow = ids.astype(f"<u{width}").tobytes()
+                    chunks = list(zip(edges, edges[1:]))
+                    addresses = [hashlib.sha256(data[4 * a : 4 * b]).digest() for a, b in chunks]
+                    for seq, ((a, b), address) in enumerate(zip(chunks, addresses)):
                         new = address not in seen and not seen.add(address)
                         head = (len(ids), len(chunks), merkle_root(addresses)) if seq == 0 else (None, None, None)
-                        rows.append((row, key, seq, address, len(c), width, c.astype(f"<u{width}").tobytes() if new else None, *head))
+                        rows.append((row, key, seq, address, b - a, width, narrow[width * a : width * b] if new else None, *head))
                 out = pd.DataFrame(rows, columns=["row", "doc_id", "seq", "address", "n", "width", "data", "n_tokens", "n_chunks", "root"])
                 yield out.astype({"n_tokens": "Int64", "n_chunks": "Int64"})
 
