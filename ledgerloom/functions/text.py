@@ -74,7 +74,8 @@ def goal_url(c, base: str) -> Column:
     return F.when(tail != "", F.concat(F.lit(base + "/"), tail))
 
 
-def profile_url(c, host: str = "step.lme.jp") -> Column:
+def profile_url(c, host: str) -> Column:
+    """The first my-page address of a host in a text, up to white space."""
     found = F.regexp_extract(col(c), rf"(?i)https?://{re.escape(host)}/basic/friendlist/my_page/\S+", 0)
     return F.when(found != "", found)
 

@@ -607,9 +607,14 @@ def current_block_name(categories):
     return _courses(categories).select("id", nested.current_block_name("c").alias("block"))
 
 
-@query("categories", sql=f"SELECT id, due, due AS started FROM {CURRENT}")
+@query("categories", sql=f"SELECT id, due FROM {CURRENT}")
 def current_due(categories):
-    return _courses(categories).select("id", nested.current_due("c").alias("due"), nested.current_started("c").alias("started"))
+    return _courses(categories).select("id", nested.current_due("c").alias("due"))
+
+
+@query("categories", sql=f"SELECT id, due AS started FROM {CURRENT}")
+def current_started(categories):
+    return _courses(categories).select("id", nested.current_started("c").alias("started"))
 
 
 @query("categories", sql="SELECT id, name, arg_max(due, _seq) AS due FROM @categories GROUP BY ALL")
