@@ -52,14 +52,19 @@ def fingerprint(points: np.ndarray) -> np.ndarray:
     for k in range(gram):
         h += p[k : k + len(h)] * np.uint64(pow(int(SEED), k + 1, 1 << 64))
     h = _mix(h)
-    # number equal k-mers in text order
-    order = np.argsort(h, kind="stable")
+    # number equal k-mers in text order; most come once
+    number = np.zeros(len(h), np.uint64)
+    order = np.argsort(h)
     ranked = h[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    number = np.empty(len(h), np.uint64)
-    number[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    same = np.append(False, ranked[1:] == ranked[:-1])
+    if same.any():
+        again = np.sort(order[same | np.append(same[1:], False)])
+        again = again[np.argsort(h[again], kind="stable")]
+        ranked = h[again]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        number[again] = np.arange(len(again)) - np.repeat(first, np.diff(np.append(first, len(again))))
     key = _mix(h + number * SEED)
-    by_key = np.argsort(key, kind="stable")
+    by_key = np.argsort(key)
     width = np.uint64(1 << 64 - (BINS - 1).bit_length())
     edges = np.searchsorted(key[by_key], np.arange(BINS, dtype=np.uint64) * width)
     sizes = np.minimum(np.diff(np.append(edges, len(key))), SMALLEST)

@@ -41,3 +41,27 @@ def test_likeness_follows_edits_and_order():
     # repeated k-mers are numbered
     assert omh.likeness(omh.fingerprint(omh.points_of("ab" * 20)), omh.fingerprint(omh.points_of("ab" * 400))) < 1
     assert len(np.unique(print_of(words))) > 50
+
+
+@pytest.mark.parametrize("text", ["ab" * 60, "x", "abcdefghi", "aaaaaaaaaaaaaaaaaaaaa", "the cat and the dog and the cat and the bird " * 5, "日本語の文章。" * 9])
+def test_matches_a_plain_version(text):
+    points, gram = omh.points_of(text), min(omh.GRAM, len(text))
+    one = lambda x: int(omh._mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    h = [one(sum((int(p) + 1) * pow(int(omh.SEED), k + 1, 1 << 64) for k, p in enumerate(points[i : i + gram]))) for i in range(len(text) - gram + 1)]
+    bins, seen = [[] for _ in range(omh.BINS)], {}
+    for i, x in enumerate(h):
+        seen[x] = seen.get(x, -1) + 1
+        key = one(x + seen[x] * int(omh.SEED))
+        bins[key >> 58].append((key, i))
+    tuples = []
+    for members in bins:
+        value, places = 0, sorted(i for _, i in sorted(members)[: omh.SMALLEST])
+        for k in range(omh.SMALLEST):
+            value = one(value * int(omh.SEED) + (h[places[k]] if k < len(places) else 0) + k + 1)
+        tuples.append(value if members else None)
+    expected = []
+    for b in range(omh.BINS):
+        far = next(d for d in range(omh.BINS) if tuples[(b + d) % omh.BINS] is not None)
+        value = tuples[(b + far) % omh.BINS]
+        expected.append((one(value + far) if far else value) >> 48)
+    assert omh.fingerprint(points).tolist() == expected
