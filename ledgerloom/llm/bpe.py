@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 RUN_BYTES = 1 << 15
 GROUP_CHARS = 1 << 18
 # next to last bytes of the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000

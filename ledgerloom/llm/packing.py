@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.bpe import encoder
-from ledgerloom.llm.scratch import Scratch, shuffle_partitions
+from ledgerloom.llm.scratch import TEXTS_AT_ONCE, Scratch, shuffle_partitions
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -83,7 +83,7 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     rows = rows.drop("pid", "gap", "slot", "turn", "size", "rank", "sequence_id", "offset")
-    rows = scratch.keep(rows.withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    rows = scratch.keep(rows.withColumn("pid", F.monotonically_increasing_id()), "pieces", batch_rows=TEXTS_AT_ONCE)
     large = F.col("length") * 2 > capacity
     placed = [rows.filter(large).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).alias("turn"), F.lit(0).alias("slot"))]
     # pieces of a length are used up in the order of their ranks, so they are ranked once

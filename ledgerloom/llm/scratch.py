@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.workspace import new_path
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_AT_ONCE = 2048
 
 
 class Scratch:

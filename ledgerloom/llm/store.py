@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.bpe import encoder
-from ledgerloom.llm.scratch import Scratch, shuffle_partitions
+from ledgerloom.llm.scratch import TEXTS_AT_ONCE, Scratch, shuffle_partitions
 
 WINDOW = 8
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
@@ -93,7 +93,7 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, mean: i
     key = docs.select("doc_id").schema[0]
     schema = T.StructType([T.StructField("row", T.LongType()), key, *T.StructType.fromDDL("seq int, address binary, n int, width int, data binary, n_tokens long, n_chunks long, root binary")])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    staged = scratch.keep(numbered.mapInPandas(_chunked(path, end_id, mean, most), schema), "staged")
+    staged = scratch.keep(numbered.mapInPandas(_chunked(path, end_id, mean, most), schema), "staged", batch_rows=TEXTS_AT_ONCE)
     put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{store}/{name}")
     put(staged.filter("data is not null").select("address", "n", "width", "data").dropDuplicates(["address"]), "chunks")
     put(staged.select("row", "seq", "address", "n"), "recipes")
