@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup on sets of five-word shingles at a similarity of 0.8: the smallest doc_id of each group stays."""
+    """SimHash near-dedup: sets of five-word shingles whose exact similarity is 0.8 or more link, the smallest doc_id of each group stays."""
     return simhash.near_copies_out(docs, words=5).select(COLUMNS)
 
 

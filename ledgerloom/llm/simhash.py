@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 
 TILE_ROWS = 4096
+#: Sets and their hashes in a tile that is compared exactly, and hashes that its tables of ones hold at once.
+SET_ROWS, SET_HASHES, SET_WIDTH = 1024, 1 << 18, 2048
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -32,9 +34,16 @@ def shingles(text: str | None, words: int) -> list[bytes]:
 
 def fingerprint(runs: list[bytes], lanes: int) -> np.ndarray:
     """So many unsigned 64-bit lanes; a bit is set if it is set in over half of the runs' hashes: XXH64 with seed 42, mixed anew for each lane after the first."""
+    return _fingerprint(_hashes(runs), lanes)
+
+
+def _hashes(runs: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], "<u8")
+
+
+def _fingerprint(first: np.ndarray, lanes: int) -> np.ndarray:
     out = np.zeros(lanes, np.uint64)
-    first = np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], "<u8")
-    for lane in range(lanes if runs else 0):
+    for lane in range(lanes if len(first) else 0):
         h = first
         if lane:
             h = (h ^ np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
@@ -73,16 +82,20 @@ def _offsets(segments: int, radius: int) -> list[list[int]]:
     return [list(d) for d in found if d >= (0,) * segments]
 
 
-def _compare(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows at most radius bits apart, a slice of a at a time. Half of the lanes go first; the rest only where that half leaves room."""
+def _compare(a: np.ndarray, b: np.ndarray, radius: int, half_radius: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows at most radius bits apart, a slice of a at a time. Half of the lanes go first; the rest only where that half leaves room.
+
+    half_radius leaves out pairs that differ by more bits than that in the first half of the lanes.
+    """
     half = max(1, a.shape[1] // 2)
+    room = radius if half_radius is None or half == a.shape[1] else min(radius, half_radius)
     step = max(1, (1 << 20) // max(1, len(b)))
     for at in range(0, len(a), step):
         part = a[at : at + step]
         off = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
         for lane in range(1, half):
             off += np.bitwise_count(part[:, None, lane] ^ b[None, :, lane])
-        i, j = np.nonzero(off <= radius)
+        i, j = np.nonzero(off <= room)
         if half < a.shape[1] and len(i):
             full = np.bitwise_count(part[i] ^ b[j]).sum(1, dtype=np.int64)
             i, j = i[full <= radius], j[full <= radius]
@@ -106,14 +119,14 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def _link_tiles(lanes: int, radius: int):
+def _link_tiles(lanes: int, radius: int, half_radius: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 a = np.asarray(row.fps_a).view(np.uint64).reshape(-1, lanes)
                 b = np.asarray(row.fps_b).view(np.uint64).reshape(-1, lanes)
                 ids = np.concatenate([row.ids_a, row.ids_b])
-                root = spanning(len(ids), ((i, j + len(a)) for i, j in _compare(a, b, radius)))
+                root = spanning(len(ids), ((i, j + len(a)) for i, j in _compare(a, b, radius, half_radius)))
                 moved = np.flatnonzero(root != np.arange(len(ids)))
                 if len(moved):
                     out = pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
@@ -122,8 +135,8 @@ def _link_tiles(lanes: int, radius: int):
     return run
 
 
-def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints at most radius bits apart.
+def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: Scratch, half_radius: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints at most radius bits apart (and half_radius in half of the lanes).
 
     prints: (id long, fp array<long>, band int), one row for each fingerprint and band. Fingerprints whose bands differ by
     more than 1 are not compared. Tiles hold fingerprints of one band whose bits, counted in so many equal segments, agree
@@ -171,7 +184,7 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     )
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("fps").alias(f"fps_{s}"))
     work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").select("ids_a", "fps_a", "ids_b", "fps_b")
-    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius), "a long, b long").distinct(), "links", batch_rows=128)
+    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius, half_radius), "a long, b long").distinct(), "links", batch_rows=128)
     scratch.drop(keyed, sizes, tiles)
     return found
 
@@ -198,12 +211,117 @@ def groups(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, dis
     return out.select("doc_id", "fp", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_copies_out(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 96) -> DataFrame:
-    """Rows of docs, all columns, without those that are near copies of a document with a smaller doc_id.
+def sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(doc_id, fp array<long>, set binary, n_shingles) of each row of docs (doc_id, text): set is a 128-bit digest of the distinct runs' hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                found = np.unique(_hashes(set(shingles(text, words))))
+                rows.append((_fingerprint(found, lanes).view(np.int64), xxhash.xxh3_128_digest(found.tobytes()), len(found)))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [r[0] for r in rows], "set": [r[1] for r in rows], "n_shingles": [r[2] for r in rows]})
+
+    schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("fp array<long>, set binary, n_shingles long")])
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
+def _hash_sets(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique(_hashes(set(shingles(t, words)))).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "grp": batch["grp"], "hashes": found})
+
+    return run
+
+
+def similar(hashes_a: np.ndarray, sizes_a: np.ndarray, hashes_b: np.ndarray, sizes_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets, each so many hashes of a flat array, whose Jaccard similarity is the least or more."""
+    both = np.intersect1d(hashes_a, hashes_b)
+    sides = []
+    for hashes, sizes in ((hashes_a, sizes_a), (hashes_b, sizes_b)):
+        code = np.minimum(np.searchsorted(both, hashes), max(0, len(both) - 1))
+        known = both[code] == hashes if len(both) else np.zeros(len(hashes), bool)
+        code, row = code[known], np.repeat(np.arange(len(sizes)), sizes)[known]
+        order = np.argsort(code, kind="stable")
+        sides.append((code[order], row[order], len(sizes)))
+    common = np.zeros((len(sizes_a), len(sizes_b)), np.float32)
+    for at in range(0, len(both), SET_WIDTH):
+        ones = []
+        for code, row, n in sides:
+            lo, hi = np.searchsorted(code, [at, at + SET_WIDTH])
+            table = np.zeros((n, SET_WIDTH), np.float32)
+            table[row[lo:hi], code[lo:hi] - at] = 1
+            ones.append(table)
+        common += ones[0] @ ones[1].T
+    union = np.asarray(sizes_a)[:, None] + np.asarray(sizes_b)[None, :] - common.astype(np.float64)
+    return np.nonzero(common / np.maximum(union, 1) >= least)
+
+
+def _link_sets(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids = np.concatenate([row.ids_a, row.ids_b])
+                i, j = similar(row.hashes_a, row.sizes_a, row.hashes_b, row.sizes_b, least)
+                root = spanning(len(ids), iter([(i, j + len(row.ids_a))]))
+                moved = np.flatnonzero(root != np.arange(len(ids)))
+                out = pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+                yield out[out["a"] != out["b"]]
+
+    return run
+
+
+def _band(n: str) -> Column:
+    """Sizes whose bands differ by more than 1 differ by more than a factor of 1.25, which similarities of 0.8 exclude."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.25))).cast("int")
+
+
+def exact_links(rows: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect all sets of runs of one group whose Jaccard similarity is the least, 0.8 at the lowest, or more.
 
-    Eight lanes are 512 bits. Sets of shingles with a similarity of 0.8 have a cosine of 0.89, so about 78 bits differ, with
-    a deviation of 8; at 0.6 it is 118, in unrelated texts 256. Of repeated rows with the doc_id that stays, all stay.
+    rows: (id long, grp long, text). Sets are tiles by group and band, salted to about SET_ROWS sets and SET_HASHES
+    hashes, and each pair of tiles of a group in the same or neighbouring bands gives a spanning forest of its links, so
+    a large group is many tiles and never all its pairs. A run stands as its 64-bit hash.
     """
-    found = groups(docs, words, lanes, radius, distinct=True, banded=True)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    found = scratch.keep(rows.select("id", "grp", "text").mapInPandas(_hash_sets(words), "id long, grp long, hashes array<long>"), "sets")
+    found = found.withColumn("n", F.size("hashes")).withColumn("band", _band("n"))
+    fill = F.greatest(F.sum("n") / SET_HASHES, F.count("*") / SET_ROWS)
+    sizes = scratch.keep(found.groupBy("grp", "band").agg(F.ceil(fill).cast("int").alias("salts")), "sizes")
+    tiles = found.join(sizes, ["grp", "band"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    tiles = tiles.groupBy("grp", "band", "salt").agg(F.collect_list(F.struct("id", "n", "hashes")).alias("rows"))
+    tiles = tiles.select("grp", "band", "salt", F.col("rows.id").alias("ids"), F.col("rows.n").alias("sizes"), F.flatten("rows.hashes").alias("hashes"))
+    tiles = scratch.keep(tiles, "tiles")
+
+    left = sizes.select("grp", F.col("band").alias("band_a"), F.col("salts").alias("salts_a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    pairs = left.withColumn("band", F.col("band_a") + F.col("up")).join(sizes, ["grp", "band"]).withColumnRenamed("band", "band_b")
+    pairs = pairs.withColumn("salt_a", F.explode(F.sequence(F.lit(0), F.col("salts_a") - 1)))
+    pairs = pairs.withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = pairs.filter("up = 1 or salt_a <= salt_b").select("grp", "band_a", "salt_a", "band_b", "salt_b")
+    side = lambda s: tiles.select("grp", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "salt", "ids", "sizes", "hashes")))
+    work = pairs.join(side("a"), ["grp", "band_a", "salt_a"]).join(side("b"), ["grp", "band_b", "salt_b"])
+    work = work.select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "sizes", "hashes"))).repartition(shuffle_partitions(rows.sparkSession))
+    return scratch.keep(work.mapInPandas(_link_sets(least), "a long, b long").distinct(), "links", batch_rows=16)
+
+
+def near_copies_out(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of docs, all columns, without those that links lead to from a document with a smaller doc_id.
+
+    Links are pairs whose sets of distinct shingles have a Jaccard similarity of the least, 0.8 at the lowest, or more.
+    Fingerprints of 512 bits only find candidates. At 0.8, 78 bits differ in large sets, with a deviation of 8, and 96,
+    with one of 9, where 4 shingles stand against 5; 136 bits, 84 of them in one half, leave more than four deviations.
+    Candidates that hang together are then compared exactly. Different sets of fewer than 4 shingles are never that
+    similar, equal sets always are (those without shingles too). Of repeated rows with the doc_id that stays, all stay.
+    """
+    lanes, radius, half_radius = 8, 136, 84
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.keep(sets(docs, words, lanes).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
+    alike = prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"))
+    alike = scratch.keep(alike, "alike")
+    near = components(linked(alike.filter("n_shingles >= 4").select("id", "fp", _band("n_shingles").alias("band")), lanes, radius, 1, scratch, half_radius), scratch)
+    near = near.union(near.select("component", "component").distinct())
+    texts = docs.withColumn("id", F.col("doc_id").cast("long")).join(near.withColumnRenamed("component", "grp"), "id")
+    found = components(exact_links(texts, words, least, scratch), scratch)
+    named = scratch.keep(alike.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id")), "named")
+    gone = prints.select("doc_id", "set").join(named, "set").filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

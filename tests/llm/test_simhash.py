@@ -71,3 +71,26 @@ def test_components(spark):
     found = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark)).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {60: 50, 70: 50}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch):
+    """Sets of few shingles and of many, at, just under and well under 0.8: SimHash distances of these overlap."""
+    monkeypatch.setattr(simhash, "SET_ROWS", 2)
+    monkeypatch.setattr(simhash, "SET_WIDTH", 64)
+    names = (f"w{k}" for k in range(10**7))
+    prose = lambda n: [next(names) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        few, some, many = prose(8), prose(8), prose(404)
+        texts += [few, few + prose(1)]  # 4 of 5 shingles
+        texts += [prose(1) + some, some + prose(1)]  # 4 of 6
+        texts += [many, many + prose(100), many + prose(101)]  # 400 of 500, 400 of 501
+        texts += [many[:4] + prose(4)]
+        base = prose(304)
+        texts += [base + prose(50), base + prose(50)]  # 300 of 400: 0.75
+    texts += [prose(3), [], []]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    runs = [set(simhash.shingles(" ".join(t), 5)) for t in texts]
+    like = lambda a, b: len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])
+    root = groups_of(range(len(texts)), like)
+    assert sorted(r.doc_id for r in simhash.near_copies_out(docs).collect()) == [k for k, r in root.items() if k == r]
