@@ -33,8 +33,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 1,024 tokens; documents of which nothing is left are not packed."""
-    return packing.pack_documents(docs.filter("text <> ''"), tokenizer_file(), capacity=1024, end_id=2)
+    """Best-fit packing into sequences of 1,024 tokens; a document of which nothing is left is the end id alone."""
+    return packing.pack_documents(docs, tokenizer_file(), capacity=1024, end_id=2)
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_copies), ("suffix-array dedup", repeated_strings), ("best-fit packing", packing_plan)]
