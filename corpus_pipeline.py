@@ -27,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: bytes of strings of 200 bytes, fewer than 50 words have, that come more than once go; n_chars follows."""
+    """Suffix-array dedup: bytes of strings of 200 bytes, which nearly all runs of over 50 words reach, that come more than once go; n_chars follows."""
     left = repeats.without_repeats(docs, length=200)
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long")).select(COLUMNS)
 
