@@ -9,18 +9,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-REMEMBERED = 500_000
-RUN_BYTES = 1 << 15
-GROUP_CHARS = 1 << 18
+REMEMBERED = 1_000_000
+SLOTS = 1 << 21
+GROUP_CHARS = 1 << 20
+NEVER = np.iinfo(np.int32).max
+# fragments that the merges here take on: of white space, ASCII and Latin letters alone, whose classes no table disputes
+LATIN = re.compile(rb"(?:[\t\n\r -~]|[\xc3-\xc9][\x80-\xbf])+").fullmatch
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+# Fixed value: the pattern of the byte-level pre-tokenizer.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 # next to last bytes of the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000
 SPACE_LEADS = np.isin(np.arange(256), [0xC2, 0x9A, 0x80, 0x81])
 
@@ -32,6 +40,141 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Merges:
+    """The merges of a vocabulary, carried out on many pieces at once."""
+
+    def __init__(self, byte_ids: np.ndarray, rules: list[tuple[int, int, int]]):
+        """rules: (left id, right id, merged id) by rank."""
+        self.byte_ids = byte_ids
+        left, right, new = (np.array(x, np.int64) for x in zip(*rules))
+        self.bits = max(4, (4 * len(rules)).bit_length())
+        self.keys, self.rank = np.full(1 << self.bits, -1), np.full(1 << self.bits, NEVER, np.int32)
+        self.new = new.astype(np.int32)
+        keys, todo = left << 32 | right, np.arange(len(rules))
+        at = self._slots(keys)
+        while len(todo):  # of those that want a free slot the last one has it, the others go on
+            free = todo[self.keys[at[todo]] < 0]
+            self.keys[at[free]] = keys[free]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        self.rank[at] = np.arange(len(rules))
+
+    @staticmethod
+    def in_order(rules: list[tuple[int, int, int]]) -> bool:
+        """Whether no merge makes a pair of a lower rank than its own, so that all pairs of the lowest rank can be merged at once."""
+        made: dict[int, int] = {}
+        for rank, (_, _, new) in enumerate(rules):
+            made[new] = rank
+        return all(max(made.get(a, -1), made.get(b, -1)) < rank for rank, (a, b, _) in enumerate(rules))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.rank[at], NEVER)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.rank[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+    def apply(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that aren't empty, one after the other, and how many each has. In each turn every piece merges its pairs of the lowest rank."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int64)
+        piece, done = np.repeat(np.arange(len(pieces)), sizes), []
+        ranks = np.full(len(ids), NEVER, np.int32)
+        inner = np.flatnonzero(piece[1:] == piece[:-1])
+        ranks[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            first = np.append(True, piece[1:] != piece[:-1])
+            starts = np.flatnonzero(first)
+            lowest = np.minimum.reduceat(ranks, starts)
+            own = np.cumsum(first) - 1
+            ended = (lowest == NEVER)[own]
+            if ended.any():
+                done.append((piece[ended], ids[ended]))
+                keep = ~ended
+                ids, piece, ranks, own = ids[keep], piece[keep], ranks[keep], own[keep]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == lowest[own])
+            run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # of overlapping pairs every other one
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            ids[at] = self.new[ranks[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            changed = np.zeros(len(ids), bool)
+            changed[at] = True
+            before = at[at > 0] - 1
+            before = np.where(keep[before], before, before - 1)  # a pair that ended there was merged as well
+            changed[before] = True
+            ids, piece, ranks, changed = ids[keep], piece[keep], ranks[keep], np.flatnonzero(changed[keep])
+            ranks[changed] = NEVER
+            changed = changed[changed + 1 < len(ids)]
+            changed = changed[piece[changed] == piece[changed + 1]]
+            ranks[changed] = self._ranks(ids[changed], ids[changed + 1])
+        if not done:
+            return np.zeros(0, np.uint32), np.zeros(len(pieces), np.int64)
+        piece, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(piece, kind="stable")
+        return ids[order].astype(np.uint32), np.bincount(piece, minlength=len(pieces))
+
+
+class Memory:
+    """Ids of fragments. Those of up to 16 bytes are found by their bytes, as two integers; longer ones in a dictionary. Place 0 is the empty fragment."""
+
+    def __init__(self):
+        self.low, self.high, self.slot = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.ids, self.edges, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places of short fragments, -1 where unknown."""
+        at = self._slots(low, high)
+        out = self.slot[at]
+        todo = np.flatnonzero((out >= 0) & ((self.low[at] != low) | (self.high[at] != high)))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+            out[todo] = self.slot[at[todo]]
+            todo = todo[(out[todo] >= 0) & ((self.low[at[todo]] != low[todo]) | (self.high[at[todo]] != high[todo]))]
+        return out
+
+    def hold(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Append the ids of fragments, so many each, and return the place of the first one."""
+        first, at = self.n, int(self.edges[self.n])
+        self.n += len(counts)
+        while self.n >= len(self.edges):
+            self.edges = np.append(self.edges, np.zeros_like(self.edges))
+        while at + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[at : at + len(ids)] = ids
+        self.edges[first + 1 : self.n + 1] = at + np.cumsum(counts)
+        return first
+
+    def remember(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        """Short fragments that aren't there yet, each once."""
+        at, todo = self._slots(low, high), np.arange(len(place))
+        while len(todo):  # of those that want a free slot the last one has it, the others go on
+            free = todo[self.slot[at[todo]] < 0]
+            self.slot[at[free]] = place[free]
+            won = self.slot[at[todo]] == place[todo]
+            own, todo = todo[won], todo[~won]
+            self.low[at[own]], self.high[at[own]] = low[own], high[own]
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -46,16 +189,30 @@ class Encoder:
         letters = _byte_letters()
         plain = {i: bytes(letters[c] for c in t) for t, i in model["model"]["vocab"].items() if t not in self.added}
         self.bytes_of = plain | {i: t.encode() for t, i in self.added.items()}
-        self.length = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for i, t in self.bytes_of.items():
-            self.length[i] = len(t)
         self.decimal = {i: str(i).encode() for i in self.bytes_of}
+        self.merges = self._merges(model["model"], letters)
         self.cuts = self._forced(plain.values())
         # a zero byte stands between texts there
         self.inner_cuts = self.cuts.reshape(256, 256).copy()
         self.inner_cuts[0, :] = self.inner_cuts[:, 0] = 0
         self.inner_cuts = self.inner_cuts.reshape(-1)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.memory = Memory()
+
+    @staticmethod
+    def _merges(model: dict, letters: dict[str, int]) -> Merges | None:
+        """None for models whose merges cannot be carried out by rank alone; the library encodes all of their fragments."""
+        vocab, rules = model["vocab"], []
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) or any(c not in vocab for c in letters):
+            return None
+        for rule in model["merges"]:
+            a, b = rule.split(" ") if isinstance(rule, str) else rule
+            rules.append((vocab[a], vocab[b], vocab[a + b]))
+        if not rules or not Merges.in_order(rules):
+            return None
+        byte_ids = np.zeros(256, np.int64)
+        for letter, byte in letters.items():
+            byte_ids[byte] = vocab[letter]
+        return Merges(byte_ids, rules)
 
     @staticmethod
     def _forced(tokens) -> np.ndarray:
@@ -89,65 +246,71 @@ class Encoder:
         edges = [0, *(np.flatnonzero(self._cut(np.frombuffer(raw, np.uint8), self.cuts)) + 1).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
-    def _all_fragments(self, raws: list[bytes]) -> tuple[list[bytes], list[int]]:
-        """Fragments of texts without a zero byte, and how many each has; an empty text has an empty one."""
-        joined = b"\0".join(raws)
-        v = np.frombuffer(joined, np.uint8)
-        if len(v) < 2:
-            return joined.split(b"\0"), [1] * len(raws)
-        cut = self._cut(v, self.inner_cuts)
-        at = np.arange(len(v))
-        np.add(at[1:], np.cumsum(cut), out=at[1:])
-        spaced = np.zeros(at[-1] + 1, np.uint8)
-        spaced[at] = v
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        shift = at - np.arange(len(v))
-        last = np.minimum(np.maximum(starts + sizes - 1, starts), len(v) - 1)
-        return spaced.tobytes().split(b"\0"), (shift[last] - shift[np.minimum(starts, len(v) - 1)] + 1).tolist()
-
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of fragments. Where a cut before and after it is certain, a fragment is encoded in a run, after a line feed if it doesn't start with a space."""
-        found: dict[bytes, bytes] = {}
-        after = self.cuts.reshape(256, 256)[:, [10, 32]].min(1).tolist()
-        ends = lambda f: after[f[-1]] == 1 or after[f[-1]] == 2 and len(f) > 1 and not SPACE_LEADS[f[-2]]
-        starts = lambda f: f[0] == 32 and len(f) > 1 and f[1] > 32 or f[:1].isalnum()
-        chained = {f for f in missing if f and starts(f) and ends(f)}
-        alone = [f for f in missing if f not in chained]
-        runs, size = [[]], 0
-        for f in chained:
-            if size > RUN_BYTES:
-                runs.append([])
-                size = 0
-            runs[-1].append(f)
-            size += len(f)
-        for run in filter(None, runs):
-            parts = [f if f[0] == 32 else b"\n" + f for f in run]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))) + 1
-            data, stops = ids.tobytes(), (4 * stops).tolist()
-            for f, a, b in zip(run, [0, *stops], stops):
-                found[f] = data[a if f[0] == 32 else a + 4 : b]
-        if alone:
-            for f, e in zip(alone, self.tokenizer.encode_batch_fast([f.decode() for f in alone], add_special_tokens=False)):
-                found[f] = np.array(e.ids, "<u4").tobytes()
-        return found
+    def _learn(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of fragments, one after the other, and how many each has: by the merges here or by the library."""
+        own, counts = np.full(len(fragments), self.merges is not None), np.zeros(len(fragments), np.int64)
+        pieces, n_pieces = [], []
+        for k, f in enumerate(fragments if self.merges else []):
+            if WORD(f):
+                pieces.append(f)
+                n_pieces.append(1)
+            elif LATIN(f):
+                found = [x.encode() for x in PIECES(f.decode())]
+                pieces += found
+                n_pieces.append(len(found))
+            else:
+                own[k] = False
+        merged, n = self.merges.apply(pieces) if pieces else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        counts[own] = np.add.reduceat(n, np.cumsum([0, *n_pieces[:-1]])) if n_pieces else 0
+        others = [f.decode() for f, mine in zip(fragments, own.tolist()) if not mine]
+        if not others:
+            return merged, counts
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        counts[~own] = list(map(len, ids))
+        out, mine = np.zeros(counts.sum(), np.uint32), np.repeat(own, counts)
+        out[mine] = merged
+        out[~mine] = [x for e in ids for x in e]
+        return out, counts
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         raws = [t.encode() for t in texts]
         whole = [b"\0" in r or any(a in t for a in self.added) for r, t in zip(raws, texts)]
-        pieces, counts = self._all_fragments([b"" if w else r for r, w in zip(raws, whole)])
-        got = list(map(self.known.get, pieces))
-        if None in got:
-            holes = [k for k, x in enumerate(got) if x is None]
-            found = self._learn(list({pieces[k] for k in holes}))
-            for k in holes:
-                got[k] = found[pieces[k]]
+        # a zero byte stands between texts, and some more at the end
+        joined = b"\0".join(b"" if w else r for r, w in zip(raws, whole))
+        n, v = len(joined), np.frombuffer(joined + bytes(16), np.uint8)
+        cuts = np.flatnonzero(self._cut(v[:n], self.inner_cuts)) + 1 if n > 1 else np.zeros(0, np.int64)
+        zeros = np.flatnonzero(v[:n] == 0)
+        starts, ends = np.sort(np.concatenate([[0], cuts, zeros + 1])), np.sort(np.concatenate([cuts, zeros, [n]]))
+        size = ends - starts
+
+        eight = np.ndarray(n + 9, "<u8", v.tobytes(), strides=(1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        low, high = eight[starts] & mask[np.minimum(size, 8)], eight[np.minimum(starts + 8, n + 8)] & mask[np.clip(size - 8, 0, 8)]
+        memory, place = self.memory, np.zeros(len(starts), np.int32)
+        short = np.flatnonzero((size > 0) & (size <= 16))
+        place[short] = memory.find(low[short], high[short])
+        long = np.flatnonzero(size > 16)
+        place[long] = [memory.long.get(joined[a:b], -1) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        kept = memory.n
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            names = [joined[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist())]
+            first = dict(zip(reversed(names), reversed(missing.tolist())))
+            new, at = list(first), np.fromiter(first.values(), np.int64, len(first))
+            begin = memory.hold(*self._learn(new))
+            own = dict(zip(new, range(begin, memory.n)))
+            place[missing] = list(map(own.get, names))
             # those met first are the most frequent ones, so they stay
-            if len(self.known) < REMEMBERED:
-                self.known |= found
-        edges = [0, *np.cumsum(counts).tolist()]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(got[a:b]) for t, w, a, b in zip(texts, whole, edges, edges[1:])]
+            if kept + len(new) < REMEMBERED:
+                kept, few = memory.n, size[at] <= 16
+                memory.remember(low[at[few]], high[at[few]], place[at[few]])
+                memory.long |= {f: own[f] for f, s in zip(new, few.tolist()) if not s}
+        count = memory.edges[place + 1] - memory.edges[place]
+        stops = np.cumsum(count)
+        ids = memory.ids[np.repeat(memory.edges[place] - stops + count, count) + np.arange(stops[-1])]
+        memory.n = kept
+        edges = np.append(0, stops)[np.searchsorted(starts, np.concatenate([[0], zeros + 1, [n + 1]]))].tolist()
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, edges, edges[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
