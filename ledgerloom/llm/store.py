@@ -23,21 +23,28 @@ from ledgerloom.llm.bpe import encoder
 from ledgerloom.llm.scratch import TEXTS_AT_ONCE, Scratch, shuffle_partitions
 
 WINDOW = 8
+DOCS_AT_ONCE = 512
+SEEN = 1 << 18
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
 
-def cut_points(ids: np.ndarray, mean: int, most: int) -> np.ndarray:
-    """Ends of the chunks of ids: after each id where a rolling sum of the hashes of the last WINDOW ids has zeros in the bits of mean - 1, and every `most` ids where that doesn't come."""
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    rolling = np.cumsum(mixed * np.uint64(0xD6E8FEB86659FD93))
-    rolling[WINDOW:] -= rolling[:-WINDOW].copy()
-    ends = np.flatnonzero(rolling >> np.uint64(32) & np.uint64(mean - 1) == 0) + 1
-    ends = np.unique(np.append(ends, len(ids)))
+def cut_points(ids: np.ndarray, stops: np.ndarray, mean: int, most: int) -> np.ndarray:
+    """Ends of the chunks of documents that lie one after the other and end at stops.
+
+    A chunk ends where its document does, after each id where a rolling sum of the hashes of the document's last WINDOW ids
+    has zeros in as many bits as mean, a power of two, asks for, and every `most` ids where that doesn't come.
+    """
+    mixed = ids * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    sums = np.append(np.uint32(0), np.cumsum(mixed, dtype=np.uint32))
+    rolling = (sums[WINDOW:] - sums[:-WINDOW]) * np.uint32(0xC2B2AE3D)
+    ends = np.flatnonzero(rolling < np.uint32((1 << 32) // mean)) + WINDOW if mean > 1 else np.arange(WINDOW, len(sums))
+    begin = np.append(0, stops)[np.searchsorted(stops, ends - 1, side="right")]
+    ends = np.union1d(ends[ends - begin >= WINDOW], stops)
     starts = np.append(0, ends[:-1])
-    if (ends - starts).max() > most:
-        ends = np.unique(np.concatenate([ends, *(np.arange(a + most, b, most) for a, b in zip(starts, ends) if b - a > most)]))
-    return ends
+    long = np.flatnonzero(ends - starts > most)
+    return np.union1d(ends, np.concatenate([np.arange(a + most, b, most) for a, b in zip(starts[long], ends[long])])) if len(long) else ends
 
 
 def merkle_root(addresses: list[bytes]) -> bytes:
@@ -49,25 +56,34 @@ def merkle_root(addresses: list[bytes]) -> bytes:
 
 
 def _chunked(path: str, end_id: int, mean: int, most: int):
+    """A row for each document with arrays over its chunks; data is null for chunks that the task gave before, as far as it remembers."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.uint32(end_id).tobytes()
+        end, seen = np.uint32(end_id).tobytes(), set()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part, rows, seen = batch.iloc[at : at + 512], [], set()
-                for row, key, data in zip(part["row"], part["doc_id"], encoder(path).encode(part["text"].tolist())):
-                    data += end
-                    ids = np.frombuffer(data, "<u4")
-                    edges = [0, *cut_points(ids, mean, most).tolist()]
-                    width = 2 if ids.max() < 1 << 16 else 4
-                    narrow = ids.astype(f"<u{width}").tobytes()
-                    chunks = list(zip(edges, edges[1:]))
-                    addresses = [hashlib.sha256(data[4 * a : 4 * b]).digest() for a, b in chunks]
-                    for seq, ((a, b), address) in enumerate(zip(chunks, addresses)):
-                        new = address not in seen and not seen.add(address)
-                        head = (len(ids), len(chunks), merkle_root(addresses)) if seq == 0 else (None, None, None)
-                        rows.append((row, key, seq, address, b - a, width, narrow[width * a : width * b] if new else None, *head))
-                out = pd.DataFrame(rows, columns=["row", "doc_id", "seq", "address", "n", "width", "data", "n_tokens", "n_chunks", "root"])
-                yield out.astype({"n_tokens": "Int64", "n_chunks": "Int64"})
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                part = batch.iloc[at : at + DOCS_AT_ONCE]
+                datas = [x + end for x in encoder(path).encode(part["text"].tolist())]
+                sizes = np.fromiter(map(len, datas), np.int64, len(datas)) // 4
+                joined, stops = b"".join(datas), np.cumsum(sizes)
+                ids = np.frombuffer(joined, "<u4")
+                width = 2 if ids.max() < 1 << 16 else 4
+                narrow = ids.astype(f"<u{width}").tobytes()
+                ends = cut_points(ids, stops, mean, most)
+                edges = [0, *ends.tolist()]
+                addresses = [hashlib.sha256(joined[4 * a : 4 * b]).digest() for a, b in zip(edges, edges[1:])]
+                data = []
+                for a, b, address in zip(edges, edges[1:], addresses):
+                    new = address not in seen
+                    data.append(narrow[width * a : width * b] if new else None)
+                    if new and len(seen) < SEEN:
+                        seen.add(address)
+                lengths, of = np.diff(edges), [0, *(np.searchsorted(ends, stops) + 1).tolist()]
+                per = list(zip(of, of[1:]))
+                yield pd.DataFrame({
+                    "row": part["row"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_tokens": sizes, "root": [merkle_root(addresses[a:b]) for a, b in per], "width": width,
+                    "addresses": [addresses[a:b] for a, b in per], "sizes": [lengths[a:b] for a, b in per], "data": [data[a:b] for a, b in per],
+                })
 
     return run
 
@@ -91,13 +107,16 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, mean: i
     """
     scratch = Scratch(docs.sparkSession)
     key = docs.select("doc_id").schema[0]
-    schema = T.StructType([T.StructField("row", T.LongType()), key, *T.StructType.fromDDL("seq int, address binary, n int, width int, data binary, n_tokens long, n_chunks long, root binary")])
+    schema = T.StructType([T.StructField("row", T.LongType()), key, *T.StructType.fromDDL("n_tokens long, root binary, width int, addresses array<binary>, sizes array<int>, data array<binary>")])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     staged = scratch.keep(numbered.mapInPandas(_chunked(path, end_id, mean, most), schema), "staged", batch_rows=TEXTS_AT_ONCE)
     put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{store}/{name}")
-    put(staged.filter("data is not null").select("address", "n", "width", "data").dropDuplicates(["address"]), "chunks")
-    put(staged.select("row", "seq", "address", "n"), "recipes")
-    manifest = _with_starts(staged.filter("seq = 0").select("row", "doc_id", "n_tokens", "n_chunks", "root"), scratch)
+    chunks = staged.select("width", F.explode(F.arrays_zip("addresses", "sizes", "data")).alias("c")).filter("c.data is not null")
+    chunks = chunks.select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), "width", F.col("c.data").alias("data"))
+    put(chunks.dropDuplicates(["address"]), "chunks")
+    recipes = staged.select("row", F.posexplode(F.arrays_zip("addresses", "sizes")).alias("seq", "c"))
+    put(recipes.select("row", "seq", F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n")), "recipes")
+    manifest = _with_starts(staged.select("row", "doc_id", "n_tokens", F.size("addresses").cast("long").alias("n_chunks"), "root"), scratch)
     columns = ["row", "doc_id", "start", "n_tokens", "n_chunks", "root"]
     put(manifest.repartitionByRange(shuffle_partitions(docs.sparkSession), "start").sortWithinPartitions("start").select(columns), "manifest")
     scratch.drop(staged)
@@ -137,36 +156,45 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parts, crcs, after = [], [], []
-        for row, root, n_chunks, chunks in zip(batch["row"], batch["root"], batch["n_chunks"], batch["chunks"]):
-            chunks = sorted(chunks, key=lambda c: c["seq"])
-            if len(chunks) != n_chunks or any(c["crc"] is None for c in chunks) or merkle_root([bytes(c["address"]) for c in chunks]) != root:
+        for row, root, n_chunks, addresses, crcs in zip(batch["row"], batch["root"], batch["n_chunks"], batch["addresses"], batch["crcs"]):
+            # a chunk that is missing has no checksum, and a null makes the array one of floats
+            if len(addresses) != n_chunks or crcs.dtype.kind == "f" or merkle_root(list(addresses)) != root:
                 raise ValueError(f"document {row} does not have its Merkle root")
-            sizes = np.array([4 * c["n"] for c in chunks])
-            parts.append(len(chunks))
-            crcs += [c["crc"] for c in chunks]
-            after += (sizes.sum() - np.cumsum(sizes)).tolist()
-        moved = moved_crc(np.array(crcs, np.uint64), np.array(after, np.uint64))
-        ids_crc32 = np.bitwise_xor.reduceat(moved, np.cumsum([0, *parts[:-1]])) if parts else []
-        yield batch.drop(columns=["root", "n_chunks", "chunks"]).assign(ids_crc32=np.array(ids_crc32, np.int64))
+        parts = np.fromiter(map(len, batch["sizes"]), np.int64, len(batch))
+        if not len(batch):
+            continue
+        size, stops = 4 * np.concatenate(batch["sizes"].to_list()).astype(np.int64), np.cumsum(parts)
+        total = np.cumsum(size)
+        after = np.repeat(total[stops - 1], parts) - total
+        moved = moved_crc(np.concatenate(batch["crcs"].to_list()).astype(np.uint64), after.astype(np.uint64))
+        ids_crc32 = np.bitwise_xor.reduceat(moved, stops - parts).astype(np.int64)
+        yield batch.drop(columns=["root", "n_chunks", "addresses", "sizes", "crcs"]).assign(ids_crc32=ids_crc32)
 
 
 def digests(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of a store's documents, from its files, with every chunk and Merkle root checked.
 
-    A document's checksum is put together from those of its chunks, so ids are read once and never moved.
+    A document's checksum is put together from those of its chunks, so ids are read once and never moved. Damage raises
+    ValueError. A null doc_id stays null; documents with equal ones have a row each; a store without documents gives none.
     """
     chunks, recipes, manifest = (spark.read.parquet(f"{store}/{t}") for t in ("chunks", "recipes", "manifest"))
     sums = chunks.mapInPandas(_checked, "address binary, crc long")
-    used = recipes.join(sums, "address", "left")
-    used = used.groupBy("row").agg(F.collect_list(F.struct("seq", "address", "n", "crc")).alias("chunks"))
-    out = manifest.join(used, "row", "left").select("row", "doc_id", "start", "n_tokens", "root", "n_chunks", F.coalesce("chunks", F.array()).alias("chunks"))
-    schema = T.StructType([f for f in out.schema if f.name not in ("root", "n_chunks", "chunks")] + [T.StructField("ids_crc32", T.LongType())])
+    used = recipes.join(sums, "address", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "n", "crc"))).alias("c"))
+    used = used.select("row", F.col("c.address").alias("addresses"), F.col("c.n").alias("sizes"), F.col("c.crc").alias("crcs"))
+    out = manifest.join(used, "row", "left").select(
+        "row", "doc_id", "start", "n_tokens", "root", "n_chunks",
+        F.coalesce("addresses", F.array().cast("array<binary>")).alias("addresses"), F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes"), F.coalesce("crcs", F.array().cast("array<long>")).alias("crcs"),
+    )
+    schema = T.StructType([f for f in out.schema if f.name in ("row", "doc_id", "start", "n_tokens")] + [T.StructField("ids_crc32", T.LongType())])
     return out.mapInPandas(_summed, schema).drop("row")
 
 
 def documents(spark: SparkSession, store: str) -> DataFrame:
-    """(doc_id, start, ids) of a store, ids as little-endian unsigned 32-bit integers with the end id."""
+    """(doc_id, start, ids) of a store, ids as little-endian unsigned 32-bit integers with the end id.
+
+    Chunks go to the documents that use them, so a document has to fit into memory. Nulls, equal ids and an empty store as
+    in digests(), whose checks this leaves out.
+    """
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
