@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import bpe, packing, store
 from ledgerloom.llm.queries import tokenizer_file
+from ledgerloom.llm.scratch import Scratch
 from ledgerloom.workspace import new_path
 
 PATH = tokenizer_file()
@@ -83,9 +84,22 @@ def test_packing(docs, tokenizer, capacity):
     assert len(by_sequence) <= 1.02 * len(gaps) + 1
 
 
-def test_sweep_takes_the_longest_that_fits():
-    assert packing.sweep({3: 2, 5: 1}, {4: 1, 6: 1, 9: 3}) == [(3, 0, 1, 4, 0), (5, 0, 1, 6, 0), (3, 1, 1, 9, 0)]
-    assert packing.sweep({7: 1}, {6: 4}) == []
+def test_sweep_takes_the_longest_that_fits(spark, monkeypatch):
+    """Against a stack: from the smallest slot on, each takes the longest piece left that fits it."""
+    monkeypatch.setattr(packing, "ROWS_AT_ONCE", 40)
+    rng = np.random.default_rng(3)
+    lengths, rooms, slots = rng.integers(1, 40, 150).tolist(), rng.integers(1, 90, 60).tolist(), rng.integers(1, 4, 60).tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    gaps = spark.createDataFrame([(k, g, s) for k, (g, s) in enumerate(zip(rooms, slots))], "sequence_id long, gap long, slots long")
+    found = {r.pid: (r.sequence_id, r.slot) for r in packing._swept(pieces, gaps, 210, Scratch(spark)).collect() if r.sequence_id is not None}
+    events = sorted([(n, 0, k, 1) for k, n in enumerate(lengths)] + [(g // s, 1, k, s) for k, (g, s) in enumerate(zip(rooms, slots))])
+    stack, due = [], {}
+    for _, kind, key, n in events:
+        if kind == 0:
+            stack.append(key)
+        else:
+            due |= {stack.pop(): (key, slot) for slot in range(min(n, len(stack)))}
+    assert found == due
 
 
 def test_packing_of_nothing(no_docs):
