@@ -4,8 +4,13 @@ A unit vector is rotated by a random orthogonal matrix; the signs of its compone
 vector of components +-1/sqrt(D) nearest to it. Stored with the code: the inner product of the two (the correction
 factor), and the rotated vector itself in LEVELS steps a component, with the length of what that rounds off. Ands and bit
 counts of one vector's code and the other's steps give the inner product of code and vector; divided by the correction
-factor it is an unbiased estimate of the cosine. The angles between vector, code and other vector bound the cosine with
-certainty. Pairs whose bound stays below the threshold are done; the others are computed again from the vectors.
+factor it is an unbiased estimate of the cosine. At a cosine of t it lies within sqrt(1 - t^2) sqrt(1 - c^2) / c of t,
+c being the correction factor, and within that times eps / sqrt(D - 1) of t but for a chance that falls as exp(-eps^2 / 2).
+Estimates outside of the confidence bound of the threshold decide a pair at once, the others have it computed again.
+
+Vectors are dealt to cells by the component that sticks out most once they are rotated, so those that are near each other
+often share a cell. Only codes and factors travel to the comparison of cells. What they cannot decide goes on as pairs of
+ids, to which the vectors are joined, or as a pair of cells where so many pairs are left that moving vectors is cheaper.
 """
 
 from __future__ import annotations
@@ -15,18 +20,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 from ledgerloom.llm.simhash import spanning
 
-TILE_ROWS = 4096
+LEAST_ROWS, MOST_ROWS = 1024, 16384
+#: A pair of cells with more undecided pairs than so many times its rows is computed again as a whole.
+DENSE = 4
 PLANES = 4
 LEVELS = 1 << PLANES
-SLACK = 1e-6
-CODED = "key long, n long, vec array<double>, code array<long>, steps array<long>, factors array<double>"
+SLACK = 1e-5
+CODED = "key long, d int, side int, code array<long>, steps array<long>, factors array<double>"
 
 
 @lru_cache(maxsize=4)
@@ -53,6 +60,13 @@ def encode(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray,
     return _bits(turned > 0), np.stack([_bits(level >> k & 1) for k in range(PLANES)], axis=1), factors
 
 
+def rounded(steps: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The rotated unit vectors as their steps give them."""
+    bits = np.unpackbits(np.ascontiguousarray(steps).view(np.uint8).reshape(*steps.shape[:2], -1), axis=-1, bitorder="little")
+    level = sum(bits[:, k].astype(np.float64) * (1 << k) for k in range(PLANES))
+    return factors[:, 1:2] + factors[:, 2:3] * level
+
+
 def code_products(code: np.ndarray, steps: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
     """Inner products of each coded unit vector (rows) with each rounded vector (columns)."""
     # numpy counts the bits of signed integers without their sign
@@ -74,75 +88,151 @@ def estimate(code: np.ndarray, correction: np.ndarray, steps: np.ndarray, factor
     return code_products(code, steps, factors, size) / correction[:, None]
 
 
+def confidence(correction: np.ndarray, t: float, size: int, eps: float | None) -> np.ndarray:
+    """How far below t estimates can lie for pairs with a cosine of t or more: for certain, or with eps standard deviations if that is less."""
+    width = 1.0 if eps is None else min(1.0, eps / np.sqrt(size - 1))
+    return width * np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(np.maximum(0, 1 - correction**2)) / correction
+
+
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for _, part in batch.groupby(batch["vec"].map(len)):
-            code, steps, factors = encode(np.stack(part["vec"].to_list()).astype(float))
-            yield part.assign(code=list(code), steps=list(steps.reshape(len(part), -1)), factors=list(factors))
-
-
-class _Tile:
-    def __init__(self, row, side: str):
-        get = lambda name: np.asarray(getattr(row, f"{name}_{side}"))
-        self.keys, self.n = get("keys"), get("n")
-        self.vec = get("vec").reshape(len(self.keys), -1)
-        self.norm = np.linalg.norm(self.vec, axis=1)
-        self.code = get("code").reshape(len(self.keys), -1)
-        self.steps = get("steps").reshape(len(self.keys), PLANES, -1)
-        self.factors = get("factors").reshape(len(self.keys), 5)
-
-
-def _pairs(a: _Tile, b: _Tile, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with a cosine of at least `least`; of a tile with itself, each pair once."""
-    size = 64 * a.code.shape[1]
-    # the code is acos(correction) away from its vector, so a partner is no further from it than that and acos(least)
-    reach = np.minimum(np.arccos(np.clip(a.factors[:, 0], -1, 1)) + np.arccos(least), np.pi)
-    floor = np.cos(reach).astype(np.float32)[:, None] - b.factors[:, 3].astype(np.float32) - np.float32(SLACK)
+        for d, part in batch.groupby(batch["vec"].map(len)):
+            vectors = np.stack(part["vec"].to_list()).astype(float)
+            code, steps, factors = encode(vectors)
+            turned = rounded(steps, factors)
+            most = np.abs(turned).argmax(1)
+            side = 2 * most + (turned[np.arange(len(part)), most] > 0)
+            yield pd.DataFrame({"key": part["key"], "d": d, "side": side, "code": list(code), "steps": list(steps.reshape(len(part), -1)), "factors": list(factors)})
+
+
+class _Cell:
+    def __init__(self, keys, code, steps, factors):
+        self.keys = np.asarray(keys)
+        self.code = np.asarray(code).reshape(len(self.keys), -1)
+        self.steps = np.asarray(steps).reshape(len(self.keys), PLANES, -1)
+        self.factors = np.asarray(factors).reshape(len(self.keys), 5)
+
+
+def undecided(a: _Cell, b: _Cell, least: float, same: bool, eps: float | None, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index pairs that may have a cosine of at least `least`, of a cell with itself each pair once; None if there are more than `most`."""
+    size, found, n = 64 * a.code.shape[1], [], 0
+    # the estimate is of code and rounded vector: the rounding adds to what it may be off
+    floor = least - confidence(a.factors[:, 0], least, size, eps)[:, None] - b.factors[:, 3] / a.factors[:, :1] - SLACK
+    ra, rb = rounded(a.steps, a.factors), rounded(b.steps, b.factors)
+    ea, eb = a.factors[:, 3], b.factors[:, 3]
     step = max(1, (1 << 20) // len(b.keys))
     for at in range(0, len(a.keys), step):
-        i, j = np.nonzero(code_products(a.code[at : at + step], b.steps, b.factors, size) >= floor[at : at + step])
+        part = slice(at, at + step)
+        i, j = np.nonzero(estimate(a.code[part], a.factors[part, 0], b.steps, b.factors, size) >= floor[part].astype(np.float32))
         i += at
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 1 << 16):
             p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            hit = np.einsum("ij,ij->i", a.vec[p], b.vec[q]) / (a.norm[p] * b.norm[q]) >= least
-            if hit.any():
-                yield p[hit], q[hit]
+            # the rounded vectors of both are as far from the cosine as their roundings can make it
+            near = np.einsum("ij,ij->i", ra[p], rb[q]) + ea[p] + eb[q] + ea[p] * eb[q] + SLACK >= least
+            if near.any():
+                found.append((p[near], q[near]))
+                n += int(near.sum())
+                if n > most:
+                    return None
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+FOUND = "d int, cell_a long, cell_b long, a long, b long"
 
 
-def _compared(least: float):
+def _compared(least: float, eps: float | None):
+    """(d, cell_a, cell_b, a, b): undecided pairs of ids, or a row without ids for a dense pair of cells."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                a, b, same = _Tile(row, "a"), _Tile(row, "b"), row.tile_a == row.tile_b
-                keys = a.keys if same else np.concatenate([a.keys, b.keys])
-                n = a.n if same else np.concatenate([a.n, b.n])
-                shift, links = 0 if same else len(a.keys), np.zeros(len(keys), np.int64)
+                a = _Cell(row.keys_a, row.code_a, row.steps_a, row.factors_a)
+                same = row.cell_a == row.cell_b
+                b = a if same else _Cell(row.keys_b, row.code_b, row.steps_b, row.factors_b)
+                pairs = undecided(a, b, least, same, eps, DENSE * (len(a.keys) + len(b.keys)))
+                if pairs is None:
+                    yield pd.DataFrame({"d": [row.d], "cell_a": [row.cell_a], "cell_b": [row.cell_b], "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})
+                elif len(pairs[0]):
+                    yield pd.DataFrame({"d": row.d, "cell_a": row.cell_a, "cell_b": row.cell_b, "a": a.keys[pairs[0]], "b": b.keys[pairs[1]]})
+
+    return run
+
+
+def _unit(vectors) -> np.ndarray:
+    vectors = np.stack(list(vectors)).astype(float)
+    vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
 
-                def found():
-                    for i, j in _pairs(a, b, least, same):
+def _exact(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(batch["vec_a"].map(len)):
+                hit = part[np.einsum("ij,ij->i", _unit(part["vec_a"]), _unit(part["vec_b"])) >= least]
+                yield pd.DataFrame({"a": np.append(hit["a"], hit["b"]), "b": np.append(hit["b"], hit["a"]), "links": np.append(hit["n_b"], hit["n_a"])}).astype(np.int64)
+
+    return run
+
+
+def _exact_cells(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                same = row.cell_a == row.cell_b
+                keys = [np.asarray(row.keys_a), np.asarray(row.keys_b)]
+                units = [_unit(np.asarray(v).reshape(len(k), -1)) for v, k in zip((row.vec_a, row.vec_b), keys)]
+                shift = 0 if same else len(keys[0])
+                keys, n = (keys[0], np.asarray(row.n_a)) if same else (np.concatenate(keys), np.concatenate([row.n_a, row.n_b]))
+                links, step = np.zeros(len(keys), np.int64), max(1, (1 << 20) // len(units[1]))
+
+                def hits():
+                    for at in range(0, len(units[0]), step):
+                        i, j = np.nonzero(units[0][at : at + step] @ units[1].T >= least)
+                        i += at
+                        if same:
+                            i, j = i[i < j], j[i < j]
                         np.add.at(links, i, n[j + shift])
                         np.add.at(links, j + shift, n[i])
                         yield i, j + shift
 
-                root = spanning(len(keys), found())
+                root = spanning(len(keys), hits())
                 used = np.flatnonzero(links)
                 yield pd.DataFrame({"a": keys[used], "b": keys[root[used]], "links": links[used]})
 
     return run
 
 
-def near_copies(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def _dealt(coded: DataFrame, tasks: int) -> DataFrame:
+    """coded with cell and n_cells: of vectors of one length in order of their sides, cells of about as many rows as make twice as many pairs of cells as tasks, within bounds."""
+    per_side = coded.groupBy("d", "side").agg(F.count("*").alias("n_side"))
+    order = Window.partitionBy("d").orderBy("side")  # of one length, at most four rows for each component
+    per_side = per_side.withColumn("before", F.sum("n_side").over(order) - F.col("n_side")).withColumn("of", F.sum("n_side").over(Window.partitionBy("d")))
+    rows = F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.ceil(F.col("of") / F.ceil(F.sqrt(F.lit(4.0 * tasks))))))
+    per_side = per_side.withColumn("rows", rows).withColumn("n_cells", F.ceil(F.col("of") / F.col("rows")))
+    at = F.col("before") + F.pmod(F.xxhash64("key"), F.col("n_side"))
+    return coded.join(per_side, ["d", "side"]).withColumn("cell", F.floor(at / F.col("rows"))).drop("side", "n_side", "before", "of", "rows")
+
+
+def _sides(pairs: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
+    side = lambda s: cells.select("d", *(F.col(c).alias(f"{c}_{s}") for c in ["cell", *columns]))
+    return pairs.join(side("a"), ["d", "cell_a"]).join(side("b"), ["d", "cell_b"]).repartition(shuffle_partitions(cells.sparkSession))
+
+
+def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding; other columns are ignored).
 
     Two rows link if their cosine in double precision is `least` or more. n_links counts the rows a row links with;
     component_id is the smallest vec_id reachable, kept is true for that one. Vectors that are null, empty, zero or hold a
     null, NaN or infinity link with nothing; so do rows without a vec_id, which get a null component_id and are not kept.
-    Vectors of different lengths do not link. An empty table gives none.
+    Vectors of different lengths do not link. An empty table gives none. Equal vectors are one, with their number.
 
-    Equal vectors are one, with their number. Tiles of about TILE_ROWS vectors are compared with each other and themselves;
-    each pair of tiles sends back a count and a spanning link for each vector, never the pairs.
+    Without eps the confidence bound is the certain one, and no link is lost. With it, each link is lost with a chance of
+    about exp(-eps^2 / 2), and fewer pairs are computed again. All pairs of cells meet, a vector's code, of some 80 bytes
+    at 64 components, travels once for each cell, and pairs of ids are sent on for at most DENSE times a cell's rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     vec = F.col("embedding").cast("array<double>")
@@ -150,21 +240,27 @@ def near_copies(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     rows = vectors.select("vec_id", F.when(fine & F.col("vec_id").isNotNull(), vec).alias("vec"))
     alike = rows.filter("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").cast("long").alias("id"))
     alike = scratch.keep(alike.withColumn("key", F.monotonically_increasing_id()), "alike")
-    salts = {r[0]: -(-r[1] // TILE_ROWS) for r in alike.groupBy(F.size("vec")).count().collect()}
-    salt = F.coalesce(*(F.when(F.size("vec") == d, F.pmod(F.xxhash64("key"), F.lit(n))) for d, n in salts.items()), F.lit(0)) if salts else F.lit(0)
-    coded = alike.select("key", "n", "vec").mapInPandas(_coded, CODED)
-    tiles = coded.withColumn("tile", F.struct(F.size("vec").alias("d"), salt.cast("long").alias("salt")))
-    tiles = tiles.groupBy("tile").agg(F.collect_list(F.struct("key", "n", "vec", "code", "steps", "factors")).alias("rows"))
-    flat = [F.flatten(f"rows.{c}").alias(c) for c in ("vec", "code", "steps", "factors")]
-    tiles = scratch.keep(tiles.select("tile", F.col("rows.key").alias("keys"), F.col("rows.n").alias("n"), *flat), "tiles")
-
-    # a tile meets itself and those with a larger salt; the number of tiles of a length is known
-    size = F.coalesce(*(F.when(F.col("tile.d") == d, F.lit(n)) for d, n in salts.items()), F.lit(1)) if salts else F.lit(1)
-    pairs = tiles.select(F.col("tile").alias("tile_a"), F.explode(F.sequence(F.col("tile.salt"), size.cast("long") - 1)).alias("other"))
-    pairs = pairs.select("tile_a", F.struct(F.col("tile_a.d").alias("d"), F.col("other").alias("salt")).alias("tile_b"))
-    side = lambda s: tiles.select(*(F.col(c).alias(f"{c}_{s}") for c in tiles.columns))
-    work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").repartition(shuffle_partitions(spark))
-    found = scratch.keep(work.mapInPandas(_compared(least), "a long, b long, links long"), "found", batch_rows=4)
+    coded = scratch.keep(alike.select("key", "vec").mapInPandas(_coded, CODED), "coded")
+    dealt = scratch.keep(_dealt(coded, shuffle_partitions(spark)), "dealt")
+    cells = dealt.groupBy("d", "cell").agg(F.first("n_cells").alias("n_cells"), F.collect_list(F.struct("key", "code", "steps", "factors")).alias("rows"))
+    cells = cells.select("d", "cell", "n_cells", F.col("rows.key").alias("keys"), *(F.flatten(f"rows.{c}").alias(c) for c in ("code", "steps", "factors")))
+    cells = scratch.keep(cells, "cells")
+
+    pairs = cells.select("d", F.col("cell").alias("cell_a"), F.explode(F.sequence(F.col("cell"), F.col("n_cells") - 1)).alias("cell_b"))
+    work = _sides(pairs, cells, ["keys", "code", "steps", "factors"])
+    undecided_ = scratch.keep(work.mapInPandas(_compared(least, eps), FOUND), "undecided", batch_rows=4)
+
+    side = lambda s: alike.select(F.col("key").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("n").alias(f"n_{s}"))
+    exact = undecided_.filter("a is not null").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    found = exact.mapInPandas(_exact(least), "a long, b long, links long")
+    dense = undecided_.filter("a is null").select("d", "cell_a", "cell_b")
+    wanted = dense.select("d", F.explode(F.array("cell_a", "cell_b")).alias("cell")).distinct()
+    whole = dealt.select("d", "cell", "key").join(wanted, ["d", "cell"], "left_semi").join(alike.select("key", "vec", "n"), "key")
+    whole = whole.groupBy("d", "cell").agg(F.collect_list(F.struct("key", "vec", "n")).alias("rows"))
+    whole = scratch.keep(whole.select("d", "cell", F.col("rows.key").alias("keys"), F.col("rows.n").alias("n"), F.flatten("rows.vec").alias("vec")), "whole")
+    links = _sides(dense, whole, ["keys", "n", "vec"]).mapInPandas(_exact_cells(least), "a long, b long, links long")
+    found = scratch.keep(found.union(links), "found", batch_rows=4)
+    scratch.drop(coded, dealt, cells, undecided_, whole)
 
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     parts = components(found.select("a", "b"), scratch).withColumnRenamed("id", "key")

@@ -8,9 +8,11 @@ def table(spark, vectors, kind="array<float>"):
     return spark.createDataFrame([(k, None if v is None else [None if x is None else float(x) for x in v], 1) for k, v in enumerate(vectors)], f"vec_id long, embedding {kind}, n_links int").repartition(3)
 
 
-@pytest.mark.parametrize("size", [16, 64, 100])
-def test_matches_brute_force(spark, size, monkeypatch):
-    monkeypatch.setattr(rabitq, "TILE_ROWS", 40)
+@pytest.mark.parametrize("size,dense", [(16, 4), (64, 4), (100, 0), (64, 0)])
+def test_matches_brute_force(spark, size, dense, monkeypatch):
+    """Also with every pair of cells that has undecided pairs computed again as a whole."""
+    monkeypatch.setattr(rabitq, "LEAST_ROWS", 40)
+    monkeypatch.setattr(rabitq, "DENSE", dense)
     rng = np.random.default_rng(size)
     base = rng.standard_normal((120, size))
     near = base[:30] + 0.4 * rng.standard_normal((30, size))
@@ -48,3 +50,32 @@ def test_estimates_are_unbiased_and_bounds_hold():
         exact = np.cos(max(0.0, np.arccos(np.clip(rabitq.code_products(code, steps, factors, 64)[0, 0] + factors[0, 3], -1, 1)) - np.arccos(own[0, 0])))
         assert true <= exact + 1e-5
     assert abs(np.mean(got) - true) < 3 * np.std(got) / np.sqrt(len(got)) + 0.01
+
+
+def test_thousands_of_links(spark, monkeypatch):
+    """Groups of near vectors that are all different, one with a third of all rows."""
+    monkeypatch.setattr(rabitq, "LEAST_ROWS", 100)
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((20, 64))
+    of = np.append(np.zeros(200, int), rng.integers(0, 20, 400))
+    vectors = base[of] + 0.3 * rng.standard_normal((600, 64))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 10_000
+    found = {r.vec_id: r.n_links for r in rabitq.near_copies(table(spark, vectors, "array<double>")).collect()}
+    assert [found[k] for k in range(600)] == linked.sum(1).tolist()
+
+
+def test_bounds_leave_out_no_link_and_most_others():
+    """The estimate's confidence bound decides: what it leaves out has no cosine of 0.9, and that is nearly all of unrelated pairs."""
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((400, 64))
+    b = np.concatenate([a[:200] + rng.uniform(0.1, 0.7, (200, 1)) * rng.standard_normal((200, 64)), rng.standard_normal((200, 64))])
+    cell = lambda v: rabitq._Cell(np.arange(len(v)), *rabitq.encode(v))
+    true = rabitq._unit(a) @ rabitq._unit(b).T >= 0.9
+    for eps in (None, 6.0):
+        i, j = rabitq.undecided(cell(a), cell(b), 0.9, False, eps, 1 << 30)
+        left = np.zeros_like(true)
+        left[i, j] = True
+        assert not (true & ~left).any() and true.sum() <= left.sum() < true.sum() + 200
