@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import col
 
-# Words of tag names and course states.
+# Words of tag names and course states. The patterns of tag names in event_tag and join_months are fixed, too.
 HOPE, ATTEND, JOINED = "参加希望", "参加", "入会"
 ALL_DONE, INTERN, LEFT_STATUS, CALL_OUT = "全て完了", "人工インターン", "離脱", "声かけ必須"
 STALE_DAYS, SLOW_DAYS = 4, 12
@@ -74,6 +74,16 @@ def contract_label(categories, category_id: int, paid: list[str]) -> Column:
     return F.coalesce(F.array_join(F.array_distinct(F.concat(marks, join_months(names))), "/"), F.lit(""))
 
 
+def event_map(categories, category_id: int) -> Column:
+    """Map of date to struct(hope, attend) over the tags of a category, whose names nfkc() has cleaned; empty without the category."""
+    tags = F.coalesce(tags_of(categories, category_id), F.filter(F.get(col(categories), F.lit(0))["tags"], lambda t: F.lit(False)))
+    found = F.filter(F.transform(tags, lambda t: event_tag(t["name"])), lambda t: t.isNotNull())
+    days = F.array_sort(F.array_distinct(F.transform(found, lambda t: t["date"])))
+    has = lambda d, kind: F.exists(found, lambda t: (t["date"] == d) & (t["kind"] == kind)).alias(kind)
+    pairs = F.transform(days, lambda d: F.struct(d.alias("key"), F.struct(has(d, "hope"), has(d, "attend")).alias("value")))
+    return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<date,struct<hope:boolean,attend:boolean>>"))
+
+
 def consult_tag(categories, category_id: int, keyword: str) -> Column:
     hits = F.filter(tags_of(categories, category_id), lambda t: F.contains(t["name"], F.lit(keyword)))
     return F.coalesce(F.get(hits, F.lit(0))["name"], F.lit(""))
@@ -88,15 +98,20 @@ def tag_flags(categories, category_id: int, ids: dict[str, int], digests: dict[s
 
 
 def find_key(c, key: str) -> Column:
-    """The first value of a key anywhere in a JSON string, depth first; nulls are passed over, what isn't a string is JSON. Null for bad JSON."""
+    """The first value of a key anywhere in a JSON string, depth first; what isn't a string is given as JSON.
+
+    An object that has the key is not searched any deeper; if its value is null, the search goes on after the object.
+    Null for null, for bad JSON and for JSON too deep to read."""
 
     def search(value):
-        if isinstance(value, dict):
-            if value.get(key) is not None:
-                return value[key]
-            value = list(value.values())
-        if isinstance(value, list):
-            return next((x for x in map(search, value) if x is not None), None)
+        left = [value]
+        while left:
+            value = left.pop()
+            if isinstance(value, dict) and key in value:
+                if value[key] is not None:
+                    return value[key]
+            elif isinstance(value, (dict, list)):
+                left += reversed(list(value.values()) if isinstance(value, dict) else value)
         return None
 
     @F.pandas_udf("string")
@@ -104,9 +119,9 @@ def find_key(c, key: str) -> Column:
         def one(text):
             try:
                 found = search(json.loads(text)) if text else None
-            except ValueError:
+                return found if isinstance(found, str) or found is None else json.dumps(found)
+            except (ValueError, RecursionError):
                 return None
-            return found if isinstance(found, str) or found is None else json.dumps(found)
 
         return texts.map(one)
 

@@ -80,8 +80,11 @@ def profile_url(c, host: str) -> Column:
     return F.when(found != "", found)
 
 
-def doc_id_from_url(c) -> Column:
-    """The id after /spreadsheets/d/, else the string itself."""
+def doc_id_from_url(c, strict: bool = False) -> Column:
+    """The id after /spreadsheets/d/, else the string itself. With strict, anything but a whole spreadsheet address raises an error."""
+    if strict:
+        found = F.regexp_extract(col(c), "^https?://docs[.]google[.]com/spreadsheets/d/([A-Za-z0-9_-]+)", 1)
+        return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no spreadsheet address: "), F.coalesce(col(c), F.lit("null")))))
     found = F.regexp_extract(col(c), "/spreadsheets/d/([A-Za-z0-9_-]+)", 1)
     return F.when(found != "", found).otherwise(col(c))
 
@@ -98,10 +101,18 @@ def first_url(c) -> Column:
 
 def landing_code(c) -> Column:
     """The uLand code of the first address in a text, null if that one has none."""
-    code = F.regexp_extract(first_url(c), "uLand=([A-Za-z0-9_-]+)", 1)
+    code = F.regexp_extract(first_url(c), "uLand=([A-Za-z0-9]+)", 1)
     return F.when(code != "", code)
 
 
+def performer(c, names: dict[str, str], default: str) -> Column:
+    """The name that stands for the landing code of a text, the default for none. For more codes than fit into a plan join map_dimension() instead."""
+    if not names:
+        return F.lit(default)
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, landing_code(c)), F.lit(default))
+
+
 def thumbnail(c) -> Column:
     """The address of the largest picture in a struct of high, medium and default."""
     return F.coalesce(*(col(c)[size]["url"] for size in ("high", "medium", "default")))

@@ -50,20 +50,22 @@ def merge_by_user(df: DataFrame) -> DataFrame:
 
     Latest times, highest flag, first landing and link that aren't blank. A name alone stays; of several rows the first
     filled one of: first name, second name, first view name, second view name, third name, third view name, and so on.
+    Tasks send on one partial row and the two first rows of a uid, however many it has.
     """
-    place = F.row_number().over(Window.partitionBy("uid").orderBy("_seq"))
-    rows = df.filter("uid > 0").withColumn("place", place)
+    rows = df.filter("uid > 0")
     first = lambda c: F.min_by(c, F.when(null_if_blank(c).isNotNull(), F.col("_seq"))).alias(c)
-    # where each name and view name stands in the order above
-    name_at = F.when(F.col("place") <= 2, F.col("place")).otherwise(2 * F.col("place") - 1)
-    view_at = F.when(F.col("place") == 1, F.lit(3)).when(F.col("place") == 2, F.lit(4)).otherwise(2 * F.col("place"))
-    best = lambda c, at: F.min(F.when(null_if_blank(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value"))))
+    own = F.coalesce(null_if_blank("name"), null_if_blank("view_name"))
     out = rows.groupBy("uid").agg(
         F.max("followed_at").alias("followed_at"), F.max("blocked_at").alias("blocked_at"), F.max("is_blocked").alias("is_blocked"),
-        first("landing"), first("link"), F.count("*").alias("n"), F.min_by("name", "_seq").alias("own"), best("name", name_at).alias("a"), best("view_name", view_at).alias("b"),
+        first("landing"), first("link"), F.count("*").alias("n"), F.min_by("name", "_seq").alias("own"), F.min_by(own, F.when(own.isNotNull(), F.col("_seq"))).alias("any"),
     )
-    name = F.when(F.col("n") == 1, F.col("own")).otherwise(F.least("a", "b")["value"])
-    return out.select("uid", name.alias("name"), "followed_at", "blocked_at", "is_blocked", "landing", "link")
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("_seq"))
+    two = rows.select("uid", "_seq", "name", "view_name").withColumn("place", place).filter("place <= 2")
+    at = lambda c, k: F.max(F.when(F.col("place") == k, null_if_blank(c)))
+    two = two.groupBy("uid").agg(F.coalesce(at("name", 1), at("name", 2), at("view_name", 1), at("view_name", 2)).alias("early"))
+    # a filled name of the first two rows comes before all others; without one the first filled is the one that is due
+    name = F.when(F.col("n") == 1, F.col("own")).otherwise(F.coalesce("early", "any"))
+    return out.join(two, "uid").select("uid", name.alias("name"), "followed_at", "blocked_at", "is_blocked", "landing", "link")
 
 
 def monthly_counts(df: DataFrame, ts: str, year: int, min_month: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.dates import HIGHEST_DATE, LOWEST_DATE, parse_lenient_date, publish_date
 from ledgerloom.functions.text import contains_any, null_if_blank, prefix_int
@@ -82,12 +83,13 @@ def project_inflow(df: DataFrame) -> DataFrame:
 
 
 def project_student(df: DataFrame) -> DataFrame:
-    """Student rows with the first filled of the alternative fields."""
-    first = lambda *names: F.coalesce(*(null_if_blank(c) for n in names if (c := _field(df, n)) is not None))
+    """Student rows with the first filled of the alternative fields; fields that df lacks count as null."""
+    first = lambda *names: F.coalesce(F.lit(None).cast("string"), *(null_if_blank(c) for n in names if (c := _field(df, n)) is not None))
+    plain = lambda name: F.coalesce(F.lit(None).cast("string"), *([c] if (c := _field(df, name)) is not None else [])).alias(name)
     return df.select(
         first("id", "user_id", "uid").alias("id"),
-        "name",
-        "email",
+        plain("name"),
+        plain("email"),
         first("course_name", "learning_course_name", "learning_course.name").alias("course_name"),
         first("course_start_at", "learning_course.start_at").alias("course_start_at"),
         F.coalesce(first("motivation", "learning_course.motivation", "course.motivation"), F.lit("")).alias("motivation"),
@@ -95,16 +97,25 @@ def project_student(df: DataFrame) -> DataFrame:
 
 
 def _field(df: DataFrame, name: str) -> Column | None:
-    return F.col(name) if name.split(".")[0] in df.columns else None
+    """A field as a string by its path; None where the schema has no such path or it leads to a struct, list or map."""
+    kind = df.schema
+    for part in name.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return None
+        kind = kind[part].dataType
+    return None if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.col(name).cast("string")
 
 
 LANDING_FIELDS = ["landing_name", "landing", "landing_source", "from", "landing.name", "utm.source"]
 
 
 def coalesce_landing(df: DataFrame, only_null: bool = False, fields: list[str] | None = None) -> DataFrame:
-    """landing_name from the first filled field, else ''. With only_null, an empty landing_name stays as it is."""
+    """landing_name from the first filled field, else ''. With only_null, an empty landing_name stays as it is.
+
+    Fields that df lacks are passed over, and so is a `landing` that is a struct, of which only the name counts."""
     found = F.coalesce(*(null_if_blank(c) for n in fields or LANDING_FIELDS if (c := _field(df, n)) is not None), F.lit(""))
-    name = F.coalesce("landing_name", found) if only_null else found
+    own = _field(df, "landing_name")
+    name = F.coalesce(own, found) if only_null and own is not None else found
     return df.withColumn("landing_name", name)
 
 
@@ -115,3 +126,8 @@ def highlight_flags(df: DataFrame, today: Column, mentions_a: str = "mentions_a"
         "has_mention_a": F.coalesce(F.col(mentions_a) > 0, F.lit(False)),
         "has_mention_b": F.coalesce(F.col(mentions_b) > 0, F.lit(False)),
     })
+
+
+def highlight_count(df: DataFrame) -> DataFrame:
+    """How many rows of highlight_flags() report today."""
+    return df.agg(F.count_if("report_today").alias("n"))

@@ -47,5 +47,6 @@ def sort_students(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc(F.coalesce("course_join_date", F.to_date(F.lit(OLDEST)))), "id")
 
 
-def sort_unread(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.asc_nulls_first("created_at"))
+def sort_unread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Oldest first, those without a time before all; ties by the key."""
+    return df.orderBy(F.asc_nulls_first("created_at"), F.asc(key))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, nested, text
@@ -114,14 +114,16 @@ def project_inflow(friends):
 
 @query("students", sql="SELECT coalesce(id, user_id) AS id, name, email, 'c' || nation AS course_name, NULL::VARCHAR AS course_start_at, coalesce(nullif(trim(motivation), ''), '') AS motivation FROM @students")
 def project_student(students):
-    rows = students.withColumn("learning_course", F.struct(F.concat(F.lit("c"), "nation").alias("name"), F.lit(None).cast("string").alias("start_at"), F.lit("").alias("motivation")))
+    rows = students.withColumn("learning_course", F.struct(F.concat(F.lit("c"), "nation").alias("name"), F.lit("").alias("motivation")))
     return filters.project_student(rows)
 
 
 @query("friends", sql="SELECT _seq, coalesce(nullif(landing, ''), nullif(trim(view_name), ''), nullif(name, ''), '') AS landing_name FROM @friends")
 def coalesce_landing(friends):
     rows = friends.withColumnRenamed("landing", "landing_name")
-    return filters.coalesce_landing(rows, fields=["landing_name", "view_name", "name"]).select("_seq", "landing_name")
+    source = F.struct(F.col("view_name").alias("name"))
+    utm = F.struct(F.struct(F.lit("x").alias("medium")).alias("campaign"), F.col("name").alias("source"))
+    return filters.coalesce_landing(rows.withColumn("landing", source).withColumn("utm", utm)).select("_seq", "landing_name")
 
 
 @query("mentions", sql="""SELECT sender_id, report_date = DATE '2024-01-20' AS report_today, a > 0 AS has_mention_a, b > 0 AS has_mention_b FROM (
@@ -131,6 +133,12 @@ def highlight_flags(mentions):
     return filters.highlight_flags(rows, F.to_date(F.lit("2024-01-20"))).select("sender_id", "report_today", "has_mention_a", "has_mention_b")
 
 
+@query("mentions", sql="SELECT count(*) FILTER (WHERE d = DATE '2024-01-20') AS n FROM (SELECT max(created_at)::DATE AS d FROM @mentions GROUP BY sender_id)")
+def highlight_count(mentions):
+    rows = mentions.groupBy("sender_id").agg(F.to_date(F.max("created_at")).alias("report_date"), F.lit(0).alias("mentions_a"), F.lit(0).alias("mentions_b"))
+    return filters.highlight_count(filters.highlight_flags(rows, F.to_date(F.lit("2024-01-20"))))
+
+
 # joins
 
 LATEST_BLOCKS = "(SELECT uid, arg_max(name, CASE WHEN name IS NOT NULL THEN _seq END) AS name, max(blocked_at) AS blocked_at FROM @blocks GROUP BY uid)"
@@ -360,9 +368,13 @@ def funnel(leads):
     return agg.funnel(totals.withColumns({"attend": F.col("contract"), "total": F.col("leads")}), STEPS, "attend", "total")
 
 
-@query("leads", sql=f"SELECT month, 0::BIGINT AS n FROM {MONTHS}")
+@query("leads", sql="""SELECT year::INTEGER AS year, referrer, coalesce(n, 0) AS n FROM (SELECT year, referrer FROM (SELECT unnest(range(1990, 2003)) AS year) y CROSS JOIN (SELECT DISTINCT referrer FROM @leads) r) s
+    LEFT JOIN (SELECT year(followed_at) AS year, referrer, count(*) AS n FROM @leads GROUP BY ALL) USING (year, referrer)""")
 def dense_on_empty(leads):
-    return agg.by_month(leads.filter("false"), "followed_at", n=F.count("*"))
+    """Leads by year and referrer, with years that have none."""
+    found = leads.groupBy(F.year("followed_at").alias("year"), "referrer").agg(F.count("*").alias("n"))
+    years = F.explode(F.sequence(F.lit(1990), F.lit(2002))).alias("year")
+    return agg.dense_on_empty(found, leads.select("referrer").distinct().select(years, "referrer"), ["year", "referrer"])
 
 
 # ranks and orders
@@ -412,14 +424,21 @@ def sort_unread(mentions):
 # reshaping
 
 
-@query("tags", sql=f"""SELECT uid, CASE WHEN bool_or(hope) FILTER (WHERE date = DATE '2024-01-05') THEN '◯' ELSE '' END AS "2024-01-05_hope", CASE WHEN bool_or(attend) FILTER (WHERE date = DATE '2024-01-05') THEN '◯' ELSE '' END AS "2024-01-05_attend" FROM {EVENTS_BY_USER} GROUP BY 1""")
+# all days of the tags, and all priorities
+DAYS = [f"2024-01-{day:02}" for day in range(1, 32)]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+DAY_COLUMNS = ", ".join(f"CASE WHEN bool_or({kind}) FILTER (WHERE date = DATE '{day}') THEN '◯' ELSE '' END AS \"{day}_{kind}\"" for day in DAYS for kind in ("hope", "attend"))
+DUE_COLUMNS = ", ".join(f"max(due) FILTER (WHERE name = '{p}') AS \"{p}\"" for p in PRIORITIES)
+
+
+@query("tags", sql=f"SELECT uid, {DAY_COLUMNS} FROM {EVENTS_BY_USER} GROUP BY 1")
 def pivot_events(tags):
-    return reshape.pivot_events(tags.withColumn("date", F.col("date").cast("string")), ["2024-01-05"])
+    return reshape.pivot_events(tags.withColumn("date", F.col("date").cast("string")), DAYS)
 
 
-@query("categories", sql="""SELECT id, max(due) FILTER (WHERE name = '1-URGENT') AS "1-URGENT", max(due) FILTER (WHERE name = '2-HIGH') AS "2-HIGH" FROM @categories GROUP BY 1""")
+@query("categories", sql=f"SELECT id, {DUE_COLUMNS} FROM @categories GROUP BY 1")
 def pivot_schedule(categories):
-    return reshape.pivot_schedule(categories.select("id", F.col("name").alias("category"), "due"), ["1-URGENT", "2-HIGH"])
+    return reshape.pivot_schedule(categories.select("id", F.col("name").alias("category"), "due"), PRIORITIES)
 
 
 @query("videos", "comments", sql=f"SELECT video_id, max(comment) FILTER (WHERE rank = 1) AS comment1, max(comment) FILTER (WHERE rank = 2) AS comment2, max(comment) FILTER (WHERE rank = 3) AS comment3 FROM {FIRST_COMMENTS} GROUP BY 1")
@@ -486,7 +505,7 @@ on_names("profile_url", "'https://h.example.org/basic/friendlist/my_page/' || id
 on_names("doc_id_from_url", "CASE WHEN id % 2 = 0 THEN 'k' || id ELSE 'plain' END", lambda: text.doc_id_from_url(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/spreadsheets/d/k"), "id", F.lit("/edit"))).otherwise(F.lit("plain"))))
 on_names("handle_from_url", "CASE WHEN id % 2 = 0 THEN 'h' || id END", lambda: text.handle_from_url(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/@h"), "id", F.lit("?a=b"))).otherwise(F.lit("https://x/c/1"))))
 on_names("first_url", "CASE WHEN id % 6 <> 4 THEN 'https://u/' || id END", lambda: text.first_url(F.concat("raw", F.lit(" https://u/"), "id", F.lit(" http://v"))))
-on_names("performer", "CASE WHEN id % 2 = 0 THEN 'Ann' ELSE 'nobody' END", lambda: F.coalesce(F.try_element_at(F.create_map(F.lit("a1"), F.lit("Ann")), text.landing_code(F.when(F.col("id") % 2 == 0, F.lit("x https://u?uLand=a1&b http://v?uLand=b2")).otherwise(F.lit("https://u http://v?uLand=a1")))), F.lit("nobody")))
+on_names("performer", "CASE WHEN id % 2 = 0 AND id % 6 <> 4 THEN 'Ann' ELSE 'nobody' END", lambda: text.performer(F.when(F.col("id") % 2 == 0, F.concat("raw", F.lit(" https://u?uLand=a1&b http://v?uLand=b2"))).otherwise(F.lit("https://u http://v?uLand=a1")), {"a1": "Ann", "b2": "Bo"}, "nobody"))
 on_names("percent_text", "CASE WHEN id % 3 > 0 THEN (id % 3) || '%' ELSE '' END", lambda: text.percent_text(F.when(F.col("id") % 3 > 0, F.col("id") % 3)))
 on_names("flag_mark", "CASE WHEN id % 2 = 0 THEN '◯' ELSE '' END", lambda: text.flag_mark(F.col("id") % 2 == 0))
 column("uid_from_link", "uid", lambda: text.uid_from_link("link"), "friends", key="_seq")
@@ -494,15 +513,18 @@ column("format_comment", r"rtrim(replace(replace(replace(replace(text_original |
 column("chunk_text", "array_to_string(list_transform(range(0, CAST(ceil(length(coalesce(text, '')) / 2000) AS BIGINT)), lambda k: substr(text, k * 2000 + 1, 2000)), '|')", lambda: F.array_join(text.chunk_text("text"), "|"), "documents", key="doc_id", source="documents")
 column("thumbnail", "CASE WHEN _seq % 2 = 0 THEN 'h' || _seq ELSE 'd' END", lambda: text.thumbnail("t"), "students", key="_seq",
     prepare=lambda df: df.withColumn("t", F.struct(F.struct(F.when(F.col("_seq") % 2 == 0, F.concat(F.lit("h"), "_seq")).alias("url")).alias("high"), F.struct(F.lit(None).cast("string").alias("url")).alias("medium"), F.struct(F.lit("d").alias("url")).alias("default"))))
-column("parse_follow_time", "CASE o_orderkey % 4 WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL '8 hours 5 minutes' WHEN 3 THEN NULL ELSE date_trunc('day', o_orderdate) END", lambda: dates.parse_follow_time("raw"), "dates", key="o_orderkey")
-column("parse_lenient", "CASE o_orderkey % 4 WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL '8 hours 5 minutes' WHEN 3 THEN NULL ELSE date_trunc('day', o_orderdate) END", lambda: dates.parse_lenient("raw"), "dates", key="o_orderkey")
+# of the view dates: written times, no time, and times with an offset, in Tokyo
+TOKYO_TIME = "CASE o_orderkey % 6 WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL '8 hours 5 minutes' WHEN 3 THEN NULL WHEN 4 THEN date_trunc('day', o_orderdate) + INTERVAL '9 hours 30 minutes' WHEN 5 THEN date_trunc('day', o_orderdate) + INTERVAL '37 hours 30 minutes' ELSE date_trunc('day', o_orderdate) END"
+column("parse_follow_time", TOKYO_TIME, lambda: dates.parse_follow_time("raw"), "dates", key="o_orderkey")
+column("parse_lenient", TOKYO_TIME, lambda: dates.parse_lenient("raw"), "dates", key="o_orderkey")
 column("parse_report_date", "CASE WHEN o_orderkey % 4 = 2 THEN year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' END", lambda: dates.parse_report_date("raw"), "dates", key="o_orderkey",
     prepare=lambda df: df.withColumn("raw", F.when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "yy/MM/dd")).otherwise(F.lit("3/10"))))
-column("month_key", "strftime(o_orderdate, '%Y-%m')", lambda: dates.month_key("o_orderdate"), "dates", key="o_orderkey")
-column("jp_date", "year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日'", lambda: dates.jp_date("o_orderdate"), "dates", key="o_orderkey")
-column("jp_datetime", "year(created_at) || '年' || month(created_at) || '月' || day(created_at) || '日 ' || strftime(created_at, '%H時%M分')", lambda: dates.jp_datetime("created_at"), "mentions")
-column("publish_date", "strftime(o_orderdate, '%Y-%m-%d')", lambda: dates.publish_date("o_orderdate"), "dates", key="o_orderkey")
-column("event_header", "CASE o_orderkey % 4 WHEN 3 THEN raw ELSE month(o_orderdate) || '/' || day(o_orderdate) END", lambda: dates.event_header("raw"), "dates", key="o_orderkey")
+JP_DATE = f"year({TOKYO_TIME}) || '年' || month({TOKYO_TIME}) || '月' || day({TOKYO_TIME}) || '日'"
+column("month_key", "CASE WHEN o_orderkey % 6 <> 3 THEN strftime(o_orderdate, '%Y-%m') END", lambda: dates.month_key("raw"), "dates", key="o_orderkey")
+column("jp_date", f"coalesce({JP_DATE}, '')", lambda: dates.jp_date("raw"), "dates", key="o_orderkey")
+column("jp_datetime", f"coalesce({JP_DATE} || strftime({TOKYO_TIME}, ' %H時%M分'), '')", lambda: dates.jp_datetime("raw"), "dates", key="o_orderkey")
+column("publish_date", "CASE WHEN o_orderkey % 6 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END", lambda: dates.publish_date("raw"), "dates", key="o_orderkey")
+column("event_header", "CASE o_orderkey % 6 WHEN 3 THEN raw ELSE month(o_orderdate) || '/' || day(o_orderdate) END", lambda: dates.event_header("raw"), "dates", key="o_orderkey")
 
 
 @query("mentions", sql="""SELECT id, CASE WHEN hour(created_at) = 7 THEN date_trunc('day', created_at) - INTERVAL 2 HOURS ELSE created_at - INTERVAL 2 HOURS END AS start,
@@ -549,8 +571,8 @@ def join_months(orders):
 
 @query("orders", sql="""SELECT o_custkey AS uid, o_orderdate::DATE AS date, bool_or(o_orderkey % 5 = 0) AS hope, bool_or(o_orderkey % 5 = 1) AS attend FROM orders WHERE o_orderkey % 5 < 2 GROUP BY 1, 2""")
 def event_map(orders):
-    tags = _tag_names(orders).withColumn("t", nested.event_tag("name")).filter("t is not null")
-    return tags.groupBy("uid", "t.date").agg(F.bool_or(F.col("t.kind") == "hope").alias("hope"), F.bool_or(F.col("t.kind") == "attend").alias("attend"))
+    lists = _tag_names(orders).groupBy("uid").agg(F.array(F.struct(F.lit(1).alias("id"), F.collect_list(F.struct("name")).alias("tags"))).alias("categories"))
+    return lists.select("uid", F.explode(nested.event_map("categories", 1)).alias("date", "found")).select("uid", "date", "found.hope", "found.attend")
 
 
 def _tagged(orders: DataFrame) -> DataFrame:
@@ -578,7 +600,7 @@ def consult_tag(orders):
     return _tagged(orders).select("uid", nested.consult_tag("categories", 1, "E").alias("tag"))
 
 
-column("find_key", "regexp_extract(props, '([0-9]+)', 1)", lambda: nested.find_key(F.concat(F.lit('{"a": [{"k": null}, {"b": '), "props", F.lit("}]}")), "k"), "events", key="event_id", source="events")
+column("find_key", "regexp_extract(props, '([0-9]+)', 1)", lambda: nested.find_key(F.concat(F.lit('{"a": [{"k": null, "z": {"k": "deeper"}}, {"b": '), "props", F.lit("}]}")), "k"), "events", key="event_id", source="events")
 column("inflow_field", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END", lambda: nested.inflow_field(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"data": {"route": "'), "event_type", F.lit('"}}'))).otherwise(F.lit("{bad"))), "events", key="event_id", source="events")
 
 
@@ -661,40 +683,45 @@ def read_envelope(events):
     return found.select(field("event_id", "bigint"), field("user_id", "bigint"), field("event_type", "string"))
 
 
-@query("events", sql="SELECT event_id, (event_id // 100) * 1000000 + event_id % 100 AS _seq FROM events WHERE event_id // 100 <= 5")
+PAGED = """(SELECT event_id, user_id, k // 2 + 1 AS page, k % 2 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events))"""
+
+
+@query("events", sql=f"SELECT event_id, page * 4294967296 + pos AS _seq FROM {PAGED} WHERE page < CASE WHEN user_id % 3 = 0 THEN 2 ELSE 6 END")
 def concat_pages(events):
-    pages = events.select("event_id", F.floor(F.col("event_id") / 100).alias("page"), (F.col("event_id") % 100).alias("pos"))
-    return ingest.concat_pages(pages, F.col("page"), F.lit(5)).select("event_id", "_seq")
+    """Each user's feed in pages of two, the second of some feeds without rows, five pages a poll at most."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    pages = events.select("event_id", "user_id", (F.floor(place / 2) + 1).alias("page"), (place % 2).alias("pos"))
+    return ingest.concat_pages(pages.filter("user_id % 3 > 0 or page <> 2"), "page", F.lit(5), feed="user_id").select("event_id", "_seq")
 
 
-REPORT = "SELECT n_nationkey::VARCHAR AS followed_at, n_name AS name, NULL::VARCHAR AS consult, n_regionkey::VARCHAR AS region FROM nation"
+REPORT = "SELECT c_custkey::VARCHAR AS followed_at, c_name AS name, NULL::VARCHAR AS consult, c_nationkey::VARCHAR AS region FROM customer"
 
 
-def _report(nation: DataFrame) -> DataFrame:
-    path = new_path(nation.sparkSession, "report") + ".csv"
-    nation.select(F.col("n_nationkey").alias(" 友達追加時刻 "), F.col("n_name").alias("名前"), F.col("n_regionkey").alias("third")).write.option("header", True).csv(path)
-    return ingest.read_report(nation.sparkSession, path)
+def _report(customer: DataFrame) -> DataFrame:
+    path = new_path(customer.sparkSession, "report") + ".csv"
+    customer.select(F.col("c_custkey").alias(" 友達追加時刻 "), F.col("c_name").alias("名前"), F.col("c_nationkey").alias("third")).write.option("header", True).csv(path)
+    return ingest.read_report(customer.sparkSession, path)
 
 
-@query("nation", sql="SELECT n_nationkey::VARCHAR AS key, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
-def read_report(nation):
-    return _report(nation).toDF("key", "name", "region")
+@query("customer", sql="SELECT c_custkey::VARCHAR AS key, c_name AS name, c_nationkey::VARCHAR AS region FROM customer")
+def read_report(customer):
+    return _report(customer).toDF("key", "name", "region")
 
 
-@query("nation", sql=REPORT)
-def resolve_headers(nation):
+@query("customer", sql=REPORT)
+def resolve_headers(customer):
     names = {"followed_at": ["追加日", "友達追加時刻"], "name": ["名前"], "consult": ["個別相談"], "region": ["none"]}
-    return ingest.resolve_headers(_report(nation), names, positional={"region": 2})
+    return ingest.resolve_headers(_report(customer), names, positional={"region": 2})
 
 
-@query("pages", "orders", sql="SELECT page_id, 'p' || page_id AS name, 'm' || page_id AS email, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS report_date FROM pages JOIN orders ON o_orderkey = page_id")
+@query("pages", "orders", sql="SELECT page_id, 'p' || page_id AS name, 'm' || page_id AS email, coalesce(year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日', '2020年1月2日') AS report_date FROM pages LEFT JOIN orders ON o_orderkey = page_id")
 def extract_html_rows(pages, orders):
     """The driver's pages have no tables, so each gets one, with a row that has a date, one without and one too short."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2020-01-02"))
     row = lambda last: F.concat(F.lit("<tr>"), cell(F.concat(F.lit("p"), "page_id")), cell(F.concat(F.lit("<b>m</b>"), "page_id")), *[cell(F.lit("x"))] * 4, cell(last), F.lit("</tr>"))
     table = F.concat("html", F.lit("<table><tbody>"), row(day), row(F.lit("-")), F.lit("<tr>"), cell(day), F.lit("</tr></tbody></table>"))
-    rows = pages.join(orders, F.col("page_id") == F.col("o_orderkey")).select("page_id", table.alias("html"))
+    rows = pages.join(orders, F.col("page_id") == F.col("o_orderkey"), "left").select("page_id", table.alias("html"))
     return ingest.extract_html_rows(rows).drop("pos")
 
 
@@ -703,12 +730,12 @@ def html_links(pages):
     return ingest.html_cells(pages, "html", "page_id", "li", ("a",)).filter(F.size("cells") >= 2).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("nation", sql="SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'https://x/' || n_nationkey END AS name, 'https://x/' || n_nationkey AS url FROM nation")
-def read_channel_list(nation):
-    path, url = new_path(nation.sparkSession, "channels"), F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string"))
-    line = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(" , "), url)).when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(" ,"), url)).otherwise(url)
-    nation.select(line).union(nation.select(F.lit("  "))).write.text(path)
-    return ingest.read_channel_list(nation.sparkSession, path)
+@query("customer", sql="SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'https://x/' || c_custkey END AS name, 'https://x/' || c_custkey AS url FROM customer")
+def read_channel_list(customer):
+    path, url = new_path(customer.sparkSession, "channels"), F.concat(F.lit("https://x/"), F.col("c_custkey").cast("string"))
+    line = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" , "), url)).when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" ,"), url)).otherwise(url)
+    customer.select(line).union(customer.select(F.lit("  "))).write.text(path)
+    return ingest.read_channel_list(customer.sparkSession, path)
 
 
 @query("students", sql="SELECT _seq, name FROM @students")
@@ -719,12 +746,14 @@ def write_snapshot(students):
     return students.sparkSession.read.parquet(path)
 
 
-@query("students", sql="SELECT coalesce(nullif(trim(motivation), ''), 'unknown') AS motivation, count(*) AS n FROM @students GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM @students")
+@query("students", sql="""SELECT CASE WHEN trim(motivation) IN ('BUILDING', 'MACHINERY') THEN trim(motivation) ELSE 'unknown' END AS motivation, count(*) AS n, count(id) AS n_id, 0::BIGINT AS n_status FROM @students GROUP BY 1
+    UNION ALL SELECT 'all', count(*), count(id), 0 FROM @students""")
 def write_partitioned_csv(students):
     spark, path = students.sparkSession, new_path(students.sparkSession, "csv")
-    publish.write_partitioned_csv(students, path)
-    by = spark.read.option("header", True).csv(f"{path}/by_motivation").groupBy("motivation").agg(F.count("*").alias("n"))
-    return by.union(spark.read.option("header", True).csv(f"{path}/all").agg(F.lit("all"), F.count("*")))
+    publish.write_partitioned_csv(students, path, order=["BUILDING", "none", "MACHINERY"])
+    counts = [F.count("*").alias("n"), F.count("id").alias("n_id"), F.count("status").alias("n_status")]
+    by = spark.read.option("header", True).csv(f"{path}/by_motivation").groupBy(F.col("group").alias("motivation")).agg(*counts)
+    return by.union(spark.read.option("header", True).csv(f"{path}/all").agg(F.lit("all"), *counts))
 
 
 @query("students", sql="SELECT _seq, name FROM @students")
@@ -763,7 +792,7 @@ def stream_chats(mentions):
     spark, path = mentions.sparkSession, new_path(mentions.sparkSession, "outbox")
     chats = feeds.stream_chats(_streamed(mentions), "click", ts="created_at")
     feeds.to_outbox(_messages(chats), path, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path)
+    return publish.read_outbox(spark, path)
 
 
 @query("mentions", sql="SELECT id, sender_id, created_at FROM @mentions WHERE NOT is_read")
@@ -778,4 +807,4 @@ def stream_unread(mentions):
 def stream_monthly(leads):
     spark, path = leads.sparkSession, new_path(leads.sparkSession, "monthly")
     feeds.totals_to_table(feeds.stream_monthly(_streamed(leads), "followed_at"), path, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path)
+    return feeds.read_totals(spark, path)

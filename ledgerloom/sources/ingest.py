@@ -18,7 +18,7 @@ LIST_PATHS = ["$.data", "$.result", "$.items", "$.list"]
 MEMBER_PATHS = ["$.users", "$.data", "$.records"]
 LOGIN_PATHS = ["$.data", "$.logins", "$.records"]
 NESTED_PATHS = ["$.data.data"]
-PAGE_ROWS = 1_000_000
+PAGE_ROWS = 1 << 32
 
 
 def read_envelope(spark: SparkSession, path: str, paths: list[str] | None = None) -> DataFrame:
@@ -28,10 +28,21 @@ def read_envelope(spark: SparkSession, path: str, paths: list[str] | None = None
     return pages.select("source", F.posexplode(rows).alias("pos", "row"))
 
 
-def concat_pages(df: DataFrame, page: Column, last_page: Column | None = None, pos: str = "pos") -> DataFrame:
-    """Rows of pages up to the last one, with _seq, their order over all pages."""
-    kept = df if last_page is None else df.filter(page <= last_page)
-    return kept.withColumn("_seq", page.cast("bigint") * PAGE_ROWS + F.col(pos))
+def concat_pages(df: DataFrame, page: str = "page", last_page: Column | None = None, pos: str = "pos", feed: str | None = None, first: int = 1) -> DataFrame:
+    """Rows of pages from the first one up to the last, or up to the first page without rows, with _seq, their order over all pages.
+
+    Each feed has pages of its own, if a column of feeds is given. A feed without its first page has no rows. Only a row for
+    each page and task is shuffled before the rows are joined to the ends of their feeds.
+    """
+    key = feed or "_feed"
+    kept = df.filter(F.col(page) >= first) if last_page is None else df.filter((F.col(page) >= first) & (F.col(page) <= last_page))
+    kept = kept if feed else kept.withColumn(key, F.lit(0))
+    pages = kept.select(key, F.col(page).cast("bigint").alias("_page")).distinct()
+    before = pages.select(key, (F.col("_page") - 1).alias("_page"))
+    ends = pages.join(before, [key, "_page"], "left_anti").groupBy(key).agg(F.min("_page").alias("_end"))
+    ends = ends.join(pages.filter(F.col("_page") == first).select(key), key, "left_semi")
+    kept = kept.join(ends if feed else F.broadcast(ends), key).filter(F.col(page) <= F.col("_end")).drop("_end")
+    return (kept if feed else kept.drop(key)).withColumn("_seq", F.col(page).cast("bigint") * PAGE_ROWS + F.col(pos))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

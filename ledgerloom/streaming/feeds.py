@@ -32,8 +32,8 @@ def stream_monthly(df: DataFrame, ts: str) -> DataFrame:
 
 
 def to_outbox(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append messages (recipient, text, seq) of all that has come in to an outbox, in batches."""
-    return messages.writeStream.foreachBatch(lambda batch, _: write_outbox(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Write messages (recipient, text, seq) of all that has come in to an outbox; a batch that is run again replaces what it wrote."""
+    return messages.writeStream.foreachBatch(lambda batch, k: write_outbox(batch, path, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -41,5 +41,18 @@ def to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def totals_to_table(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of running totals, written anew with each batch."""
-    return totals.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep a table of running totals: each batch writes a version of its own beside the one that readers use, and older ones go."""
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={k}")
+        old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/version={k - 2}")
+        old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
+
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of running totals."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(newest), "version", "left_semi").drop("version")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, nested, text
@@ -69,3 +70,44 @@ def test_risk(spark):
     now = F.expr("timestamp_ntz '2025-01-13 00:00:00'")
     flag = lambda c: nested.risk_flag(F.lit("離脱"), F.lit(None).cast("timestamp_ntz"), F.lit("x"), c, F.lit(None).cast("timestamp_ntz"), now)
     assert values(spark, [dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2), None], flag, "timestamp_ntz") == ["声かけ必須", "", ""]
+
+
+def test_offsets_and_bad_dates(spark):
+    rows = ["2025-07-09T00:30:00Z", "2025-07-09T23:30:00+00:00", "2025-07-09 08:05:00.250 +0900", "2025/7/9 20:00 -05:00", "2025-07-09", "x", "", None]
+    day = lambda d, h=0, m=0: dt.datetime(2025, 7, d, h, m)
+    due = [day(9, 9, 30), day(10, 8, 30), day(9, 8, 5), day(10, 10), day(9), None, None, None]
+    assert values(spark, rows, dates.parse_lenient) == due
+    assert values(spark, rows, dates.parse_follow_time) == due
+    assert values(spark, rows, dates.parse_lenient_date) == [dt.date(2025, 7, 9)] * 5 + [None] * 3
+    assert values(spark, rows, dates.month_key) == ["2025-07"] * 5 + [None] * 3
+    assert values(spark, rows, dates.publish_date) == ["2025-07-09"] * 5 + [""] * 3
+    assert values(spark, rows, dates.jp_date) == [f"2025年7月{d}日" for d in (9, 10, 9, 10, 9)] + [""] * 3
+    assert values(spark, rows, dates.jp_datetime) == [f"2025年7月{x}分" for x in ("9日 09時30", "10日 08時30", "9日 08時05", "10日 10時00", "9日 00時00")] + [""] * 3
+    assert values(spark, [day(9, 23, 30), None], dates.jp_datetime, "timestamp_ntz") == ["2025年7月9日 23時30分", ""]
+    assert values(spark, [day(9, 23, 30).replace(tzinfo=dt.timezone.utc)], dates.jp_datetime, "timestamp") == ["2025年7月10日 08時30分"]
+    assert values(spark, [dt.date(2025, 7, 9), None], dates.month_key, "date") == ["2025-07", None]
+
+
+def test_find_key(spark):
+    deep = "[" * 5000 + "]" * 5000
+    rows = ['{"k": null, "b": {"k": 1}}', '{"a": {"k": null, "z": {"k": 5}}, "b": {"k": 2}}', '{"a": [{"b": {"k": [1, "x"]}}, {"k": 2}]}', '{"k": "s"}', "{bad", deep, "", None, '{"b": [3, {"k": 7}], "k": 6}']
+    assert values(spark, rows, lambda c: nested.find_key(c, "k")) == [None, "2", '[1, "x"]', "s", None, None, None, None, "6"]
+
+
+def test_links_and_performers(spark):
+    rows = ["a https://u/?uLand=q1_x http://v?uLand=q2", "http://v?uLand=q2", "none", None]
+    assert values(spark, rows, lambda c: text.performer(c, {"q1": "Ann"}, "nobody")) == ["Ann", "nobody", "nobody", "nobody"]
+    assert values(spark, rows, lambda c: text.performer(c, {}, "nobody")) == ["nobody"] * 4
+    good = ["https://docs.google.com/spreadsheets/d/k-1/edit"]
+    assert values(spark, good, lambda c: text.doc_id_from_url(c, strict=True)) == ["k-1"]
+    for bad in ("k-1", "x https://docs.google.com/spreadsheets/d/k", None):
+        with pytest.raises(Exception, match="no spreadsheet address"):
+            values(spark, [bad], lambda c: text.doc_id_from_url(c, strict=True))
+
+
+def test_event_map(spark):
+    kind = "array<struct<id:int,tags:array<struct<name:string>>>>"
+    tags = [("参加希望 2025/10/09",), ("参加2025年10月9日（木）",), ("参加 2025/10/01",), ("参加",), (None,)]
+    day = lambda d: dt.date(2025, 10, d)
+    got = values(spark, [[(2, []), (1, tags)], [(2, tags)], [(1, [])], [], None], lambda c: nested.event_map(c, 1), kind)
+    assert [{d: tuple(v) for d, v in m.items()} for m in got] == [{day(9): (True, True), day(1): (False, True)}, {}, {}, {}, {}]

@@ -1,13 +1,15 @@
 """Hand-written rows for the operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import filters, joins, ranking
-from ledgerloom.sources import ingest
+from ledgerloom.sources import ingest, publish
+from ledgerloom.workspace import new_path
 
 DAY = dt.datetime(2025, 5, 1)
 
@@ -83,3 +85,70 @@ def test_two_keys(spark):
     counts = [spark.createDataFrame([(k, 1)], f"{c} string, n long") for k, c in (("1", "id"), ("AB", "name"))]
     assert joins.dual_key_sum_join(people, *counts).first().n_mentions == 2
     assert joins.dual_key_sum_join(people, *counts, dedupe=True).first().n_mentions == 1
+
+
+def test_orders(spark):
+    """Reports come in the order that is due, ties included."""
+    at = lambda d: dt.datetime(2025, 1, d)
+    rows = spark.createDataFrame([(1, at(2)), (2, at(3)), (3, None), (4, at(3))], "uid long, followed_at timestamp_ntz").repartition(3)
+    assert [r.uid for r in ranking.sort_inflow(rows).collect()] == [4, 2, 1, 3]
+    students = spark.createDataFrame([(5, None), (3, at(9).date()), (4, at(9).date()), (1, dt.date(1900, 1, 1))], "id long, course_join_date date").repartition(3)
+    assert [r.id for r in ranking.sort_students(students).collect()] == [3, 4, 1, 5]
+    unread = spark.createDataFrame([(2, at(2)), (1, at(2)), (3, at(1)), (4, None)], "id long, created_at timestamp_ntz").repartition(3)
+    assert [r.id for r in ranking.sort_unread(unread).collect()] == [4, 3, 1, 2]
+    assert [r.uid for r in agg.distinct_sorted(rows.union(rows), "uid").collect()] == [1, 2, 3, 4]
+
+
+def test_merge_by_user_takes_names_in_order(spark):
+    kind = "_seq long, uid long, name string, view_name string, followed_at timestamp_ntz, blocked_at timestamp_ntz, is_blocked int, landing string, link string"
+    rng = random.Random(4)
+    some = lambda: rng.choice([None, "", " ", "a", "b", "c"])
+    rows = [(k, rng.randint(1, 30), n and f"{n}{k}".replace(" ", "") if n and n.strip() else n, v and v.strip() and f"v{v}{k}" or v, DAY, None, 0, "", "") for k in range(120) for n, v in [(some(), some())]]
+    due = {}
+    for uid in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == uid]
+        order = [r[2] for r in own[:2]] + [r[3] for r in own[:2]] + [x for r in own[2:] for x in r[2:4]]
+        due[uid] = own[0][2] if len(own) == 1 else next((x for x in order if x and x.strip()), None)
+    assert {r.uid: r.name for r in agg.merge_by_user(spark.createDataFrame(rows, kind).repartition(4)).collect()} == due
+
+
+def test_pages_stop_at_the_first_empty_one(spark):
+    rows = [("a", 1, 0), ("a", 1, 1), ("a", 2, 0), ("a", 4, 0), ("b", 2, 0), ("c", 1, 0), ("c", 2, 0), ("c", 3, 0)]
+    pages = spark.createDataFrame(rows, "feed string, page int, pos int")
+    kept = lambda df: sorted((r.feed, r.page, r.pos) for r in df.collect())
+    assert kept(ingest.concat_pages(pages, feed="feed")) == [r for r in rows if r[0] != "b" and r[1] < 4]
+    assert kept(ingest.concat_pages(pages, last_page=F.lit(2), feed="feed")) == [r for r in rows if r[0] != "b" and r[1] < 3]
+    assert kept(ingest.concat_pages(pages.filter("feed = 'a'"))) == rows[:3]
+    assert ingest.concat_pages(pages.filter("feed = 'b'")).count() == 0 == ingest.concat_pages(pages.filter("false")).count()
+    order = [r.page for r in ingest.concat_pages(pages, feed="feed").filter("feed = 'c'").orderBy("_seq").collect()]
+    assert order == [1, 2, 3]
+
+
+def test_missing_fields(spark):
+    bare = spark.createDataFrame([(7,)], "user_id long")
+    assert filters.project_student(bare).first().asDict() == {"id": "7", "name": None, "email": None, "course_name": None, "course_start_at": None, "motivation": ""}
+    rows = spark.createDataFrame([("", ("n",), ("s",)), (None, (None,), ("s",)), (None, None, None)], "landing_name string, landing struct<name:string>, utm struct<source:string>")
+    assert [r.landing_name for r in filters.coalesce_landing(rows).collect()] == ["n", "s", ""]
+    assert [r.landing_name for r in filters.coalesce_landing(rows, only_null=True).collect()] == ["", "s", ""]
+    assert [r.landing_name for r in filters.coalesce_landing(rows.drop("landing_name").withColumn("landing", F.lit("l")), only_null=True).collect()] == ["l"] * 3
+    assert filters.coalesce_landing(bare).first().landing_name == ""
+
+
+def test_csv_for_each_status(spark):
+    path = new_path(spark, "csv")
+    rows = spark.createDataFrame([(1, " good ", "g"), (2, "odd", "u"), (3, None, "u")], "id long, status string, extra string")
+    publish.write_partitioned_csv(rows, path, by="status", order=["very_good", "good"])
+    read = lambda p: spark.read.option("header", True).csv(f"{path}/{p}")
+    assert {g: [r.id for r in read(f"by_status/group={g}").orderBy("id").collect()] for g in ("very_good", "good", "unknown")} == {"very_good": [], "good": ["1"], "unknown": ["2", "3"]}
+    assert read("all").columns == read("by_status/group=very_good").columns == publish.CSV_COLUMNS
+    assert read("all").count() == 3 and [r.status for r in read("by_status/group=good").collect()] == [" good "]
+
+
+def test_batches_are_written_once(spark):
+    path = new_path(spark, "outbox")
+    rows = spark.createDataFrame([("a", 1, "x"), ("", 2, "y")], "recipient string, seq long, text string")
+    publish.write_outbox(rows, path, batch=0)
+    publish.write_outbox(rows, path, batch=0)
+    publish.write_outbox(rows, path, batch=1)
+    found = publish.read_outbox(spark, path)
+    assert found.columns == ["recipient", "mode", "seq", "text"] and found.count() == 4
