@@ -1,49 +1,130 @@
-"""Stupid-backoff scores of documents under n-gram counts of a whole corpus.
+"""Stupid-backoff scores of documents under word n-gram counts of a whole corpus.
 
-N-grams are of code points: a block of documents has far fewer kinds of them than code points, so blocks are counted
-before anything is shuffled. Count tables are partitioned by the hash of the n-gram; each block's own n-grams are joined
-to them, and the counts come back to the block, where each position takes the score of the longest n-gram that the tables
-have; a document's score is the sum.
+Orders are counted one after the other. Blocks of documents count their own n-grams; the distinct ones go, sorted, to
+count tables partitioned by hash, where those of all blocks are added up, and each block gets its counts back. An n-gram
+that comes often enough is made of two of the order below that do, so others are not even sent: from the second order on
+little more than what repeats is counted. At last each word takes the score of its longest n-gram that comes often enough,
+and scores are summed by document.
+
+The joins are of arrays: a row holds a block's n-grams of one bucket. One row for each n-gram, with its document, would
+take 14 bytes and more in a shuffle for each word and order, where here a distinct n-gram of a block takes some 5.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.scratch import Scratch
+from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 
 BACKOFF = 0.4
 BLOCK_ROWS = 8192
-BLOCK_CHARS = 32 << 20
-SLICE = 1 << 18
+BLOCK_CHARS = 16 << 20
+SLICE = 1 << 20
 MICRO = 1_000_000
-UNKNOWN = np.iinfo(np.int64).max
-
-
-def _points(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.uint64)
-
-
-def _hash(columns) -> np.ndarray:
-    """64-bit hashes of n-grams, given as their first, second, ... points."""
-    h = np.full(len(columns[0]), len(columns) + 1, np.uint64)
-    for points in columns:
-        h = (h ^ points) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def grams(points: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of all n-grams of an order."""
-    n = max(len(points) - order + 1, 0)
-    return _hash([points[k : k + n] for k in range(order)])
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NEXT_SPACE = re.compile(rb"[\t-\r ]").search
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, words being what lies between ASCII white space, and how many each text has. Up to SLICE bytes or one word are worked on at once."""
+    joined, hashes, starts, at = b"\n".join(raws), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(joined):
+        stop = at + SLICE
+        if stop < len(joined):
+            found = NEXT_SPACE(joined, stop)
+            stop = found.start() if found else len(joined)
+        part = joined[at:stop]
+        n, v = len(part), np.frombuffer(part + bytes(16), np.uint8)
+        edge = np.diff(np.concatenate([[True], SPACE[v[:n]], [True]]).astype(np.int8))
+        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        size = e - s
+        eight = np.ndarray(n + 9, "<u8", v.tobytes(), strides=(1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        low, high = eight[s] & mask[np.minimum(size, 8)], eight[np.minimum(s + 8, n + 8)] & mask[np.clip(size - 8, 0, 8)]
+        h = _mixed(low * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(high + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        long = np.flatnonzero(size > 16)
+        h[long] = [xxhash.xxh64_intdigest(part[a:b]) for a, b in zip(s[long].tolist(), e[long].tolist())]
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), begin)) if raws else np.zeros(0, np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of their bytes, the lowest first, without planes of zeros at the end; what is regular in them compresses."""
+    n = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _sorted_planes(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+class Block:
+    """The words of some texts, and for each position and order the count of the n-gram that ends there: 0 where it isn't worth counting."""
+
+    def __init__(self, texts: list[str | None], least: int):
+        self.least = least
+        self.gram, self.n_words = words([(t or "").encode() for t in texts])
+        self.words, self.counts = self.gram, []
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the next order: positions, distinct hashes in order, which of them each position has, and how often each comes."""
+        order = len(self.counts) + 1
+        if order == 1:
+            at = np.arange(len(self.words))
+        else:
+            often = self.counts[-1] >= self.least
+            at = np.flatnonzero((self.place >= order - 1) & often & np.append(False, often[:-1]))
+            grams = np.zeros_like(self.words)
+            grams[at] = _mixed((self.gram[at - 1] + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) ^ self.words[at])
+            self.gram = grams
+        return at, *np.unique(self.gram[at], return_inverse=True, return_counts=True)
+
+    def learn(self, counts: np.ndarray) -> None:
+        """Take the corpus counts of the next order's distinct n-grams."""
+        at, _, which, _ = self.distinct()
+        out = np.zeros(len(self.words), np.int64)
+        out[at] = counts[which]
+        self.counts.append(out)
+
+    def scores(self, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """By text: the sum of log scores in millionths, and how many words their longest history doesn't score."""
+        ratio, used = self.counts[0] / total, np.ones(len(self.words), np.int64)
+        for k in range(2, len(self.counts) + 1):
+            often, there = self.counts[k - 1] >= self.least, self.place >= k - 1
+            before = np.append(1, self.counts[k - 2][:-1])
+            ratio = np.where(there, np.where(often, self.counts[k - 1] / np.maximum(before, 1), BACKOFF * ratio), ratio)
+            used = np.where(often, k, used)
+        micro = np.rint(np.log(ratio) * MICRO).astype(np.int64)
+        backed = used < np.minimum(self.place + 1, len(self.counts))
+        edges = np.append(0, np.cumsum(self.n_words))
+        summed = lambda x: np.diff(np.append(0, np.cumsum(x))[edges])
+        return summed(micro), summed(backed.astype(np.int64))
 
 
 def _blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,106 +140,81 @@ def _blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(part=part)
 
 
-def _kinds(order: int):
-    """(part, gram, n): how often each n-gram of the orders 1 to `order` comes in a block."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        part, held, counts = int(block["part"].iloc[0]), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def add(found: list[np.ndarray]) -> None:
-            nonlocal held, counts
-            new, n = np.unique(np.concatenate(found), return_counts=True)
-            held, back = np.unique(np.concatenate([held, new]), return_inverse=True)
-            total = np.zeros(len(held), np.int64)
-            np.add.at(total, back, np.concatenate([counts, n]))
-            counts = total
-
-        found, size = [], 0
-        for text in block["text"]:
-            points = _points(text)
-            for at in range(0, len(points), SLICE):
-                found += [grams(points[at : at + SLICE + k - 1], k) for k in range(1, order + 1)]
-                size += order * min(SLICE, len(points) - at)
-                if size > 1 << 21:
-                    add(found)
-                    found, size = [], 0
-        if found:
-            add(found)
-        return pd.DataFrame({"part": part, "gram": held.view(np.int64), "n": counts})
+def _counted(texts: pd.DataFrame, known: pd.DataFrame, order: int, least: int) -> Block:
+    block = Block(texts["text"].tolist(), least)
+    for k in range(1, order):
+        own = known[known["k"] == k].sort_values("bucket")
+        counts = [_from_planes(data, n).astype(np.int64) for data, n in zip(own["counts"], own["n"])]
+        block.learn(np.concatenate(counts) if counts else np.zeros(0, np.int64))
+    return block
 
-    return run
+
+GRAMS = "bucket long, part long, n int, grams binary, counts binary"
+COUNTS = "part long, k int, bucket long, n int, counts binary"
 
 
-class _Scores:
-    """Scores of n-grams under the counts that a block knows, each n-gram of the full order worked out once."""
+def _sent(order: int, least: int, bits: int):
+    """A block's distinct n-grams of an order, a row for each bucket: the highest bits of the hash."""
 
-    def __init__(self, known: pd.DataFrame, total: int, least: int):
-        grams_, self.total, self.least = known["gram"].to_numpy().view(np.uint64), total, least
-        order = np.argsort(grams_)
-        self.table, self.counts = grams_[order], known["n"].to_numpy()[order]
-        self.micro, self.backed = np.full(len(order), UNKNOWN), np.zeros(len(order), bool)
+    def run(known: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        _, grams, _, counts = _counted(texts, known, order, least).distinct()
+        bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]])) if len(grams) else np.zeros(1, int)
+        rows = [(int(bucket[a]), int(texts["part"].iloc[0]), b - a, _sorted_planes(grams[a:b]), _planes(counts[a:b])) for a, b in zip(edges, edges[1:])]
+        return pd.DataFrame(rows, columns=["bucket", "part", "n", "grams", "counts"])
 
-    def count(self, columns) -> np.ndarray:
-        return self.counts[np.searchsorted(self.table, _hash(columns))]
+    return run
 
-    def work_out(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log scores in millionths of the last points of windows, a row each, and whether the longest history was of no use."""
-        columns, width = list(windows.T), windows.shape[1]
-        ratio, seen = self.count(columns[-1:]) / self.total, np.ones(len(windows), bool)
-        for k in range(2, width + 1):
-            own = self.count(columns[-k:])
-            seen = own >= self.least
-            # a count that is large enough has a history that comes at least as often
-            ratio = np.where(seen, own / self.count(columns[-k:-1]), BACKOFF * ratio)
-        return np.rint(np.log(ratio) * MICRO).astype(np.int64), ~seen
 
-    def add_up(self, points: np.ndarray, order: int) -> tuple[int, int]:
-        """Sums over all n-grams of the full order in points."""
-        at = np.searchsorted(self.table, grams(points, order))
-        new, first = np.unique(at[self.micro[at] == UNKNOWN], return_index=True)
-        if len(new):
-            places = np.flatnonzero(self.micro[at] == UNKNOWN)[first]
-            self.micro[new], self.backed[new] = self.work_out(points[places[:, None] + np.arange(order)])
-        return int(self.micro[at].sum()), int(self.backed[at].sum())
+def _added(order: int):
+    """Counts over all blocks of the n-grams in a bucket, for each block those of its own in their order."""
+
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        own = [np.cumsum(_from_planes(data, n), dtype=np.uint64) for data, n in zip(bucket["grams"], bucket["n"])]
+        kinds, which = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(which, np.concatenate([_from_planes(data, n) for data, n in zip(bucket["counts"], bucket["n"])]).astype(float), len(kinds)).astype(np.uint64)
+        stops = np.cumsum(bucket["n"])
+        counts = [_planes(total[which[b - n : b]]) for n, b in zip(bucket["n"], stops)]
+        return pd.DataFrame({"part": bucket["part"], "k": order, "bucket": bucket["bucket"], "n": bucket["n"], "counts": counts})
+
+    return run
 
 
 def _scored(order: int, total: int, least: int):
-    def run(known: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        scores_, texts = _Scores(known, total, least), list(map(_points, block["text"]))
-        score, backed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for width in range(1, order):
-            long = np.flatnonzero([len(p) >= width for p in texts])
-            if len(long):
-                micro, back = scores_.work_out(np.stack([texts[k][:width] for k in long]))
-                score[long] += micro
-                backed[long] += back
-        for k, points in enumerate(texts):
-            for at in range(0, len(points) - order + 1, SLICE):
-                micro, back = scores_.add_up(points[at : at + SLICE + order - 1], order)
-                score[k] += micro
-                backed[k] += back
-        return pd.DataFrame({"doc_id": block["doc_id"], "n_grams": list(map(len, texts)), "n_backed_off": backed, "log_score_micro": score})
+    def run(known: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        block = _counted(texts, known, order + 1, least)
+        micro, backed = block.scores(total)
+        mean = np.where(block.n_words > 0, micro / np.maximum(block.n_words, 1) / MICRO, np.nan)
+        out = pd.DataFrame({"doc_id": texts["doc_id"], "n_words": block.n_words, "n_backed_off": backed, "log_score_micro": micro})
+        return out.assign(score=pd.Series(mean, out.index).astype(object).where(block.n_words > 0, None))
 
     return run
 
 
-def scores(docs: DataFrame, order: int = 5, least: int = 2) -> DataFrame:
-    """(doc_id, n_grams, n_backed_off, log_score_micro) of docs (doc_id, text; other columns are ignored).
+def scores(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
+    """(doc_id, n_words, n_backed_off, log_score_micro, score) of docs (doc_id, text; other columns are ignored).
+
+    The counts are those of all of docs. The score of a word w after the `order` - 1 before it (fewer at the start) is
+    count(history w) / count(history) if history w comes at least `least` times, or else BACKOFF times its score after a
+    history shorter by one; without a history it is count(w) / count of all. log_score_micro is the sum of the natural
+    logarithms in millionths, each rounded, and score their mean; n_backed_off counts words that were not scored by their
+    longest history. Null, empty and blank texts have no words, the sum 0 and no score. Repeated rows count and are scored
+    each; an empty table gives none.
 
-    The counts are those of all of docs. The score of a code point c after the `order` - 1 before it (fewer at the start) is
-    count(history c) / count(history) if history c comes at least `least` times, or else BACKOFF times its score after a
-    history shorter by one; without a history it is count(c) / count of all. log_score_micro is the sum of the natural
-    logarithms in millionths, each rounded; n_backed_off counts code points that were not scored by their longest history.
-    Null and empty texts have no code points and the score 0. Repeated rows count and are scored each; an empty table
-    gives none.
+    N-grams are known by a 64-bit hash: of n different ones some n^2 / 2^65 pairs share a count, 0.03 pairs of 10^9. A block
+    is held in one task, so a single text has to fit there, with some 60 bytes for each of its words.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     key = docs.select("doc_id").schema[0]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = scratch.bucketed(rows.mapInPandas(_blocked, T.StructType([key, *T.StructType.fromDDL("text string, part long")])), "texts", "part")
-    total = int(texts.agg(F.sum(F.char_length("text"))).first()[0] or 0)
-    kinds = scratch.keep(texts.groupBy("part").applyInPandas(_kinds(order), "part long, gram long, n long"), "kinds")
-    table = scratch.keep(kinds.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    known = kinds.select("part", "gram").join(table, "gram")
-    schema = T.StructType([key, *T.StructType.fromDDL("n_grams long, n_backed_off long, log_score_micro long")])
-    return known.groupBy("part").cogroup(texts.groupBy("part")).applyInPandas(_scored(order, total, least), schema)
+    bits = (4 * shuffle_partitions(spark) - 1).bit_length()
+    known, total = spark.createDataFrame([], COUNTS), 0
+    blocks = texts.groupBy("part")
+    for k in range(1, order + 1):
+        sent = known.groupBy("part").cogroup(blocks).applyInPandas(_sent(k, least, bits), GRAMS)
+        counts = scratch.keep(sent.groupBy("bucket").applyInPandas(_added(k), COUNTS), "counts")
+        known = counts if k == 1 else known.union(counts)
+    total = int(texts.select(F.regexp_count("text", F.lit("[^\\t-\\r ]+")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0)
+    schema = T.StructType([key, *T.StructType.fromDDL("n_words long, n_backed_off long, log_score_micro long, score double")])
+    return known.groupBy("part").cogroup(blocks).applyInPandas(_scored(order, total, least), schema)

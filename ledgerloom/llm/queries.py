@@ -111,26 +111,26 @@ FROM spans GROUP BY pair_id
 
 @query
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"), order=5, least=2)
+    return lm.scores(table(spark, sf_dir, "documents"), order=3, least=2)
 
 
-ORACLES["op1_stupid_backoff"] = """
-WITH points AS (
-  SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, length(coalesce(text, '')) + 1)) AS i FROM documents),
-grams AS (
-  SELECT doc_id, i, k, substr(text, i - k + 1, k) AS gram FROM points, (SELECT unnest(range(1, 6)) AS k) WHERE k <= i),
+ORACLES["op1_stupid_backoff"] = r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents),
+points AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+grams AS (SELECT doc_id, i, k, w[i - k + 1 : i] AS gram FROM points, (SELECT unnest(range(1, 4)) AS k) WHERE k <= i),
 counts AS (SELECT gram, count(*) AS n FROM grams GROUP BY gram),
 total AS (SELECT count(*) AS n FROM points),
 ratios AS (
   SELECT g.doc_id, g.i, g.k, c.n, CASE WHEN g.k = 1 THEN c.n / t.n WHEN c.n >= 2 THEN c.n / h.n END AS ratio
-  FROM grams g JOIN counts c USING (gram) CROSS JOIN total t LEFT JOIN counts h ON g.k > 1 AND h.gram = left(g.gram, g.k - 1)),
+  FROM grams g JOIN counts c USING (gram) CROSS JOIN total t LEFT JOIN counts h ON g.k > 1 AND h.gram = g.gram[1 : g.k - 1]),
 best AS (
   SELECT doc_id, i, max(k) AS most, max(k) FILTER (WHERE ratio IS NOT NULL) AS k, arg_max(ratio, k) FILTER (WHERE ratio IS NOT NULL) AS ratio
   FROM ratios GROUP BY doc_id, i),
 scored AS (
-  SELECT doc_id, k < most AS backed, CAST(round_even(ln(CASE most - k WHEN 0 THEN ratio WHEN 1 THEN 0.4::DOUBLE * ratio WHEN 2 THEN 0.4::DOUBLE * (0.4::DOUBLE * ratio)
-    WHEN 3 THEN 0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * ratio)) ELSE 0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * (0.4::DOUBLE * ratio))) END) * 1000000, 0) AS BIGINT) AS micro
+  SELECT doc_id, k < most AS backed, CAST(round_even(ln(CASE most - k WHEN 0 THEN ratio WHEN 1 THEN 0.4::DOUBLE * ratio
+    ELSE 0.4::DOUBLE * (0.4::DOUBLE * ratio) END) * 1000000, 0) AS BIGINT) AS micro
   FROM best)
-SELECT d.doc_id, count(s.micro) AS n_grams, count(*) FILTER (WHERE s.backed) AS n_backed_off, coalesce(sum(s.micro), 0)::BIGINT AS log_score_micro
+SELECT d.doc_id, count(s.micro) AS n_words, count(*) FILTER (WHERE s.backed) AS n_backed_off, coalesce(sum(s.micro), 0)::BIGINT AS log_score_micro,
+  sum(s.micro)::DOUBLE / nullif(count(s.micro), 0) / 1000000 AS score
 FROM documents d LEFT JOIN scored s USING (doc_id) GROUP BY d.doc_id
 """

@@ -10,14 +10,15 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(texts, order, least):
-    counts = Counter(t[i : i + k] for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    texts = [t.encode().split() for t in texts]
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
     total, out = sum(map(len, texts)), []
     for t in texts:
         score = backed = 0
         for i in range(len(t)):
-            ratio, longest = counts[t[i]] / total, 1
+            ratio, longest = counts[(t[i],)] / total, 1
             for k in range(2, min(order, i + 1) + 1):
-                gram = t[i - k + 1 : i + 1]
+                gram = tuple(t[i - k + 1 : i + 1])
                 if counts[gram] >= least:
                     ratio, longest = counts[gram] / counts[gram[:-1]], k
                 else:
@@ -28,18 +29,41 @@ def brute(texts, order, least):
     return out
 
 
-@pytest.mark.parametrize("order,least,size", [(5, 2, 1 << 18), (3, 1, 100), (1, 2, 7), (4, 3, 50)])
+@pytest.mark.parametrize("order,least,size", [(3, 2, 1 << 20), (5, 2, 100), (1, 2, 7), (4, 3, 50), (3, 1, 1000)])
 def test_scores_match_brute_force(docs, no_docs, order, least, size, monkeypatch):
     monkeypatch.setattr(lm, "SLICE", size)
     monkeypatch.setattr(lm, "BLOCK_ROWS", 6)
+    docs = docs.withColumnRenamed("source", "part").withColumnRenamed("n_chars", "n")
     rows = docs.collect()
     expected = sorted((str(r.doc_id), *x) for r, x in zip(rows, brute([r.text or "" for r in rows], order, least)))
-    found = sorted((str(r.doc_id), r.n_grams, r.n_backed_off, r.log_score_micro) for r in lm.scores(docs, order, least).collect())
+    found = sorted((str(r.doc_id), r.n_words, r.n_backed_off, r.log_score_micro, r.score) for r in lm.scores(docs, order, least).collect())
     assert [f[:3] for f in found] == [e[:3] for e in expected]
     assert all(abs(f[3] - e[3]) <= 2 for f, e in zip(found, expected))
+    assert all(f[4] == (f[3] / f[1] / 1e6 if f[1] else None) for f in found)
     assert lm.scores(no_docs).count() == 0
 
 
+def test_copies_score_above_others(spark):
+    """The area under the curve of the mean score for documents that come twice, among all of the smallest table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 100")
+    copied = docs.groupBy("text").count().filter("count > 1").select("text")
+    twice = {r.doc_id for r in docs.join(copied, "text", "left_semi").collect()}
+    scores = [(r.score, r.doc_id in twice) for r in lm.scores(docs).collect()]
+    ones, others = [s for s, c in scores if c], [s for s, c in scores if not c]
+    assert len(ones) >= 4
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in others) / len(ones) / len(others) > 0.85
+
+
+def test_words_of_long_texts(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 64)
+    raws = [b"a" * 1000 + b" b  " + "é".encode() * 40, b"", b" \t", b"x y x", b"a" * 1000]
+    hashes, n = lm.words(raws)
+    assert n.tolist() == [3, 0, 0, 3, 1]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip([w for r in raws for w in r.split()], hashes.tolist()))
+    assert len(set(seen.values())) == len(seen) == 5
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
