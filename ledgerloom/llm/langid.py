@@ -19,36 +19,60 @@ MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 UNDECIDED = "und"
 SLICE = 1 << 18
+BATCH = 64
+LANGUAGES_AT_ONCE = 16
 LETTER = regex.compile(r"\p{L}")
 
 
-def features(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the character n-grams of a lower-cased text between two spaces, a slice at a time."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4").astype(np.uint64)
-    for at in range(0, len(points), SLICE):
-        for order in ORDERS:
-            part = points[at : at + SLICE + order - 1]
-            n = len(part) - order + 1
-            if n > 0:
-                h = np.full(n, order, np.uint64)
-                for k in range(order):
-                    h = (h ^ part[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(32)
-                yield (h % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
-            total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for buckets in features(text or ""):
-                total += np.bincount(buckets, minlength=BUCKETS)
-        if len(counts) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    for lang, total in counts.items():
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": used, "n": total[used]})
+def features(texts: list[str]) -> Iterator[np.ndarray]:
+    """row * BUCKETS + bucket of the character n-grams of lower-cased texts between two spaces, up to SLICE code points at a time."""
+    row = 0
+    while row < len(texts):
+        # texts that fit into a slice, or slices of one that doesn't; only these are widened to code points
+        group, size = [], 0
+        while row + len(group) < len(texts) and (not group or size + len(texts[row + len(group)]) < SLICE):
+            group.append(f" {texts[row + len(group)].lower()} ")
+            size += len(group[-1])
+        for at in range(0, max(1, size), SLICE) if len(group) == 1 else [0]:
+            parts = [group[0][at : at + SLICE + ORDERS[-1] - 1]] if len(group) == 1 else group
+            points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            of = np.repeat(np.arange(row, row + len(parts)), list(map(len, parts)))
+            for order in ORDERS:
+                n = min(len(points) - order + 1, SLICE if len(parts) == 1 else len(points))
+                if n > 0:
+                    h = np.full(n, order, np.uint64)
+                    for k in range(order):
+                        h = (h ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                        h ^= h >> np.uint64(32)
+                    within = of[:n] == of[order - 1 : order - 1 + n]
+                    yield of[:n][within] * BUCKETS + (h[within] % np.uint64(BUCKETS)).astype(np.int64)
+        row += len(group)
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sparse matrix of texts and buckets: where each text's entries begin, their buckets, and how often each comes."""
+    seen = np.zeros(len(texts) * BUCKETS, np.int64)
+    for keys in features(texts):
+        seen += np.bincount(keys, minlength=len(seen))
+    used = np.flatnonzero(seen)
+    return np.searchsorted(used, np.arange(len(texts)) * BUCKETS), used % BUCKETS, seen[used]
+
+
+def _counted(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, own in batch.groupby("lang")["text"]:
+                total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for keys in features([t or "" for t in own]):
+                    total += np.bincount(keys % BUCKETS, minlength=BUCKETS)
+            if len(counts) > most:
+                raise ValueError(f"more than {most} languages")
+        for lang, total in counts.items():
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": used, "n": total[used]})
+
+    return run
 
 
 class Model:
@@ -57,30 +81,40 @@ class Model:
     def __init__(self, languages: list[str], prior: np.ndarray, matrix: np.ndarray):
         self.languages, self.prior, self.matrix = languages, prior, matrix
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language (the first of ties) and its posterior probability; und and 0 without a letter or languages."""
-        if text is None or not self.languages or not LETTER.search(text):
-            return UNDECIDED, 0.0
-        total = self.prior.copy()
-        for buckets in features(text):
-            seen = np.bincount(buckets, minlength=0)
-            used = np.flatnonzero(seen)
-            total += seen[used] @ self.matrix[used]
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-
-def fit(labelled: DataFrame) -> Model:
-    """Learn from all rows of labelled (text, lang, ...) with a lang; null texts count as empty. No rows give a model that is always undecided.
-
-    What the driver gets is bounded: at most MAX_LANGUAGES rows, or else an error, and BUCKETS counts for each.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text (the first of ties) and its posterior probability; und and 0 without a letter or languages."""
+        out = [(UNDECIDED, 0.0)] * len(texts)
+        some = [k for k, t in enumerate(texts) if self.languages and t is not None and LETTER.search(t)]
+        for at in range(0, len(some), BATCH):
+            own = some[at : at + BATCH]
+            total = self.scores([texts[k] for k in own])
+            best = total.argmax(1)
+            sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            for k, b, p in zip(own, best.tolist(), sure.tolist()):
+                out[k] = (self.languages[b], p)
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log joint probabilities of texts that aren't empty, by language: counts of a batch times the matrix."""
+        starts, buckets, counts = counted(texts)
+        total = np.empty((len(texts), len(self.languages)))
+        for k in range(0, len(self.languages), LANGUAGES_AT_ONCE):
+            part = slice(k, k + LANGUAGES_AT_ONCE)
+            total[:, part] = np.add.reduceat(counts[:, None] * self.matrix[buckets, part], starts) + self.prior[part]
+        return total
+
+
+def fit(labelled: DataFrame, most: int = MAX_LANGUAGES) -> Model:
+    """Learn from all rows of labelled (text, lang, ...) with a lang; null texts count as empty, repeated rows count each. No rows give a model that is always undecided.
+
+    What the driver gets is bounded: BUCKETS counts for each of at most `most` languages; more than that raise an error.
     """
     scratch = Scratch(labelled.sparkSession)
     labelled = labelled.filter("lang is not null").select("lang", "text")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    parts = labelled.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages")
+    parts = labelled.mapInPandas(_counted(most), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     parts = scratch.keep(parts, "counts")
     counts = parts.toPandas()
     scratch.drop(parts)
@@ -96,7 +130,7 @@ def fit(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with lang_pred and score; columns of these names are replaced, all others stay and are not looked at.
 
-    The model is broadcast: BUCKETS x MAX_LANGUAGES doubles at most. Texts that are null or have no letter are und, score 0.
+    The model is broadcast: BUCKETS doubles for each language, which fit() bounds. Texts that are null or have no letter are und, score 0.
     """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.matrix))
@@ -104,7 +138,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*sent.value)
         for batch in batches:
-            found = [own.predict(t) for t in batch["text"]]
+            found = own.predict(batch["text"].tolist())
             yield batch.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
     return docs.mapInPandas(run, T.StructType([*docs.schema, *T.StructType.fromDDL("lang_pred string, score double")]))

@@ -1,6 +1,9 @@
+import math
+import random
 import zlib
+from collections import Counter
 
-import numpy as np
+import pytest
 import regex
 
 from ledgerloom.llm import langid
@@ -27,14 +30,48 @@ def test_identify_learns_only_from_its_folds(spark, no_docs):
     assert kept.columns == docs.columns and {900, 901, 902}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
-def test_scores_match_a_plain_sum(spark, docs, monkeypatch):
-    model = langid.fit(docs)
-    text = "anti reouing ßan the"
-    plain = model.prior + sum(model.matrix[b] for part in langid.features(text) for b in part)
-    assert model.predict(text)[0] == model.languages[int(plain.argmax())]
-    whole = np.bincount(np.concatenate(list(langid.features(text * 40))), minlength=langid.BUCKETS)
-    monkeypatch.setattr(langid, "SLICE", 50)
-    assert np.array_equal(whole, np.bincount(np.concatenate(list(langid.features(text * 40))), minlength=langid.BUCKETS))
+def bucket(gram):
+    """Of an n-gram, by plain integers."""
+    h = len(gram)
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 32
+    return h % langid.BUCKETS
+
+
+def bag(text):
+    text = f" {text.lower()} "
+    return Counter(bucket(text[i : i + n]) for n in langid.ORDERS for i in range(len(text) - n + 1))
+
+
+def test_matches_a_plain_naive_bayes(spark, monkeypatch):
+    """Counts, priors, posteriors and ties, worked out anew from the text of the contract."""
+    rng = random.Random(7)
+    speech = {"l1": ["ka", "to", "mi"], "l2": ["ka", "re", "ßu"], "l3": ["日本", "re", "İx"]}
+    make = lambda lang, n: " ".join(rng.choice(speech[lang]) + rng.choice(["", "a", "o"]) for _ in range(n))
+    labelled = [(make(lang, rng.randint(1, 30)), lang) for lang in rng.choices(list(speech), [5, 2, 1], k=60)] + [(None, "l1"), ("", "l2")]
+    labelled += [(t, "l0") for t, lang in labelled if lang == "l1"]  # l0 and l1 tie everywhere
+    docs = spark.createDataFrame(labelled + [("never", None)], "text string, lang string").repartition(3)
+    texts = [make(lang, n) for lang in speech for n in (1, 5, 200)] + ["x", "Καλός ΣΑΣ", "a" * 500]
+
+    kinds = sorted({lang for _, lang in labelled})
+    counts = {k: sum((bag(t or "") for t, lang in labelled if lang == k), Counter()) for k in kinds}
+    prior = {k: sum(lang == k for _, lang in labelled) / len(labelled) for k in kinds}
+    size = {k: counts[k].total() + langid.SMOOTHING * langid.BUCKETS for k in kinds}
+    for size_, at_once in ((1 << 18, 16), (40, 1)):
+        monkeypatch.setattr(langid, "SLICE", size_)
+        monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+        monkeypatch.setattr(langid, "BATCH", 4)
+        model = langid.fit(docs)
+        assert model.languages == kinds
+        for text, (lang, score) in zip(texts, model.predict(texts)):
+            logs = {k: math.log(prior[k]) + sum(n * math.log((counts[k][b] + langid.SMOOTHING) / size[k]) for b, n in bag(text).items()) for k in kinds}
+            top = max(logs.values())
+            assert lang == next(k for k in kinds if logs[k] >= top - 1e-9) and lang != "l1"
+            assert abs(score - 1 / sum(math.exp(x - top) for x in logs.values())) < 1e-9
+    assert model.predict([None, "", "12 !"]) == [("und", 0.0)] * 3
+    with pytest.raises(ValueError):
+        langid.fit(docs, most=3)
 
 
 def test_accuracy_on_held_out_documents(spark):
