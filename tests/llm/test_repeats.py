@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,20 @@ def test_matches_brute_force(docs, length, monkeypatch):
     assert all(r.source == "s" for r in found) and any(r.n_removed for r in found)
 
 
+def test_long_texts_and_overlaps(spark, monkeypatch):
+    """Texts of many kilobytes with repeats at all distances, some of which overlap themselves, and columns whose names clash."""
+    monkeypatch.setattr(repeats, "MEMBERS_AT_ONCE", 50)
+    monkeypatch.setattr(repeats, "TEXTS_AT_ONCE", 3)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefé", k=n))
+    shared = [letters(n) for n in (399, 400, 401, 900, 5000)]
+    texts = ["".join(x for _ in range(8) for x in (letters(rng.randint(0, 700)), rng.choice(shared)[rng.randint(0, 30) :])) for _ in range(12)]
+    texts += [letters(120_000), "ab" * 700, letters(5000) + shared[4], shared[4][:-1] + "x"]
+    rows = [(k, t, "p", 1, b"z") for k, t in enumerate(texts)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, part string, row int, packed binary").repartition(3)).collect()
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found) == list(enumerate(brute([t.encode() for t in texts], 400)))
+
+
 def test_tiles_give_the_same_anchors(monkeypatch):
     raw = bytes(np.random.default_rng(1).integers(97, 101, 5000, dtype=np.uint8))
     whole = repeats.anchors([raw, b"", b"x" * 399, raw[:450]], 400, 256)
