@@ -2,11 +2,12 @@
 
 A unit vector is rotated by a random orthogonal matrix; the signs of its components are its code, which stands for the
 vector of components +-1/sqrt(D) nearest to it. Stored with the code: the inner product of the two (the correction
-factor), and the rotated vector itself in LEVELS steps a component, with the length of what that rounds off. Ands and bit
+factor), and the rotated vector itself in LEVELS steps a component, and in bytes, with the length of what each rounds off. Ands and bit
 counts of one vector's code and the other's steps give the inner product of code and vector; divided by the correction
 factor it is an unbiased estimate of the cosine. At a cosine of t it lies within sqrt(1 - t^2) sqrt(1 - c^2) / c of t,
 c being the correction factor, and within that times eps / sqrt(D - 1) of t but for a chance that falls as exp(-eps^2 / 2).
-Estimates outside of the confidence bound of the threshold decide a pair at once, the others have it computed again.
+Estimates outside of the confidence bound of the threshold decide a pair at once. The others are held against what the
+bytes of both leave open, which is some hundredths, and what is still undecided is computed again from the vectors.
 
 Vectors are dealt to cells by the component that sticks out most once they are rotated, so those that are near each other
 often share a cell. Only codes and factors travel to the comparison of cells. What they cannot decide goes on as pairs of
@@ -33,7 +34,8 @@ DENSE = 4
 PLANES = 4
 LEVELS = 1 << PLANES
 SLACK = 1e-5
-CODED = "key long, d int, side int, code array<long>, steps array<long>, factors array<double>"
+CODED = "key long, d int, side int, code array<long>, steps array<long>, fine binary, factors array<double>"
+FACTORS = 7
 
 
 @lru_cache(maxsize=4)
@@ -46,25 +48,28 @@ def _bits(flags: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=-1, bitorder="little").view(np.int64)
 
 
-def encode(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (n, words), steps (n, PLANES, words) and factors (n, 5) of finite vectors that aren't zero: correction factor, lowest step, step, length of the rounding, sum of the rounded components."""
+def turned(vectors: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Unit vectors, filled up to whole words of components, rotated."""
     size = -(-vectors.shape[1] // 64) * 64
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-    turned = np.pad(unit, ((0, 0), (0, size - vectors.shape[1]))) @ rotation(size, seed)
-    low = turned.min(axis=1, keepdims=True)
-    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (LEVELS - 1), 1e-300)
-    level = np.rint((turned - low) / step).astype(np.uint8)
-    rounded = low + step * level
-    factors = np.stack([np.abs(turned).sum(1) / np.sqrt(size), low[:, 0], step[:, 0], np.linalg.norm(turned - rounded, axis=1), rounded.sum(1)], axis=1)
-    return _bits(turned > 0), np.stack([_bits(level >> k & 1) for k in range(PLANES)], axis=1), factors
+    return np.pad(unit, ((0, 0), (0, size - vectors.shape[1]))) @ rotation(size, seed)
+
 
+def encode(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n, words), steps (n, PLANES, words), bytes (n, size) and factors (n, FACTORS) of finite vectors that aren't zero.
 
-def rounded(steps: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The rotated unit vectors as their steps give them."""
-    bits = np.unpackbits(np.ascontiguousarray(steps).view(np.uint8).reshape(*steps.shape[:2], -1), axis=-1, bitorder="little")
-    level = sum(bits[:, k].astype(np.float64) * (1 << k) for k in range(PLANES))
-    return factors[:, 1:2] + factors[:, 2:3] * level
+    The factors: correction factor; lowest step, step, length of the rounding and sum of the rounded components of the
+    steps; unit and length of the rounding of the bytes."""
+    v = turned(vectors, seed)
+    low = v.min(axis=1, keepdims=True)
+    step = np.maximum((v.max(axis=1, keepdims=True) - low) / (LEVELS - 1), 1e-300)
+    level = np.rint((v - low) / step).astype(np.uint8)
+    rounded = low + step * level
+    unit = np.abs(v).max(axis=1, keepdims=True) / 127
+    fine = np.rint(v / unit).astype(np.int8)
+    factors = [np.abs(v).sum(1) / np.sqrt(v.shape[1]), low[:, 0], step[:, 0], np.linalg.norm(v - rounded, axis=1), rounded.sum(1), unit[:, 0], np.linalg.norm(v - fine * unit, axis=1)]
+    return _bits(v > 0), np.stack([_bits(level >> k & 1) for k in range(PLANES)], axis=1), fine, np.stack(factors, axis=1)
 
 
 def code_products(code: np.ndarray, steps: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
@@ -97,45 +102,47 @@ def confidence(correction: np.ndarray, t: float, size: int, eps: float | None) -
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for d, part in batch.groupby(batch["vec"].map(len)):
-            vectors = np.stack(part["vec"].to_list()).astype(float)
-            code, steps, factors = encode(vectors)
-            turned = rounded(steps, factors)
-            most = np.abs(turned).argmax(1)
-            side = 2 * most + (turned[np.arange(len(part)), most] > 0)
-            yield pd.DataFrame({"key": part["key"], "d": d, "side": side, "code": list(code), "steps": list(steps.reshape(len(part), -1)), "factors": list(factors)})
+            code, steps, fine, factors = encode(np.stack(part["vec"].to_list()).astype(float))
+            most = np.abs(fine.astype(np.int16)).argmax(1)
+            side = 2 * most + (fine[np.arange(len(part)), most] > 0)
+            yield pd.DataFrame({"key": part["key"], "d": d, "side": side, "code": list(code), "steps": list(steps.reshape(len(part), -1)), "fine": [x.tobytes() for x in fine], "factors": list(factors)})
 
 
 class _Cell:
-    def __init__(self, keys, code, steps, factors):
+    def __init__(self, keys, code, steps, fine, factors):
         self.keys = np.asarray(keys)
         self.code = np.asarray(code).reshape(len(self.keys), -1)
         self.steps = np.asarray(steps).reshape(len(self.keys), PLANES, -1)
-        self.factors = np.asarray(factors).reshape(len(self.keys), 5)
+        self.factors = np.asarray(factors).reshape(len(self.keys), FACTORS)
+        fine = fine if isinstance(fine, np.ndarray) and fine.dtype == np.int8 else np.frombuffer(b"".join(fine), np.int8)
+        self.near = fine.reshape(len(self.keys), -1) * self.factors[:, 5:6].astype(np.float32)
 
 
 def undecided(a: _Cell, b: _Cell, least: float, same: bool, eps: float | None, most: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Index pairs that may have a cosine of at least `least`, of a cell with itself each pair once; None if there are more than `most`."""
     size, found, n = 64 * a.code.shape[1], [], 0
     # the estimate is of code and rounded vector: the rounding adds to what it may be off
-    floor = least - confidence(a.factors[:, 0], least, size, eps)[:, None] - b.factors[:, 3] / a.factors[:, :1] - SLACK
-    ra, rb = rounded(a.steps, a.factors), rounded(b.steps, b.factors)
-    ea, eb = a.factors[:, 3], b.factors[:, 3]
+    floor = (least - confidence(a.factors[:, 0], least, size, eps)[:, None] - b.factors[:, 3] / a.factors[:, :1] - SLACK).astype(np.float32)
+    # the vectors that the bytes give are as far from the cosine as their roundings can make them
+    ea, eb = a.factors[:, 6:7], b.factors[:, 6]
+    room = (least - ea - eb - ea * eb - SLACK).astype(np.float32)
     step = max(1, (1 << 20) // len(b.keys))
     for at in range(0, len(a.keys), step):
         part = slice(at, at + step)
-        i, j = np.nonzero(estimate(a.code[part], a.factors[part, 0], b.steps, b.factors, size) >= floor[part].astype(np.float32))
-        i += at
+        left = estimate(a.code[part], a.factors[part, 0], b.steps, b.factors, size) >= floor[part]
         if same:
-            i, j = i[i < j], j[i < j]
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            # the rounded vectors of both are as far from the cosine as their roundings can make it
-            near = np.einsum("ij,ij->i", ra[p], rb[q]) + ea[p] + eb[q] + ea[p] * eb[q] + SLACK >= least
-            if near.any():
-                found.append((p[near], q[near]))
-                n += int(near.sum())
-                if n > most:
-                    return None
+            left &= np.arange(len(b.keys)) > at + np.arange(len(left))[:, None]
+        if np.count_nonzero(left) > left.size >> 8:
+            i, j = np.nonzero(left & (a.near[part] @ b.near.T >= room[part]))
+        else:
+            i, j = np.nonzero(left)
+            keep = np.einsum("ij,ij->i", a.near[i + at], b.near[j]) >= room[i + at, j]
+            i, j = i[keep], j[keep]
+        if len(i):
+            found.append((i + at, j))
+            n += len(i)
+            if n > most:
+                return None
     if not found:
         return np.zeros(0, int), np.zeros(0, int)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -150,9 +157,9 @@ def _compared(least: float, eps: float | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                a = _Cell(row.keys_a, row.code_a, row.steps_a, row.factors_a)
+                a = _Cell(row.keys_a, row.code_a, row.steps_a, row.fine_a, row.factors_a)
                 same = row.cell_a == row.cell_b
-                b = a if same else _Cell(row.keys_b, row.code_b, row.steps_b, row.factors_b)
+                b = a if same else _Cell(row.keys_b, row.code_b, row.steps_b, row.fine_b, row.factors_b)
                 pairs = undecided(a, b, least, same, eps, DENSE * (len(a.keys) + len(b.keys)))
                 if pairs is None:
                     yield pd.DataFrame({"d": [row.d], "cell_a": [row.cell_a], "cell_b": [row.cell_b], "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")})
@@ -231,7 +238,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     Vectors of different lengths do not link. An empty table gives none. Equal vectors are one, with their number.
 
     Without eps the confidence bound is the certain one, and no link is lost. With it, each link is lost with a chance of
-    about exp(-eps^2 / 2), and fewer pairs are computed again. All pairs of cells meet, a vector's code, of some 80 bytes
+    about exp(-eps^2 / 2), and fewer pairs are computed again. All pairs of cells meet, a vector's code, of some 160 bytes
     at 64 components, travels once for each cell, and pairs of ids are sent on for at most DENSE times a cell's rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
@@ -242,13 +249,13 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     alike = scratch.keep(alike.withColumn("key", F.monotonically_increasing_id()), "alike")
     coded = scratch.keep(alike.select("key", "vec").mapInPandas(_coded, CODED), "coded")
     dealt = scratch.keep(_dealt(coded, shuffle_partitions(spark)), "dealt")
-    cells = dealt.groupBy("d", "cell").agg(F.first("n_cells").alias("n_cells"), F.collect_list(F.struct("key", "code", "steps", "factors")).alias("rows"))
-    cells = cells.select("d", "cell", "n_cells", F.col("rows.key").alias("keys"), *(F.flatten(f"rows.{c}").alias(c) for c in ("code", "steps", "factors")))
+    cells = dealt.groupBy("d", "cell").agg(F.first("n_cells").alias("n_cells"), F.collect_list(F.struct("key", "code", "steps", "fine", "factors")).alias("rows"))
+    cells = cells.select("d", "cell", "n_cells", F.col("rows.key").alias("keys"), F.col("rows.fine").alias("fine"), *(F.flatten(f"rows.{c}").alias(c) for c in ("code", "steps", "factors")))
     cells = scratch.keep(cells, "cells")
 
     pairs = cells.select("d", F.col("cell").alias("cell_a"), F.explode(F.sequence(F.col("cell"), F.col("n_cells") - 1)).alias("cell_b"))
-    work = _sides(pairs, cells, ["keys", "code", "steps", "factors"])
-    undecided_ = scratch.keep(work.mapInPandas(_compared(least, eps), FOUND), "undecided", batch_rows=4)
+    work = _sides(pairs, cells, ["keys", "code", "steps", "fine", "factors"])
+    undecided_ = scratch.keep(work.mapInPandas(_compared(least, eps), FOUND), "undecided")
 
     side = lambda s: alike.select(F.col("key").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("n").alias(f"n_{s}"))
     exact = undecided_.filter("a is not null").select("a", "b").join(side("a"), "a").join(side("b"), "b")
@@ -259,7 +266,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     whole = whole.groupBy("d", "cell").agg(F.collect_list(F.struct("key", "vec", "n")).alias("rows"))
     whole = scratch.keep(whole.select("d", "cell", F.col("rows.key").alias("keys"), F.col("rows.n").alias("n"), F.flatten("rows.vec").alias("vec")), "whole")
     links = _sides(dense, whole, ["keys", "n", "vec"]).mapInPandas(_exact_cells(least), "a long, b long, links long")
-    found = scratch.keep(found.union(links), "found", batch_rows=4)
+    found = scratch.keep(found.union(links), "found")
     scratch.drop(coded, dealt, cells, undecided_, whole)
 
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))

@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.workspace import new_path
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-TEXTS_AT_ONCE = 2048
+#: Of each session: the folders and the tables that are still there.
+LEFT: WeakKeyDictionary[SparkSession, set[tuple[str, str | None]]] = WeakKeyDictionary()
 
 
 class Scratch:
-    """Tables of one job. keep() writes one and rereads it; drop() removes those that nothing reads any more."""
+    """Tables of one job. keep() and bucketed() write one and reread it; drop() removes those that nothing reads any more.
+
+    What a result is read from has to stay until it is; sweep() removes that when it has been.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """Write and reread. batch_rows bounds what Python functions get at once where single rows are large."""
-        path, usual = new_path(self.spark, name), self.spark.conf.get(BATCH)
-        self.spark.conf.set(BATCH, batch_rows or usual)
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(BATCH, usual)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.made: dict[int, tuple[str, str | None]] = {}
+
+    def _note(self, out: DataFrame, path: str, table: str | None) -> DataFrame:
+        self.made[id(out)] = (path, table)
+        LEFT.setdefault(self.spark, set()).add((path, table))
         return out
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self._note(self.spark.read.schema(df.schema).parquet(path), path, None)
+
     def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
         """Like keep(), as a table bucketed by a column: groups of that column are then read without a shuffle."""
         path = new_path(self.spark, name)
         table = "_".join(path.rsplit("/", 1)[1].split("-"))
         writer = df.write.bucketBy(shuffle_partitions(self.spark), by).option("compression", "zstd").option("path", path)
         writer.saveAsTable(table)
-        return self.spark.table(table)
+        return self._note(self.spark.table(table), path, table)
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(self.spark, *self.made.pop(id(table)))
+
+
+def _remove(spark: SparkSession, path: str, table: str | None) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    LEFT.get(spark, set()).discard((path, table))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all scratch tables of a session, for when the results that are read from them have been written."""
+    for path, table in list(LEFT.get(spark, ())):
+        _remove(spark, path, table)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

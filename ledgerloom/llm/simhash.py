@@ -188,7 +188,7 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     )
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("fps").alias(f"fps_{s}"))
     work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").select("ids_a", "fps_a", "ids_b", "fps_b")
-    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius, half_radius), "a long, b long").distinct(), "links", batch_rows=128)
+    found = scratch.keep(work.repartition(shuffle_partitions(prints.sparkSession)).mapInPandas(_link_tiles(lanes, radius, half_radius), "a long, b long").distinct(), "links")
     scratch.drop(keyed, sizes, tiles)
     return found
 
@@ -315,7 +315,7 @@ def exact_links(rows: DataFrame, words: int, least: float, scratch: Scratch) ->
     side = lambda s: tiles.select("grp", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "salt", "ids", "sizes", "hashes")))
     work = pairs.join(side("a"), ["grp", "band_a", "salt_a"]).join(side("b"), ["grp", "band_b", "salt_b"])
     work = work.select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "sizes", "hashes"))).repartition(shuffle_partitions(rows.sparkSession))
-    return scratch.keep(work.mapInPandas(_link_sets(least), "a long, b long").distinct(), "links", batch_rows=16)
+    return scratch.keep(work.mapInPandas(_link_sets(least), "a long, b long").distinct(), "links")
 
 
 def near_copies_out(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
