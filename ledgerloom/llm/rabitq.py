@@ -29,6 +29,7 @@ from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 from ledgerloom.llm.simhash import spanning
 
 LEAST_ROWS, MOST_ROWS = 1024, 16384
+SLICE = 1 << 17
 #: A pair of cells with more undecided pairs than so many times its rows is computed again as a whole.
 DENSE = 4
 PLANES = 4
@@ -76,21 +77,20 @@ def code_products(code: np.ndarray, steps: np.ndarray, factors: np.ndarray, size
     """Inner products of each coded unit vector (rows) with each rounded vector (columns)."""
     # numpy counts the bits of signed integers without their sign
     code, steps = code.view(np.uint64), steps.view(np.uint64)
-    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-    total = np.zeros((len(code), len(steps)), np.float32)
-    for k in range(PLANES):
-        count = np.bitwise_count(code[:, None, 0] & steps[None, :, k, 0]).astype(np.uint16)
-        for word in range(1, code.shape[1]):
-            count += np.bitwise_count(code[:, None, word] & steps[None, :, k, word])
-        total += np.float32(1 << k) * count
-    total *= (2 * factors[:, 2]).astype(np.float32)
-    total += np.float32(2) * ones[:, None].astype(np.float32) * factors[:, 1].astype(np.float32) - factors[:, 4].astype(np.float32)
-    return total / np.float32(np.sqrt(size))
+    ones = np.bitwise_count(code).sum(1, dtype=np.int64).astype(np.float32)
+    level = np.zeros((len(code), len(steps)), np.uint16 if size * (LEVELS - 1) < 1 << 16 else np.uint32)
+    for word in range(code.shape[1]):
+        for k in range(PLANES):
+            level += np.bitwise_count(code[:, None, word] & steps[None, :, k, word]).astype(level.dtype) << level.dtype.type(k)
+    total = level * (2 * factors[:, 2] / np.sqrt(size)).astype(np.float32)
+    total += ones[:, None] * (2 * factors[:, 1] / np.sqrt(size)).astype(np.float32)
+    total -= (factors[:, 4] / np.sqrt(size)).astype(np.float32)
+    return total
 
 
 def estimate(code: np.ndarray, correction: np.ndarray, steps: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
     """Unbiased estimates of the cosines, over random rotations."""
-    return code_products(code, steps, factors, size) / correction[:, None]
+    return code_products(code, steps, factors, size) / correction[:, None].astype(np.float32)
 
 
 def confidence(correction: np.ndarray, t: float, size: int, eps: float | None) -> np.ndarray:
@@ -122,21 +122,22 @@ def undecided(a: _Cell, b: _Cell, least: float, same: bool, eps: float | None, m
     """Index pairs that may have a cosine of at least `least`, of a cell with itself each pair once; None if there are more than `most`."""
     size, found, n = 64 * a.code.shape[1], [], 0
     # the estimate is of code and rounded vector: the rounding adds to what it may be off
-    floor = (least - confidence(a.factors[:, 0], least, size, eps)[:, None] - b.factors[:, 3] / a.factors[:, :1] - SLACK).astype(np.float32)
+    floor = (least - confidence(a.factors[:, 0], least, size, eps) - SLACK).astype(np.float32)[:, None]
+    off = b.factors[:, 3].astype(np.float32)
     # the vectors that the bytes give are as far from the cosine as their roundings can make them
     ea, eb = a.factors[:, 6:7], b.factors[:, 6]
-    room = (least - ea - eb - ea * eb - SLACK).astype(np.float32)
-    step = max(1, (1 << 20) // len(b.keys))
+    step = max(1, SLICE // len(b.keys))
     for at in range(0, len(a.keys), step):
         part = slice(at, at + step)
-        left = estimate(a.code[part], a.factors[part, 0], b.steps, b.factors, size) >= floor[part]
+        left = estimate(a.code[part], a.factors[part, 0], b.steps, b.factors, size) >= floor[part] - off / a.factors[part, :1].astype(np.float32)
         if same:
             left &= np.arange(len(b.keys)) > at + np.arange(len(left))[:, None]
         if np.count_nonzero(left) > left.size >> 8:
-            i, j = np.nonzero(left & (a.near[part] @ b.near.T >= room[part]))
+            i, j = np.nonzero(left & (a.near[part] @ b.near.T >= (least - ea[part] - eb - ea[part] * eb - SLACK).astype(np.float32)))
         else:
             i, j = np.nonzero(left)
-            keep = np.einsum("ij,ij->i", a.near[i + at], b.near[j]) >= room[i + at, j]
+            near = np.einsum("ij,ij->i", a.near[i + at], b.near[j])
+            keep = near >= least - ea[i + at, 0] - eb[j] - ea[i + at, 0] * eb[j] - SLACK
             i, j = i[keep], j[keep]
         if len(i):
             found.append((i + at, j))
