@@ -157,4 +157,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def with_language(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text has a language: a letter, and a score of at least a half for some learned language."""
-    return identify(docs).filter(F.col("score") >= 0.5).select(docs.columns)
+    own = {c: f"{c} of the input" for c in ("held_out", "lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(own)).filter(F.col("score") >= 0.5)
+    return found.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))

@@ -53,9 +53,14 @@ def _remove(spark: SparkSession, path: str, table: str | None) -> None:
     LEFT.get(spark, set()).discard((path, table))
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove all scratch tables of a session, for when the results that are read from them have been written."""
-    for path, table in list(LEFT.get(spark, ())):
+def left(spark: SparkSession) -> set[tuple[str, str | None]]:
+    """The scratch tables of a session that are still there."""
+    return set(LEFT.get(spark, ()))
+
+
+def sweep(spark: SparkSession, but: set[tuple[str, str | None]] = frozenset()) -> None:
+    """Remove the scratch tables of a session but some, for when the results that are read from them have been written."""
+    for path, table in left(spark) - but:
         _remove(spark, path, table)
 
 
