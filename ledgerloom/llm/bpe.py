@@ -312,10 +312,30 @@ class Encoder:
         edges = np.append(0, stops)[np.searchsorted(starts, np.concatenate([[0], zeros + 1, [n + 1]]))].tolist()
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, edges, edges[1:])]
 
+    def _slices(self, text: str) -> list[str]:
+        """A very long text in slices that end at certain cuts; none if the library has to encode it as a whole."""
+        raw, out, at, size = text.encode(), [], 0, GROUP_CHARS
+        if b"\0" in raw or any(a in text for a in self.added):
+            return []
+        while at < len(raw):
+            part = raw[at : at + size]
+            cuts = np.flatnonzero(self._cut(np.frombuffer(part, np.uint8), self.cuts)) if at + size < len(raw) else [len(part) - 1]
+            if not len(cuts):
+                size *= 2  # no cut in the slice
+                continue
+            out.append(part[: cuts[-1] + 1].decode())
+            at, size = at + int(cuts[-1]) + 1, GROUP_CHARS
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         out, some, size = [], [], 0
         for text in texts:
+            if len(text or "") > 2 * GROUP_CHARS and (slices := self._slices(text)):
+                out += self._encode(some) if some else []
+                out.append(b"".join(self._encode([x])[0] for x in slices))
+                some, size = [], 0
+                continue
             some.append(text or "")
             size += len(some[-1])
             if size > GROUP_CHARS:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,30 +21,42 @@ TILE_ROWS = 4096
 SET_ROWS, SET_HASHES, SET_WIDTH = 1024, 1 << 18, 2048
 #: Keys of a set of runs: sets that share none are not compared, which sets of a similarity of 0.8 do with a chance of 0.2^KEYS.
 KEYS = 8
+SLICE = 1 << 20
+NEXT_SPACE = re.compile(rb"[\t-\r ]").search
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """Runs of so many words of a text, A-Z lower-cased, words being what lies between ASCII white space; a shorter text is one run, no words none."""
-    found = (text or "").encode().translate(LOWER).split()
-    if not found:
-        return []
+def _runs(found: list[bytes], words: int) -> list[bytes]:
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    return [joined[s:e] for s, e in zip(starts, ends[min(words, len(found)) - 1 :].tolist())]
+    return [joined[s:e] for s, e in zip(starts, ends[words - 1 :].tolist())]
 
 
-def fingerprint(runs: list[bytes], lanes: int) -> np.ndarray:
-    """So many unsigned 64-bit lanes; a bit is set if it is set in over half of the runs' hashes: XXH64 with seed 42, mixed anew for each lane after the first."""
-    return _fingerprint(_hashes(runs), lanes)
+def shingles(text: str | None, words: int) -> Iterator[bytes]:
+    """Runs of so many words of a text, A-Z lower-cased, words being what lies between ASCII white space; a shorter text is one run, no words none.
 
+    A text is split a slice at a time, which ends where a word does."""
+    raw, at, before, any_ = (text or "").encode().translate(LOWER), 0, [], False
+    while at < len(raw):
+        space = NEXT_SPACE(raw, at + SLICE)
+        stop = space.start() if space else len(raw)
+        found = before + raw[at:stop].split()
+        if len(found) >= words:
+            yield from _runs(found, words)
+            any_, found = True, found[len(found) - words + 1 :]
+        before, at = found, stop
+    if before and not any_:
+        yield b" ".join(before)
 
-def _hashes(runs: Iterable[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], "<u8")
 
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """Of each run: XXH64 with seed 42."""
+    return np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in shingles(text, words)), "<u8")
 
-def _fingerprint(first: np.ndarray, lanes: int) -> np.ndarray:
+
+def fingerprint(first: np.ndarray, lanes: int) -> np.ndarray:
+    """So many unsigned 64-bit lanes; a bit is set if it is set in over half of the runs' hashes, mixed anew for each lane after the first."""
     out = np.zeros(lanes, np.uint64)
     for lane in range(lanes if len(first) else 0):
         h = first
@@ -62,16 +75,16 @@ def _fingerprint(first: np.ndarray, lanes: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int, lanes: int, distinct: bool) -> DataFrame:
     """(doc_id, fp array<long>, n_shingles) of each row of docs (doc_id, text).
 
-    distinct counts a run of words once however often it comes. Null and empty texts, and those of white space, get zeros.
+    distinct counts a run of words once however often it comes. A text takes some 30 bytes of memory for each word. Null and empty texts, and those of white space, get zeros.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                runs = shingles(text, words)
-                runs = list(set(runs)) if distinct else runs
-                rows.append((fingerprint(runs, lanes).view(np.int64), len(runs)))
+                found = hashes(text, words)
+                found = np.unique(found) if distinct else found
+                rows.append((fingerprint(found, lanes).view(np.int64), len(found)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [r[0] for r in rows], "n_shingles": [r[1] for r in rows]})
 
     schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("fp array<long>, n_shingles long")])
@@ -232,8 +245,8 @@ def sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                found = np.unique(_hashes(set(shingles(text, words))))
-                rows.append((_fingerprint(found, lanes).view(np.int64), xxhash.xxh3_128_digest(found.tobytes()), len(found), least_runs(found).view(np.int64)))
+                found = np.unique(hashes(text, words))
+                rows.append((fingerprint(found, lanes).view(np.int64), xxhash.xxh3_128_digest(found.tobytes()), len(found), least_runs(found).view(np.int64)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [r[0] for r in rows], "set": [r[1] for r in rows], "n_shingles": [r[2] for r in rows], "least": [r[3] for r in rows]})
 
     schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("fp array<long>, set binary, n_shingles long, least array<long>")])
@@ -243,7 +256,7 @@ def sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
 def _hash_sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(_hashes(set(shingles(t, words)))).view(np.int64) for t in batch["text"]]
+            found = [np.unique(hashes(t, words)).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "grp": batch["grp"], "hashes": found})
 
     return run

@@ -54,6 +54,16 @@ def test_near_copies_out_keeps_one_of_each_group(docs, no_docs):
     assert simhash.near_copies_out(no_docs).count() == 0 and simhash.groups(no_docs).count() == 0
 
 
+def test_long_texts_are_split_in_slices(monkeypatch):
+    text = "One two\n\nTHREE four five  six seven eight nine " * 40 + "x" * 300 + " end"
+    for words in (1, 3, 5):
+        whole = list(simhash.shingles(text, words))
+        monkeypatch.setattr(simhash, "SLICE", 11)
+        assert list(simhash.shingles(text, words)) == whole and len(whole) == len(text.split()) - words + 1
+        assert [list(simhash.shingles(t, words)) for t in (None, " \n", "a")] == [[], [], [b"a"]]
+        monkeypatch.setattr(simhash, "SLICE", 1 << 20)
+
+
 def test_lanes_and_slices(spark):
     a = np.random.default_rng(0).integers(0, 1 << 63, (50, 4)).astype(np.uint64)
     a[7] = a[3] ^ np.uint64(5)

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -36,6 +37,16 @@ def test_fragments_encode_like_the_whole(text):
     assert encoder.decode(np.array(whole, "<u4")) == encoder.tokenizer.decode(whole, skip_special_tokens=False)
 
 
+def test_very_long_texts(monkeypatch, tokenizer):
+    """Slices of one text, with and without cuts, with bytes that are encoded as a whole, and longer than a group."""
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 200)
+    rng = random.Random(2)
+    prose = "".join(rng.choice(["the ", "ing", " éu", "ß. ", "12", ", it's ", "\n\n  ", "日本"]) for _ in range(4000))
+    texts = [prose, "a" * 5000, prose + "\0" + prose, prose + "<|endoftext|>" + prose, "短い", "é" * 3000 + prose[:600], None]
+    encoder = bpe.Encoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids_of(tokenizer, t) for t in texts]
+
+
 def test_digests(docs, no_docs, tokenizer):
     for r, d in zip(*(sorted(df.collect(), key=lambda r: (str(r.doc_id), r.n_tokens if "n_tokens" in r else 0)) for df in (bpe.digests(docs, PATH), docs))):
         ids = ids_of(tokenizer, d.text)
