@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of sessions that name none.
+OWN: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets a temporary one; a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where that is unset a session in one local process gets a temporary one; a cluster is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or OWN.get(spark)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN[spark] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found.rstrip("/")
 
 
