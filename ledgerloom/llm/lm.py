@@ -34,7 +34,7 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 NEXT_SPACE = re.compile(rb"[\t-\r ]").search
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(32)
 
@@ -55,7 +55,7 @@ def words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         eight = np.ndarray(n + 9, "<u8", v.tobytes(), strides=(1,))
         mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
         low, high = eight[s] & mask[np.minimum(size, 8)], eight[np.minimum(s + 8, n + 8)] & mask[np.clip(size - 8, 0, 8)]
-        h = _mixed(low * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(high + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        h = mixed(low * np.uint64(0x9E3779B97F4A7C15) ^ mixed(high + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         long = np.flatnonzero(size > 16)
         h[long] = [xxhash.xxh64_intdigest(part[a:b]) for a, b in zip(s[long].tolist(), e[long].tolist())]
         hashes.append(h)
@@ -101,7 +101,7 @@ class Block:
             often = self.counts[-1] >= self.least
             at = np.flatnonzero((self.place >= order - 1) & often & np.append(False, often[:-1]))
             grams = np.zeros_like(self.words)
-            grams[at] = _mixed((self.gram[at - 1] + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) ^ self.words[at])
+            grams[at] = mixed((self.gram[at - 1] + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) ^ self.words[at])
             self.gram = grams
         return at, *np.unique(self.gram[at], return_inverse=True, return_counts=True)
 

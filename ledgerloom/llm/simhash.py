@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import lm
 from ledgerloom.llm.components import components
 from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 
@@ -21,6 +23,7 @@ TILE_ROWS = 4096
 SET_ROWS, SET_HASHES, SET_WIDTH = 1024, 1 << 18, 2048
 #: Keys of a set of runs: sets that share none are not compared, which sets of a similarity of 0.8 do with a chance of 0.2^KEYS.
 KEYS = 8
+TEXTS_AT_ONCE = 256
 SLICE = 1 << 20
 NEXT_SPACE = re.compile(rb"[\t-\r ]").search
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -33,43 +36,57 @@ def _runs(found: list[bytes], words: int) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts, ends[words - 1 :].tolist())]
 
 
-def shingles(text: str | None, words: int) -> Iterator[bytes]:
+def shingles(text: str | None, words: int) -> Iterator[list[bytes]]:
     """Runs of so many words of a text, A-Z lower-cased, words being what lies between ASCII white space; a shorter text is one run, no words none.
 
-    A text is split a slice at a time, which ends where a word does."""
+    A text is split a slice at a time, which ends where a word does, and gives a list of runs for each."""
     raw, at, before, any_ = (text or "").encode().translate(LOWER), 0, [], False
     while at < len(raw):
         space = NEXT_SPACE(raw, at + SLICE)
         stop = space.start() if space else len(raw)
         found = before + raw[at:stop].split()
         if len(found) >= words:
-            yield from _runs(found, words)
+            yield _runs(found, words)
             any_, found = True, found[len(found) - words + 1 :]
         before, at = found, stop
     if before and not any_:
-        yield b" ".join(before)
+        yield [b" ".join(before)]
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
     """Of each run: XXH64 with seed 42."""
-    return np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in shingles(text, words)), "<u8")
+    found, digest = [np.zeros(0, "<u8")], xxhash.xxh64_intdigest
+    found += [np.array([digest(r, 42) for r in runs], "<u8") for runs in shingles(text, words)]
+    return np.concatenate(found)
+
+
+def run_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct runs of words, as hashes of the hashes of their words; runs as in shingles()."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        own, n = lm.words([(t or "").encode().translate(LOWER) for t in texts[at : at + TEXTS_AT_ONCE]])
+        chain = lambda parts: reduce(lambda h, w: lm.mixed(h * np.uint64(0x9E3779B97F4A7C15) ^ w), parts, np.full(len(parts[0]), len(parts), np.uint64))
+        runs = chain([own[k : max(k, len(own) - words + 1 + k)] for k in range(words)])
+        for a, b in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
+            yield np.unique(runs[a : b - words + 1]) if b - a >= words else chain([own[k : k + 1] for k in range(a, b)]) if b > a else own[:0]
 
 
 def fingerprint(first: np.ndarray, lanes: int) -> np.ndarray:
     """So many unsigned 64-bit lanes; a bit is set if it is set in over half of the runs' hashes, mixed anew for each lane after the first."""
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes if len(first) else 0):
-        h = first
-        if lane:
-            h = (h ^ np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-        ones = np.zeros(64)
-        for at in range(0, len(h), 1 << 14):
-            bits = np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
-        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
-    return out
+    ones = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(first), 1 << 14):
+        h = first[at : at + (1 << 14)]
+        mixed = [h]
+        for lane in range(1, lanes):
+            m = (h ^ np.uint64(lane)) * np.uint64(0x9E3779B97F4A7C15)
+            m = (m ^ m >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed.append(m ^ m >> np.uint64(29))
+        # the bits of a word are dealt to its bytes, which 255 words at a time cannot overflow
+        n = -(-len(h) // 255)
+        spread = np.zeros((lanes, 8, 255 * n), np.uint64)
+        spread[:, :, : len(h)] = np.stack(mixed)[:, None, :] >> np.arange(8, dtype=np.uint64)[:, None] & np.uint64(0x0101010101010101)
+        counts = spread.reshape(lanes, 8, n, 255).sum(3).view(np.uint8).reshape(lanes, 8, n, 8).sum(2, dtype=np.int64)
+        ones += counts.transpose(0, 2, 1).reshape(lanes, 64)
+    return np.packbits(2 * ones > len(first), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, words: int, lanes: int, distinct: bool) -> DataFrame:
@@ -244,8 +261,7 @@ def sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                found = np.unique(hashes(text, words))
+            for found in run_sets(batch["text"].tolist(), words):
                 rows.append((fingerprint(found, lanes).view(np.int64), xxhash.xxh3_128_digest(found.tobytes()), len(found), least_runs(found).view(np.int64)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [r[0] for r in rows], "set": [r[1] for r in rows], "n_shingles": [r[2] for r in rows], "least": [r[3] for r in rows]})
 
@@ -256,7 +272,7 @@ def sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
 def _hash_sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(hashes(t, words)).view(np.int64) for t in batch["text"]]
+            found = [x.view(np.int64) for x in run_sets(batch["text"].tolist(), words)]
             yield pd.DataFrame({"id": batch["id"], "grp": batch["grp"], "hashes": found})
 
     return run
@@ -335,15 +351,15 @@ def near_copies_out(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     """Rows of docs, all columns, without those that links lead to from a document with a smaller doc_id.
 
     Links are pairs whose sets of distinct shingles have a Jaccard similarity of the least, 0.8 at the lowest, or more.
-    Fingerprints of 512 bits only find candidates, among sets that share one of KEYS keys, so that work grows with the
-    number of documents; of pairs at 0.8 three in a million share none. At 0.8, 78 bits differ in large sets, with a
-    deviation of 8, and 96, with one of 9, where 4 shingles stand against 5; 136 bits, 84 of them in one half, leave more
+    Fingerprints of 256 bits only find candidates, among sets that share one of KEYS keys, so that work grows with the
+    number of documents; of pairs at 0.8 three in a million share none. At 0.8, 39 bits differ in large sets, with a
+    deviation of 6, and 48, with one of 6.4, where 4 shingles stand against 5; 76 bits, 50 of them in one half, leave more
     than four deviations. Candidates that hang together are then compared exactly. Different sets of fewer than 4 shingles
     are never that similar, equal sets always are (those without shingles, of null, empty and blank texts, too). Of repeated
     rows with the doc_id that stays, all stay, and so do rows without one. An empty table gives none. Columns named id or
     grp may be there and stay.
     """
-    lanes, radius, half_radius = 8, 136, 84
+    lanes, radius, half_radius = 4, 76, 50
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(sets(docs, words, lanes).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
     alike = prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least"))

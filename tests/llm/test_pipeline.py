@@ -38,7 +38,7 @@ def with_language(rows):
 
 
 def one_of_each_group(rows):
-    runs = {r.doc_id: set(simhash.shingles(r.text, 5)) for r in rows if r.doc_id is not None}
+    runs = {r.doc_id: {x for runs in simhash.shingles(r.text, 5) for x in runs} for r in rows if r.doc_id is not None}
     root = groups_of(sorted(runs), lambda a, b: len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]))
     return [r for r in rows if r.doc_id is None or root[r.doc_id] == r.doc_id]
 

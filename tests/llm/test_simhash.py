@@ -43,7 +43,7 @@ def test_groups_match_brute_force(docs, monkeypatch):
 
 
 def test_near_copies_out_keeps_one_of_each_group(docs, no_docs):
-    sets = {r.doc_id: set(simhash.shingles(r.text, 5)) for r in docs.collect()}
+    sets = {r.doc_id: set(runs_of(r.text, 5)) for r in docs.collect()}
     kept = simhash.near_copies_out(docs)
     assert kept.columns == docs.columns
     left = [r.doc_id for r in kept.collect()]
@@ -54,13 +54,29 @@ def test_near_copies_out_keeps_one_of_each_group(docs, no_docs):
     assert simhash.near_copies_out(no_docs).count() == 0 and simhash.groups(no_docs).count() == 0
 
 
+def runs_of(text, words):
+    return [r for runs in simhash.shingles(text, words) for r in runs]
+
+
+def test_sets_of_runs_are_those_of_shingles(texts, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXTS_AT_ONCE", 7)
+    texts = [*texts, "a b c d", "a b c", "A B c d e a b C d e f", None]
+    for words in (1, 3, 5):
+        found = list(simhash.run_sets(texts, words))
+        runs = [set(runs_of(t, words)) for t in texts]
+        assert list(map(len, found)) == list(map(len, runs))
+        for a in range(len(texts)):
+            for b in range(a):
+                assert len(np.intersect1d(found[a], found[b])) == len(runs[a] & runs[b])
+
+
 def test_long_texts_are_split_in_slices(monkeypatch):
     text = "One two\n\nTHREE four five  six seven eight nine " * 40 + "x" * 300 + " end"
     for words in (1, 3, 5):
-        whole = list(simhash.shingles(text, words))
+        whole = runs_of(text, words)
         monkeypatch.setattr(simhash, "SLICE", 11)
-        assert list(simhash.shingles(text, words)) == whole and len(whole) == len(text.split()) - words + 1
-        assert [list(simhash.shingles(t, words)) for t in (None, " \n", "a")] == [[], [], [b"a"]]
+        assert runs_of(text, words) == whole and len(whole) == len(text.split()) - words + 1
+        assert [runs_of(t, words) for t in (None, " \n", "a")] == [[], [], [b"a"]]
         monkeypatch.setattr(simhash, "SLICE", 1 << 20)
 
 
@@ -100,7 +116,7 @@ def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch):
         texts += [base + prose(50), base + prose(50)]  # 300 of 400: 0.75
     texts += [prose(3), [], []]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    runs = [set(simhash.shingles(" ".join(t), 5)) for t in texts]
+    runs = [set(runs_of(" ".join(t), 5)) for t in texts]
     like = lambda a, b: len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])
     root = groups_of(range(len(texts)), like)
     assert sorted(r.doc_id for r in simhash.near_copies_out(docs).collect()) == [k for k, r in root.items() if k == r]
