@@ -27,7 +27,7 @@ from ledgerloom.llm.scratch import Scratch, shuffle_partitions
 
 BACKOFF = 0.4
 BLOCK_ROWS = 8192
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 SLICE = 1 << 20
 MICRO = 1_000_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -202,13 +202,15 @@ def scores(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     each; an empty table gives none.
 
     N-grams are known by a 64-bit hash: of n different ones some n^2 / 2^65 pairs share a count, 0.03 pairs of 10^9. A block
-    is held in one task, so a single text has to fit there, with some 60 bytes for each of its words.
+    is held in one task, so a single text has to fit there, with some 60 bytes for each of its words. Blocks send a row for
+    each bucket, of which there are two to four for each shuffle partition, as a shuffle has a segment for each task and
+    partition: with very many of both, larger blocks (BLOCK_CHARS) keep rows few.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     key = docs.select("doc_id").schema[0]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = scratch.bucketed(rows.mapInPandas(_blocked, T.StructType([key, *T.StructType.fromDDL("text string, part long")])), "texts", "part")
-    bits = (4 * shuffle_partitions(spark) - 1).bit_length()
+    bits = (2 * shuffle_partitions(spark) - 1).bit_length()
     known, total = spark.createDataFrame([], COUNTS), 0
     blocks = texts.groupBy("part")
     for k in range(1, order + 1):

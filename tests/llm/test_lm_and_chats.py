@@ -72,7 +72,7 @@ def test_preference_rows(spark):
     hello = [(0, "user", "hi"), (1, "assistant", "yes")]
     rows = [(1, *t) for t in [*hello, (2, "user", "more"), (3, "assistant", "A")]] + [(5, *t) for t in [*hello, (2, "user", "other"), (3, "assistant", "B"), (4, None, None)]]
     rows += [(7, *t) for t in hello] + [(8, *t) for t in hello] + [(9, 0, "user", "alone"), (9, 0, "user", "alone"), (None, 0, "user", "hi")]
-    found = {r.pair_id: r for r in preference.preference_rows(chats(spark, rows)).collect()}
+    found = {r.pair_id: r for r in preference.preference_rows(chats(spark, rows).selectExpr("*", "1 AS idx", "'x' AS side", "2 AS pair_id", "3 AS prompt")).collect()}
     assert set(found) == {1, 7, 9}
     r = found[1]
     assert (r.n_common, r.prompt) == (2, "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n")

@@ -119,7 +119,7 @@ def test_packing_of_nothing(no_docs):
 
 def test_store(spark, docs, no_docs, tokenizer):
     folder = new_path(spark, "store")
-    store.write_store(docs, PATH, folder, end_id=0, mean=8, most=32)
+    store.write_store(docs.withColumnsRenamed({"source": "row", "n_chars": "addresses"}), PATH, folder, end_id=0, mean=8, most=32)
     rows = sorted(store.digests(spark, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((d.doc_id for d in docs.collect()), key=lambda k: (k is not None, k))
     text_of, at = {d.doc_id: d.text for d in docs.collect()}, 0
