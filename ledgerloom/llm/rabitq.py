@@ -233,7 +233,7 @@ def _sides(pairs: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
 def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding; other columns are ignored).
 
-    Two rows link if their cosine in double precision is `least` or more. n_links counts the rows a row links with;
+    Two rows link if their cosine in double precision is `least`, from 0 to 1, or more. n_links counts the rows a row links with;
     component_id is the smallest vec_id reachable, kept is true for that one. Vectors that are null, empty, zero or hold a
     null, NaN or infinity link with nothing; so do rows without a vec_id, which get a null component_id and are not kept.
     Vectors of different lengths do not link. An empty table gives none. Equal vectors are one, with their number.

@@ -24,6 +24,7 @@ SET_ROWS, SET_HASHES, SET_WIDTH = 1024, 1 << 18, 2048
 #: Keys of a set of runs: sets that share none are not compared, which sets of a similarity of 0.8 do with a chance of 0.2^KEYS.
 KEYS = 8
 TEXTS_AT_ONCE = 256
+PAIRS_HELD = 1 << 16
 SLICE = 1 << 20
 NEXT_SPACE = re.compile(rb"[\t-\r ]").search
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,15 +155,17 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 def _link_tiles(lanes: int, radius: int, half_radius: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                a = np.asarray(row.fps_a).view(np.uint64).reshape(-1, lanes)
-                b = np.asarray(row.fps_b).view(np.uint64).reshape(-1, lanes)
-                ids = np.concatenate([row.ids_a, row.ids_b])
-                root = spanning(len(ids), ((i, j + len(a)) for i, j in _compare(a, b, radius, half_radius)))
-                moved = np.flatnonzero(root != np.arange(len(ids)))
-                if len(moved):
-                    out = pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
-                    yield out[out["a"] != out["b"]]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for ids_a, fps_a, ids_b, fps_b in zip(*(batch[c] for c in ("ids_a", "fps_a", "ids_b", "fps_b"))):
+                a, b = fps_a.view(np.uint64).reshape(-1, lanes), fps_b.view(np.uint64).reshape(-1, lanes)
+                hits = list(_compare(a, b, radius, half_radius)) if len(a) * len(b) <= PAIRS_HELD else _compare(a, b, radius, half_radius)
+                if hits:
+                    ids = np.concatenate([ids_a, ids_b])
+                    root = spanning(len(ids), ((i, j + len(a)) for i, j in hits))
+                    moved = np.flatnonzero(root != np.arange(len(ids)))
+                    found.append((ids[moved], ids[root[moved]]))
+            a, b = map(np.concatenate, zip(*found))
+            yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     return run
 
