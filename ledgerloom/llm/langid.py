@@ -19,7 +19,8 @@ MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 UNDECIDED = "und"
 SLICE = 1 << 18
-BATCH = 64
+BATCH = 32
+KEYS_HELD = 1 << 21
 LANGUAGES_AT_ONCE = 16
 LETTER = regex.compile(r"\p{L}")
 
@@ -51,9 +52,13 @@ def features(texts: list[str]) -> Iterator[np.ndarray]:
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A sparse matrix of texts and buckets: where each text's entries begin, their buckets, and how often each comes."""
-    seen = np.zeros(len(texts) * BUCKETS, np.int64)
+    seen, held, size = 0, [], 0
     for keys in features(texts):
-        seen += np.bincount(keys, minlength=len(seen))
+        held.append(keys)
+        size += len(keys)
+        if size > KEYS_HELD:
+            seen, held, size = seen + np.bincount(np.concatenate(held), minlength=len(texts) * BUCKETS), [], 0
+    seen = seen + np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(texts) * BUCKETS)
     used = np.flatnonzero(seen)
     return np.searchsorted(used, np.arange(len(texts)) * BUCKETS), used % BUCKETS, seen[used]
 
