@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, lm, omh, packing, preference, rabitq, repeats, simhash, store
+from ledgerloom.llm import bpe, langid, lm, omh, packing, periods, preference, rabitq, repeats, simhash, store
 from ledgerloom.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,20 @@ def op2_rabitq_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_copies(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.with_period().alias("text"))
+    found = periods.periodic_runs(docs, least=6, times=4)
+    # the longest; of those of one length the first, then the one of the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    start, length, period = -best["col2"], best["length"], -best["col3"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op7_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(table(spark, sf_dir, "conversations"))
