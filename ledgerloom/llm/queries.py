@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, lm, omh, packing, periods, preference, rabitq, repeats, simhash, store
+from ledgerloom.llm import bpe, langid, lm, omh, packing, periods, preference, rabitq, repeats, simhash, spelling, store
 from ledgerloom.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in 199 of a document's runs, by checksum, loses a code point, so that there are misspellings."""
+    runs = spelling.runs_of_letters(table(spark, sf_dir, "documents"), least=6)
+    runs = runs.withColumn("h", F.crc32(F.encode(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run"), "utf-8")))
+    place = F.pmod("h", F.char_length("run").cast("long")).cast("int")
+    run = F.when(F.pmod("h", F.lit(199)) == 0, F.concat(F.substring("run", F.lit(1), place), F.substr("run", place + 2))).otherwise(F.col("run"))
+    return spelling.variants(spelling.counted(runs.select(run.alias("run")), least=6, often=5), times=5)
+
+
 @query
 def op7_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(table(spark, sf_dir, "conversations"))
