@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, lm, omh, packing, periods, preference, rabitq, repeats, simhash, spelling, store
+from ledgerloom.llm import bpe, forest, langid, lm, omh, packing, periods, preference, rabitq, repeats, simhash, spelling, store
 from ledgerloom.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted(runs.select(run.alias("run")), least=6, often=5), times=5)
 
 
+@query
+def op13_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, n=20)
+
+
 @query
 def op7_preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(table(spark, sf_dir, "conversations"))
