@@ -19,11 +19,14 @@ def _try_ntz(c: Column, layout: str) -> Column:
 
 
 # a date and a time, with a fraction of a second and an offset or not
-WRITTEN = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2} \d{1,2}:\d{1,2}(?::\d{1,2})?)(?:\.\d+)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$"
+WRITTEN = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2} \d{1,2}:\d{1,2}(?::\d{1,2})?)(?:[.,]\d+)?\s*(Z|z|UTC|[+-]\d{2}(?::?\d{2})?)?$"
 
 
 def _spaced(c) -> Column:
-    return F.regexp_replace(F.trim(col(c)), r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})T", "$1 ")
+    """With a space before the time; 20240105T101112, with or without seconds, as 2024-01-05 10:11:12."""
+    text = F.regexp_replace(F.trim(col(c)), r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(?!\d)", "$1-$2-$3 $4:$5")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(?!\d)", "$1-$2-$3 $4:$5:$6")
+    return F.regexp_replace(text, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})T", "$1 ")
 
 
 def _as_written(c) -> Column:
@@ -36,9 +39,9 @@ def parse_lenient(c, zone: str = ZONE) -> Column:
 
     A time with an offset, Z or UTC becomes the time of the zone; one without is taken as it is."""
     offset = F.regexp_extract(_spaced(c), WRITTEN, 2)
-    digits = F.regexp_replace(offset, "[^0-9]", "")
+    digits = F.rpad(F.regexp_replace(offset, "[^0-9]", ""), 4, "0")
     minutes = (digits.substr(1, 2).try_cast("int") * 60 + digits.substr(3, 2).try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1)
-    utc = _as_written(c) - F.make_dt_interval(mins=F.when(offset.isin("Z", "UTC"), F.lit(0)).otherwise(minutes))
+    utc = _as_written(c) - F.make_dt_interval(mins=F.when(offset.isin("Z", "z", "UTC"), F.lit(0)).otherwise(minutes))
     return F.when(offset != "", F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)).otherwise(_as_written(c))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import col
@@ -97,11 +97,66 @@ def tag_flags(categories, category_id: int, ids: dict[str, int], digests: dict[s
     return F.struct(*flags, F.coalesce(*(F.when(has("name", n), F.lit(n)) for n in choices)).alias("select"))
 
 
+def _members(text: Column) -> Column:
+    """(name, text, kind) of the members of a JSON object, or of a list, without names, in the order they stand in; null for all else."""
+    names = F.map_entries(F.from_json(text, "map<string,string>"))
+    items = F.transform(F.from_json(text, "array<string>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    kinds = F.coalesce(F.map_values(F.from_json(text, "map<string,variant>")), F.from_json(text, "array<variant>"))
+    member = lambda e, v: F.struct(e["key"].alias("name"), e["value"].alias("text"), F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind"))
+    return F.zip_with(F.coalesce(names, items), kinds, member)
+
+
+def _nested(kind: Column) -> Column:
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def near_key(c, key: str, levels: int = 3) -> Column:
+    """(value, sure): what find_key() finds in a JSON string's first `levels` levels of objects and lists, by built-in functions alone.
+
+    sure is false where find_key() may find something else: the search would come to objects or lists below these levels
+    first, what is found is neither a string, a whole number nor true or false, or Spark can't read the string.
+    """
+    result = lambda done, value, sure: F.struct(done.alias("done"), value.cast("string").alias("value"), sure.alias("sure"))
+    yes, no, null = F.lit(True), F.lit(False), F.lit(None)
+
+    def look(text: Column, level: int) -> Column:
+        def at(members: Column) -> Column:
+            own = F.filter(members, lambda m: m["name"] == key)
+            below = F.filter(members, lambda m: _nested(m["kind"]))
+            hit = F.get(own, F.lit(0))
+            plain = hit["kind"].isin("STRING", "BIGINT", "BOOLEAN")
+            # null where the key is does not end the search, but that of its object
+            found = F.when(hit["kind"] == "VOID", result(no, null, yes)).otherwise(result(yes, F.when(plain, hit["text"]), plain))
+            if level == levels:
+                deeper = result(F.size(below) > 0, null, F.size(below) == 0)
+            else:
+                ends = F.filter(F.transform(below, lambda m: look(m["text"], level + 1)), lambda r: r["done"])
+                deeper = F.coalesce(F.get(ends, F.lit(0)), result(no, null, yes))
+            return F.when(F.size(own) > 0, found).otherwise(deeper)
+
+        # a list of one, so that the members are read once
+        return F.get(F.transform(F.array(_members(text)), at), F.lit(0))
+
+    kind = F.schema_of_variant(F.try_parse_json(col(c)))
+    found = F.when(_nested(kind), look(col(c), 1))
+    unread = kind.isNull() & (F.trim(F.coalesce(col(c), F.lit(""))) != "")
+    return F.struct(found["value"].alias("value"), (~unread & F.coalesce(found["sure"], yes)).alias("sure"))
+
+
+def with_key(df: DataFrame, column: str, key: str, out: str, levels: int = 3) -> DataFrame:
+    """df with what find_key() finds in a column of JSON strings.
+
+    Built-in functions look in the first `levels` levels; of the strings for which that is not enough the different ones go through Python, and are joined back."""
+    rows = df.withColumn("_near", near_key(column, key, levels)).withColumn("_other", F.when(~F.col("_near.sure"), F.col(column)))
+    known = rows.select("_other").filter("_other is not null").distinct().withColumn("_found", find_key("_other", key))
+    return rows.join(known, "_other", "left").withColumn(out, F.when(F.col("_near.sure"), F.col("_near.value")).otherwise(F.col("_found"))).drop("_near", "_other", "_found")
+
+
 def find_key(c, key: str) -> Column:
     """The first value of a key anywhere in a JSON string, depth first; what isn't a string is given as JSON.
 
     An object that has the key is not searched any deeper; if its value is null, the search goes on after the object.
-    Null for null, for bad JSON and for JSON too deep to read."""
+    Null for null, for bad JSON and for JSON too deep to read. Runs in Python on each row; see with_key()."""
 
     def search(value):
         left = [value]

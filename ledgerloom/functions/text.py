@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that count as no value, and marks of the reports.
@@ -44,7 +44,7 @@ def pick_landing(landing, qr_code) -> Column:
 
 
 def nfkc(c) -> Column:
-    """Unicode NFKC without white space at the ends. Spark has no such function: use it on distinct values and join."""
+    """Unicode NFKC without white space at the ends. Spark has no such function, so this runs in Python on each row; see with_nfkc()."""
 
     @F.pandas_udf("string")
     def normalize(values: pd.Series) -> pd.Series:
@@ -53,6 +53,25 @@ def nfkc(c) -> Column:
     return normalize(col(c))
 
 
+# Characters of full width that become ASCII one by one, and those that are ASCII already.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+PLAIN = "^[\\x00-\\x7f\\uff01-\\uff5e\\u3000]*$"
+
+
+def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with a column of the NFKC of another, without white space at the ends; nulls stay.
+
+    ASCII text, with characters of full width or not, is translated by built-in functions. Of all else the different values go
+    through Python once each, and are joined back; a value that very many rows have is sent there from each task once.
+    """
+    plain = F.col(column).rlike(PLAIN)
+    ascii_ = F.regexp_replace(F.translate(F.col(column), FULL_WIDTH, HALF_WIDTH), r"^[\x09-\x0d\x1c-\x20]+|[\x09-\x0d\x1c-\x20]+$", "")
+    rows = df.withColumn("_other", F.when(~plain, F.col(column)))
+    known = rows.select("_other").filter("_other is not null").distinct().withColumn("_nfkc", nfkc("_other"))
+    return rows.join(known, "_other", "left").withColumn(out, F.when(plain, ascii_).otherwise(F.col("_nfkc"))).drop("_other", "_nfkc")
+
+
 def normalize_name(c) -> Column:
     """Without what is in brackets of full or half width and without white space, U+3000 included; null is ''."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"（.*?）|\(.*?\)", ""), "[\\s　]+", "")

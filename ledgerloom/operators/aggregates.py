@@ -88,9 +88,9 @@ def tag_monthlies(df: DataFrame, ts: str, tags: list[str], mark: str = MARK) ->
 
 
 def attendance_by_event_month(long: DataFrame, mark: str = MARK, min_month: int = 5) -> DataFrame:
-    """Cells of long rows (header, cell) that equal the mark, by the month M of headers 'M/D参加'; months before min_month stay 0."""
+    """Cells of long rows (header, cell) that equal the mark, white space at the ends aside, by the month M of headers 'M/D参加'; months before min_month stay 0."""
     month = F.regexp_extract("header", r"^(\d{1,2})/\d{1,2}参加$", 1).try_cast("int")
-    hits = long.filter(F.col("cell") == mark).withColumn("month", month).filter(F.col("month") >= min_month)
+    hits = long.filter(F.regexp_replace("cell", r"^[\s\x00]+|[\s\x00]+$", "") == mark).withColumn("month", month).filter(F.col("month") >= min_month)
     return dense_on_empty(hits.groupBy("month").agg(F.count("*").alias("n")), month_spine(long.sparkSession), ["month"])
 
 

@@ -86,3 +86,16 @@ def backfill_motivation(df: DataFrame, detail: DataFrame, key: str, codes: list[
     blank: Column = null_if_blank("motivation").isNull()
     out = df.join(side, key, "left")
     return out.withColumn("motivation", F.when(blank & found.isin(codes), found).otherwise(F.col("motivation"))).drop(*(f"d_{f}" for f in fields))
+
+
+def in_windows(df: DataFrame, windows: DataFrame, ts: str, start: str = "from", stop: str = "to", every: str = "HOUR") -> DataFrame:
+    """Each row of df with each of the windows (start, stop, ...) that it lies in, both ends in.
+
+    An equi-join by the hours (or days) that a window covers, then exactly; rows without a time, and windows with a null end
+    or the ends the wrong way round, match nothing. A window costs a row for each hour it covers.
+    """
+    step = F.expr(f"interval 1 {every.lower()}")
+    hours = F.sequence(F.date_trunc(every, start), F.date_trunc(every, stop), step)
+    covered = windows.filter(F.col(start) <= F.col(stop)).withColumn("_hour", F.explode(hours))
+    found = df.withColumn("_hour", F.date_trunc(every, ts)).join(covered, "_hour")
+    return found.filter(F.col(ts).between(F.col(start), F.col(stop))).drop("_hour")

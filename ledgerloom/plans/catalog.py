@@ -8,8 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions import dates, nested, text
 from ledgerloom.operators import aggregates as agg
@@ -247,13 +248,13 @@ def tag_monthlies(leads):
     return agg.tag_monthlies(filters.filter_year_month(leads, "followed_at", YEAR, 1), "followed_at", ["tag_a", "tag_b"])
 
 
-EVENT_LONG = "(SELECT o_orderkey, month(o_orderdate) || '/' || day(o_orderdate) || CASE WHEN o_orderkey % 3 > 0 THEN '参加' ELSE '参加希望' END AS header, CASE WHEN o_orderstatus = 'F' THEN '◯' ELSE ' ◯' END AS cell, month(o_orderdate) AS m FROM orders)"
+EVENT_LONG = "(SELECT o_orderkey, month(o_orderdate) || '/' || day(o_orderdate) || CASE WHEN o_orderkey % 3 > 0 THEN '参加' ELSE '参加希望' END AS header, CASE o_orderstatus WHEN 'F' THEN '◯' WHEN 'O' THEN ' ◯ ' ELSE '◯ x' END AS cell, month(o_orderdate) AS m FROM orders)"
 
 
-@query("orders", sql=f"SELECT month, coalesce(n, 0) AS n FROM {MONTHS} LEFT JOIN (SELECT m::INTEGER AS month, count(*) AS n FROM {EVENT_LONG} WHERE cell = '◯' AND NOT contains(header, '希望') AND m >= 5 GROUP BY 1) USING (month)")
+@query("orders", sql=f"SELECT month, coalesce(n, 0) AS n FROM {MONTHS} LEFT JOIN (SELECT m::INTEGER AS month, count(*) AS n FROM {EVENT_LONG} WHERE trim(cell) = '◯' AND NOT contains(header, '希望') AND m >= 5 GROUP BY 1) USING (month)")
 def attendance_by_event_month(orders):
     word = F.when(F.col("o_orderkey") % 3 > 0, F.lit("参加")).otherwise(F.lit("参加希望"))
-    long = orders.select(F.concat(F.date_format("o_orderdate", "M/d"), word).alias("header"), F.when(F.col("o_orderstatus") == "F", F.lit("◯")).otherwise(F.lit(" ◯")).alias("cell"))
+    long = orders.select(F.concat(F.date_format("o_orderdate", "M/d"), word).alias("header"), F.when(F.col("o_orderstatus") == "F", F.lit("◯")).when(F.col("o_orderstatus") == "O", F.lit(" ◯ ")).otherwise(F.lit("◯ x")).alias("cell"))
     return agg.attendance_by_event_month(long)
 
 
@@ -427,7 +428,7 @@ def sort_unread(mentions):
 # all days of the tags, and all priorities
 DAYS = [f"2024-01-{day:02}" for day in range(1, 32)]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-DAY_COLUMNS = ", ".join(f"CASE WHEN bool_or({kind}) FILTER (WHERE date = DATE '{day}') THEN '◯' ELSE '' END AS \"{day}_{kind}\"" for day in DAYS for kind in ("hope", "attend"))
+DAY_COLUMNS = ", ".join(f"CASE WHEN bool_or({kind}) FILTER (WHERE date = DATE '{day}') THEN '◯' ELSE '' END AS \"1/{int(day[-2:])}{label}\"" for day in DAYS for kind, label in (("hope", "参加希望"), ("attend", "参加")))
 DUE_COLUMNS = ", ".join(f"max(due) FILTER (WHERE name = '{p}') AS \"{p}\"" for p in PRIORITIES)
 
 
@@ -438,7 +439,9 @@ def pivot_events(tags):
 
 @query("categories", sql=f"SELECT id, {DUE_COLUMNS} FROM @categories GROUP BY 1")
 def pivot_schedule(categories):
-    return reshape.pivot_schedule(categories.select("id", F.col("name").alias("category"), "due"), PRIORITIES)
+    """The columns are the names that are found, in the order they come first in the report by due date."""
+    report = ranking.numbered(categories.select("id", F.col("name").alias("category"), "due", "_seq").withColumnRenamed("_seq", "order"), F.asc("due"), F.asc("order"))
+    return reshape.pivot_schedule(report.drop("order"))
 
 
 @query("videos", "comments", sql=f"SELECT video_id, max(comment) FILTER (WHERE rank = 1) AS comment1, max(comment) FILTER (WHERE rank = 2) AS comment2, max(comment) FILTER (WHERE rank = 3) AS comment3 FROM {FIRST_COMMENTS} GROUP BY 1")
@@ -494,7 +497,6 @@ on_names("null_if_blankish", "CASE WHEN trim(raw, ' ') NOT IN ('', '-') THEN raw
 on_names("pick_landing", "coalesce(CASE WHEN trim(raw, ' ') NOT IN ('', '-') THEN raw END, 'q' || id)", lambda: text.pick_landing("raw", F.concat(F.lit("q"), "id")))
 on_names("normalize_name", r"regexp_replace(regexp_replace(coalesce(raw, ''), '（.*?）|\(.*?\)', '', 'g'), '[\s　]+', '', 'g')", lambda: text.normalize_name("raw"))
 on_names("normalize_code", "lower(trim(coalesce(raw, ''), ' '))", lambda: text.normalize_code("raw"))
-on_names("nfkc", "replace(replace(replace(replace(trim(replace(raw, '　', ' ')), '（', '('), '）', ')'), '＃', '#'), '１', '1')", lambda: text.nfkc("raw"))
 on_names("mask", "CASE WHEN length(raw) < 8 THEN raw ELSE left(raw, 4) || '...' || right(raw, 4) END", lambda: text.mask("raw"))
 on_names("category_due_text", "CASE WHEN coalesce(raw, '') <> '' THEN raw || ' / ' || id ELSE '' END", lambda: text.category_due_text("raw", F.col("id").cast("string")))
 on_names("link_cell", """CASE WHEN trim(replace(coalesce(raw, ''), '　', ' ')) = '' THEN 'pdca_' || id ELSE '=HYPERLINK("' || raw || '","pdca_' || id || '")' END""", lambda: text.link_cell("raw", F.concat(F.lit("pdca_"), "id")))
@@ -508,23 +510,30 @@ on_names("first_url", "CASE WHEN id % 6 <> 4 THEN 'https://u/' || id END", lambd
 on_names("performer", "CASE WHEN id % 2 = 0 AND id % 6 <> 4 THEN 'Ann' ELSE 'nobody' END", lambda: text.performer(F.when(F.col("id") % 2 == 0, F.concat("raw", F.lit(" https://u?uLand=a1&b http://v?uLand=b2"))).otherwise(F.lit("https://u http://v?uLand=a1")), {"a1": "Ann", "b2": "Bo"}, "nobody"))
 on_names("percent_text", "CASE WHEN id % 3 > 0 THEN (id % 3) || '%' ELSE '' END", lambda: text.percent_text(F.when(F.col("id") % 3 > 0, F.col("id") % 3)))
 on_names("flag_mark", "CASE WHEN id % 2 = 0 THEN '◯' ELSE '' END", lambda: text.flag_mark(F.col("id") % 2 == 0))
+
+
+@query("customer", sql=f"SELECT id, replace(replace(replace(replace(trim(replace(raw, '　', ' ')), '（', '('), '）', ')'), '＃', '#'), '１', '1') AS value FROM {NAMES}")
+def nfkc(customer):
+    return text.with_nfkc(_names(customer), "raw", "value").select("id", "value")
+
+
 column("uid_from_link", "uid", lambda: text.uid_from_link("link"), "friends", key="_seq")
 column("format_comment", r"rtrim(replace(replace(replace(replace(text_original || '。b、c ' || chr(10), chr(13), ''), chr(10), ' '), '。', '。' || chr(10)), '、', '、' || chr(10)))", lambda: text.format_comment(F.concat("text_original", F.lit("。b、c \n"))), "comments", key="video_id")
 column("chunk_text", "array_to_string(list_transform(range(0, CAST(ceil(length(coalesce(text, '')) / 2000) AS BIGINT)), lambda k: substr(text, k * 2000 + 1, 2000)), '|')", lambda: F.array_join(text.chunk_text("text"), "|"), "documents", key="doc_id", source="documents")
 column("thumbnail", "CASE WHEN _seq % 2 = 0 THEN 'h' || _seq ELSE 'd' END", lambda: text.thumbnail("t"), "students", key="_seq",
     prepare=lambda df: df.withColumn("t", F.struct(F.struct(F.when(F.col("_seq") % 2 == 0, F.concat(F.lit("h"), "_seq")).alias("url")).alias("high"), F.struct(F.lit(None).cast("string").alias("url")).alias("medium"), F.struct(F.lit("d").alias("url")).alias("default"))))
 # of the view dates: written times, no time, and times with an offset, in Tokyo
-TOKYO_TIME = "CASE o_orderkey % 6 WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL '8 hours 5 minutes' WHEN 3 THEN NULL WHEN 4 THEN date_trunc('day', o_orderdate) + INTERVAL '9 hours 30 minutes' WHEN 5 THEN date_trunc('day', o_orderdate) + INTERVAL '37 hours 30 minutes' ELSE date_trunc('day', o_orderdate) END"
+TOKYO_TIME = "CASE o_orderkey % 8 WHEN 6 THEN date_trunc('day', o_orderdate) + INTERVAL '10 hours' WHEN 7 THEN date_trunc('day', o_orderdate) + INTERVAL '19 hours 11 minutes 12 seconds' WHEN 0 THEN date_trunc('day', o_orderdate) + INTERVAL '8 hours 5 minutes' WHEN 3 THEN NULL WHEN 4 THEN date_trunc('day', o_orderdate) + INTERVAL '9 hours 30 minutes' WHEN 5 THEN date_trunc('day', o_orderdate) + INTERVAL '37 hours 30 minutes' ELSE date_trunc('day', o_orderdate) END"
 column("parse_follow_time", TOKYO_TIME, lambda: dates.parse_follow_time("raw"), "dates", key="o_orderkey")
 column("parse_lenient", TOKYO_TIME, lambda: dates.parse_lenient("raw"), "dates", key="o_orderkey")
 column("parse_report_date", "CASE WHEN o_orderkey % 4 = 2 THEN year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' END", lambda: dates.parse_report_date("raw"), "dates", key="o_orderkey",
     prepare=lambda df: df.withColumn("raw", F.when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "yy/MM/dd")).otherwise(F.lit("3/10"))))
 JP_DATE = f"year({TOKYO_TIME}) || '年' || month({TOKYO_TIME}) || '月' || day({TOKYO_TIME}) || '日'"
-column("month_key", "CASE WHEN o_orderkey % 6 <> 3 THEN strftime(o_orderdate, '%Y-%m') END", lambda: dates.month_key("raw"), "dates", key="o_orderkey")
+column("month_key", "CASE WHEN o_orderkey % 8 <> 3 THEN strftime(o_orderdate, '%Y-%m') END", lambda: dates.month_key("raw"), "dates", key="o_orderkey")
 column("jp_date", f"coalesce({JP_DATE}, '')", lambda: dates.jp_date("raw"), "dates", key="o_orderkey")
 column("jp_datetime", f"coalesce({JP_DATE} || strftime({TOKYO_TIME}, ' %H時%M分'), '')", lambda: dates.jp_datetime("raw"), "dates", key="o_orderkey")
-column("publish_date", "CASE WHEN o_orderkey % 6 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END", lambda: dates.publish_date("raw"), "dates", key="o_orderkey")
-column("event_header", "CASE o_orderkey % 6 WHEN 3 THEN raw ELSE month(o_orderdate) || '/' || day(o_orderdate) END", lambda: dates.event_header("raw"), "dates", key="o_orderkey")
+column("publish_date", "CASE WHEN o_orderkey % 8 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END", lambda: dates.publish_date("raw"), "dates", key="o_orderkey")
+column("event_header", "CASE o_orderkey % 8 WHEN 3 THEN raw ELSE month(o_orderdate) || '/' || day(o_orderdate) END", lambda: dates.event_header("raw"), "dates", key="o_orderkey")
 
 
 @query("mentions", sql="""SELECT id, CASE WHEN hour(created_at) = 7 THEN date_trunc('day', created_at) - INTERVAL 2 HOURS ELSE created_at - INTERVAL 2 HOURS END AS start,
@@ -600,7 +609,14 @@ def consult_tag(orders):
     return _tagged(orders).select("uid", nested.consult_tag("categories", 1, "E").alias("tag"))
 
 
-column("find_key", "regexp_extract(props, '([0-9]+)', 1)", lambda: nested.find_key(F.concat(F.lit('{"a": [{"k": null, "z": {"k": "deeper"}}, {"b": '), "props", F.lit("}]}")), "k"), "events", key="event_id", source="events")
+@query("events", sql="SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS value FROM events")
+def find_key(events):
+    """Of some rows the key lies deeper than built-in functions look."""
+    shallow = F.concat(F.lit('{"a": [{"k": null, "z": {"k": "deeper"}}, {"b": '), "props", F.lit("}]}"))
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": {"b": '), shallow, F.lit("}}"))).otherwise(F.concat(F.lit('[{"z": '), "props", F.lit(', "a": {"k": 0}}]')))
+    return nested.with_key(events.withColumn("body", body), "body", "k", "value").select("event_id", "value")
+
+
 column("inflow_field", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END", lambda: nested.inflow_field(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"data": {"route": "'), "event_type", F.lit('"}}'))).otherwise(F.lit("{bad"))), "events", key="event_id", source="events")
 
 
@@ -683,34 +699,38 @@ def read_envelope(events):
     return found.select(field("event_id", "bigint"), field("user_id", "bigint"), field("event_type", "string"))
 
 
-PAGED = """(SELECT event_id, user_id, k // 2 + 1 AS page, k % 2 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events))"""
+PAGED = """(SELECT event_id, user_id, k // 2 + 1 AS page, k % 2 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k
+    FROM (SELECT event_id, CASE WHEN user_id % 50 <> 7 THEN user_id END AS user_id FROM events)))"""
 
 
 @query("events", sql=f"SELECT event_id, page * 4294967296 + pos AS _seq FROM {PAGED} WHERE page < CASE WHEN user_id % 3 = 0 THEN 2 ELSE 6 END")
 def concat_pages(events):
-    """Each user's feed in pages of two, the second of some feeds without rows, five pages a poll at most."""
+    """Each user's feed in pages of two, the second of some feeds without rows, five pages a poll at most; some rows tell no user."""
+    events = events.withColumn("user_id", F.when(F.col("user_id") % 50 != 7, F.col("user_id")))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     pages = events.select("event_id", "user_id", (F.floor(place / 2) + 1).alias("page"), (place % 2).alias("pos"))
-    return ingest.concat_pages(pages.filter("user_id % 3 > 0 or page <> 2"), "page", F.lit(5), feed="user_id").select("event_id", "_seq")
+    return ingest.concat_pages(pages.filter("coalesce(user_id % 3 > 0, true) or page <> 2"), "page", F.lit(5), feed="user_id").select("event_id", "_seq")
 
 
-REPORT = "SELECT c_custkey::VARCHAR AS followed_at, c_name AS name, NULL::VARCHAR AS consult, c_nationkey::VARCHAR AS region FROM customer"
+REPORT = "SELECT c_custkey::VARCHAR AS followed_at, c_name AS name, NULL::VARCHAR AS consult, c_nationkey::VARCHAR AS region, c_mktsegment AS path FROM customer"
 
 
 def _report(customer: DataFrame) -> DataFrame:
     path = new_path(customer.sparkSession, "report") + ".csv"
-    customer.select(F.col("c_custkey").alias(" 友達追加時刻 "), F.col("c_name").alias("名前"), F.col("c_nationkey").alias("third")).write.option("header", True).csv(path)
+    # in one column, since a label comes twice, which a writer of tables does not let through
+    line = F.concat_ws(",", "c_custkey", "c_name", "c_nationkey", F.lit("first"), "c_mktsegment").alias(" 友達追加時刻 ,名前,third,流入経路,流入経路")
+    customer.select(line).write.option("header", True).option("sep", "\u0001").csv(path)
     return ingest.read_report(customer.sparkSession, path)
 
 
 @query("customer", sql="SELECT c_custkey::VARCHAR AS key, c_name AS name, c_nationkey::VARCHAR AS region FROM customer")
 def read_report(customer):
-    return _report(customer).toDF("key", "name", "region")
+    return _report(customer).toDF("key", "name", "region", "first", "path").drop("first", "path")
 
 
 @query("customer", sql=REPORT)
 def resolve_headers(customer):
-    names = {"followed_at": ["追加日", "友達追加時刻"], "name": ["名前"], "consult": ["個別相談"], "region": ["none"]}
+    names = {"followed_at": ["追加日", "友達追加時刻"], "name": ["名前"], "consult": ["個別相談"], "region": ["none"], "path": ["流入経路"]}
     return ingest.resolve_headers(_report(customer), names, positional={"region": 2})
 
 
@@ -779,32 +799,83 @@ def _messages(mentions: DataFrame) -> DataFrame:
     return mentions.select(recipient.alias("recipient"), F.col("id").alias("seq"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
 
 
-def _streamed(df: DataFrame) -> DataFrame:
-    """A frame as a stream of files in which every row was polled twice."""
-    path = new_path(df.sparkSession, "landed")
-    df.write.parquet(path)
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def _polled(df: DataFrame, polls: list[Column], start: Callable[[DataFrame, str], StreamingQuery]) -> None:
+    """Land the rows of one poll after the other, and run a streaming query over what is new after each, with one checkpoint."""
+    landed, checkpoint = new_path(df.sparkSession, "landed"), new_path(df.sparkSession, "progress")
+    for poll in polls:
+        df.filter(poll).write.mode("append").parquet(landed)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(landed), checkpoint).awaitTermination()
+
+
+# polls every two hours from 7 to 23, each of which sees what the ten hours before it brought, twenty chats a page
+SEEN = """SELECT id, channel, sender_id, created_at, polled_at, row_number() OVER (PARTITION BY polled_at ORDER BY created_at DESC, id) - 1 AS k FROM @mentions
+    JOIN (SELECT unnest(generate_series((SELECT date_trunc('day', min(created_at)) FROM @mentions), (SELECT max(created_at) + INTERVAL 2 DAY FROM @mentions), INTERVAL 1 HOUR)) AS polled_at)
+    ON created_at BETWEEN polled_at - INTERVAL 10 HOUR AND polled_at WHERE hour(polled_at) % 2 = 1 AND hour(polled_at) >= 7 AND channel = 'click'"""
+WINDOW_START = "CASE WHEN hour(polled_at) = 7 THEN date_trunc('day', polled_at) - INTERVAL 2 HOUR ELSE polled_at - INTERVAL 2 HOUR END"
+WINDOW_STOP = "CASE WHEN hour(polled_at) = 7 THEN date_trunc('day', polled_at) + INTERVAL 7 HOUR ELSE polled_at END"
+
+
+def _polls(mentions: DataFrame) -> DataFrame:
+    """Times of the polls over all days that have mentions."""
+    ends = mentions.agg(F.date_trunc("DAY", F.min("created_at")).cast("timestamp_ntz").alias("a"), (F.max("created_at") + F.expr("interval 2 days")).alias("b"))
+    times = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("polled_at"))
+    return times.filter("hour(polled_at) % 2 = 1 and hour(polled_at) >= 7")
+
+
+def _pages(mentions: DataFrame) -> DataFrame:
+    """What each poll sees, page by page."""
+    seen = _polls(mentions).select("polled_at", (F.col("polled_at") - F.expr("interval 10 hours")).alias("from"), F.col("polled_at").alias("to"))
+    rows = joins.in_windows(mentions.filter("channel = 'click'"), seen, "created_at")
+    k = F.row_number().over(Window.partitionBy("polled_at").orderBy(F.desc("created_at"), "id")) - 1
+    return rows.select("id", "channel", "sender_id", "created_at", "polled_at", (F.floor(k / 20) + 1).alias("page"), (k % 20).alias("pos"))
+
+
+@query("mentions", sql=f"""WITH seen AS (SELECT *, k // 20 + 1 AS page, {WINDOW_START} AS start, {WINDOW_STOP} AS stop FROM ({SEEN})),
+    ends AS (SELECT polled_at, min(page) AS last FROM (SELECT polled_at, page FROM seen GROUP BY ALL HAVING min(created_at) < min(start)) GROUP BY 1)
+    SELECT id, polled_at, page, page * 4294967296 + k % 20 AS _seq FROM seen LEFT JOIN ends USING (polled_at) WHERE page <= 5 AND page <= coalesce(last, page)""")
+def polled_pages(mentions):
+    return ingest.polled_pages(_pages(mentions), ts="created_at").select("id", "polled_at", "page", "_seq")
+
+
+@query("mentions", sql=f"""SELECT id, polled_at FROM @mentions JOIN (SELECT unnest(generate_series((SELECT date_trunc('day', min(created_at)) FROM @mentions), (SELECT max(created_at) + INTERVAL 2 DAY FROM @mentions), INTERVAL 1 HOUR)) AS polled_at)
+    ON created_at BETWEEN {WINDOW_START} AND {WINDOW_STOP} WHERE hour(polled_at) % 2 = 1 AND hour(polled_at) >= 7""")
+def in_windows(mentions):
+    """Which polls see a mention in their window: a range join."""
+    polls = _polls(mentions)
+    windows = polls.select("polled_at", dates.poll_window("polled_at").alias("w")).select("polled_at", "w.from", "w.to")
+    return joins.in_windows(mentions, windows, "created_at").select("id", "polled_at")
 
 
-@query("mentions", sql="SELECT CASE WHEN id % 2 = 0 THEN sender_id ELSE '' END AS recipient, CASE WHEN id % 2 = 0 THEN 'push' ELSE 'broadcast' END AS mode, id AS seq, 't' || id AS text FROM @mentions WHERE channel = 'click'")
+@query("mentions", sql=f"""WITH seen AS (SELECT *, k // 20 + 1 AS page, {WINDOW_START} AS start, {WINDOW_STOP} AS stop FROM ({SEEN})),
+    ends AS (SELECT polled_at, min(page) AS last FROM (SELECT polled_at, page FROM seen GROUP BY ALL HAVING min(created_at) < min(start)) GROUP BY 1),
+    kept AS (SELECT id, sender_id FROM seen LEFT JOIN ends USING (polled_at) WHERE page <= 5 AND page <= coalesce(last, page) AND created_at BETWEEN start AND stop GROUP BY ALL)
+    SELECT CASE WHEN id % 2 = 0 THEN sender_id ELSE '' END AS recipient, CASE WHEN id % 2 = 0 THEN 'push' ELSE 'broadcast' END AS mode, id AS seq, 't' || id AS text FROM kept""")
 def stream_chats(mentions):
+    """Three runs: the polls of every third hour of the day come in one, all that came before come again in the next."""
     spark, path = mentions.sparkSession, new_path(mentions.sparkSession, "outbox")
-    chats = feeds.stream_chats(_streamed(mentions), "click", ts="created_at")
-    feeds.to_outbox(_messages(chats), path, new_path(spark, "progress")).awaitTermination()
+    pages, part = ingest.polled_pages(_pages(mentions), ts="created_at"), F.hour("polled_at") % 3
+    start = lambda df, checkpoint: feeds.to_outbox(feeds.stream_chats(df, "click", ts="created_at"), path, checkpoint, messages=_messages)
+    _polled(pages, [part == 0, part <= 1, F.lit(True)], start)
     return publish.read_outbox(spark, path)
 
 
-@query("mentions", sql="SELECT id, sender_id, created_at FROM @mentions WHERE NOT is_read")
+@query("mentions", sql="""SELECT id, 'a' || (id % 2) AS account, created_at, row_number() OVER (PARTITION BY id % 3 ORDER BY id % 2, created_at NULLS FIRST, id) - 1 AS seq FROM @mentions WHERE NOT is_read""")
 def stream_unread(mentions):
+    """Three runs, mentions of all days in each: what a run has seen comes again in the next, and is sent once, oldest first by account."""
     spark, path = mentions.sparkSession, new_path(mentions.sparkSession, "unread")
-    unread = feeds.stream_unread(_streamed(mentions), ts="created_at").select("id", "sender_id", "created_at")
-    feeds.to_table(unread, path, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path)
+    rows = mentions.select("id", F.concat(F.lit("a"), (F.col("id") % 2).cast("string")).alias("account"), "created_at", "is_read")
+    order = [F.asc("account"), *ranking.unread_order()]
+    as_message = lambda df: df.select(F.col("account").alias("recipient"), "seq", F.concat_ws("|", "id", F.col("created_at").cast("string")).alias("text"))
+    start = lambda df, checkpoint: feeds.to_outbox(feeds.stream_unread(df, ts="created_at"), path, checkpoint, order, as_message)
+    _polled(rows, [F.col("id") % 3 == 0, F.col("id") % 3 <= 1, F.lit(True)], start)
+    field = lambda k, kind: F.get(F.split("text", r"\|"), F.lit(k)).cast(kind)
+    return publish.read_outbox(spark, path).select(field(0, "bigint").alias("id"), F.col("recipient").alias("account"), field(1, "timestamp_ntz").alias("created_at"), "seq")
 
 
-@query("leads", sql="SELECT date_trunc('month', followed_at)::TIMESTAMP AS month, 2 * count(*) AS n FROM @leads GROUP BY 1")
+@query("leads", sql=monthly_sql("leads", "followed_at", IN_YEAR, n="true", consult="trim(coalesce(consult, '')) <> ''", contract="trim(coalesce(contract, '')) <> ''"))
 def stream_monthly(leads):
+    """Three runs that each change all months; what is out in the end is dense over one year."""
     spark, path = leads.sparkSession, new_path(leads.sparkSession, "monthly")
-    feeds.totals_to_table(feeds.stream_monthly(_streamed(leads), "followed_at"), path, new_path(spark, "progress")).awaitTermination()
-    return feeds.read_totals(spark, path)
+    start = lambda df, checkpoint: feeds.totals_to_table(feeds.stream_monthly(df, "followed_at", ["consult", "contract"]), path, checkpoint)
+    _polled(leads.select("_seq", "followed_at", "consult", "contract"), [F.col("_seq") % 3 == k for k in range(3)], start)
+    return feeds.read_totals(spark, path, YEAR, 1)

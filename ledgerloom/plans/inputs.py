@@ -31,7 +31,8 @@ VIEWS = {
     "videos": """SELECT p_partkey AS id, p_brand AS channel_id, p_name AS title, p_size AS view_count, p_partkey AS published,
         CASE WHEN p_size % 4 = 0 THEN 'private' ELSE 'public' END AS privacy_status FROM {part}""",
     "comments": """SELECT conv_id AS video_id, turn AS pos, CASE WHEN turn % 4 = 1 THEN ' ' ELSE text END AS text_display, concat('o', text) AS text_original FROM {conversations}""",
-    "dates": """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN concat(CAST(CAST(o_orderdate AS DATE) AS {string}), 'T00:30:00Z')
+    "dates": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 6 THEN concat(CAST(CAST(o_orderdate AS DATE) AS {string}), 'T10:00:00+09')
+        WHEN 7 THEN concat(replace(CAST(CAST(o_orderdate AS DATE) AS {string}), '-', ''), 'T101112Z') WHEN 4 THEN concat(CAST(CAST(o_orderdate AS DATE) AS {string}), 'T00:30:00Z')
         WHEN 5 THEN concat(CAST(CAST(o_orderdate AS DATE) AS {string}), ' 23:30:00.5-05:00') WHEN 0 THEN concat(year(o_orderdate), '年', month(o_orderdate), '月', day(o_orderdate), '日 8時05分')
         WHEN 1 THEN concat(year(o_orderdate), '/', month(o_orderdate), '/', day(o_orderdate)) WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS {string}) ELSE 'x' END AS raw, o_orderdate FROM {orders}""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.dates import parse_report_date
+from ledgerloom.functions.dates import parse_report_date, poll_window
 from ledgerloom.functions.text import null_if_blank
 
 # Where list answers keep their rows; "$" is the root itself.
@@ -31,25 +31,51 @@ def read_envelope(spark: SparkSession, path: str, paths: list[str] | None = None
 def concat_pages(df: DataFrame, page: str = "page", last_page: Column | None = None, pos: str = "pos", feed: str | None = None, first: int = 1) -> DataFrame:
     """Rows of pages from the first one up to the last, or up to the first page without rows, with _seq, their order over all pages.
 
-    Each feed has pages of its own, if a column of feeds is given. A feed without its first page has no rows. Only a row for
-    each page and task is shuffled before the rows are joined to the ends of their feeds.
+    Each feed has pages of its own, if a column of feeds is given; rows without one are a feed, too. A feed without its first
+    page has no rows. Only a row for each page and task is shuffled before the rows are joined to the ends of their feeds.
     """
     key = feed or "_feed"
+    alike = lambda a, b: a[key].eqNullSafe(b[key])
     kept = df.filter(F.col(page) >= first) if last_page is None else df.filter((F.col(page) >= first) & (F.col(page) <= last_page))
     kept = kept if feed else kept.withColumn(key, F.lit(0))
     pages = kept.select(key, F.col(page).cast("bigint").alias("_page")).distinct()
-    before = pages.select(key, (F.col("_page") - 1).alias("_page"))
-    ends = pages.join(before, [key, "_page"], "left_anti").groupBy(key).agg(F.min("_page").alias("_end"))
-    ends = ends.join(pages.filter(F.col("_page") == first).select(key), key, "left_semi")
-    kept = kept.join(ends if feed else F.broadcast(ends), key).filter(F.col(page) <= F.col("_end")).drop("_end")
+    # a page whose next one is missing ends its feed
+    later = pages.select(F.col(key).alias("_of"), (F.col("_page") - 1).alias("_before"))
+    ends = pages.join(later, pages[key].eqNullSafe(later["_of"]) & (pages["_page"] == later["_before"]), "left_anti")
+    ends = ends.groupBy(key).agg(F.min("_page").alias("_end"))
+    firsts = pages.filter(F.col("_page") == first).select(key)
+    ends = ends.join(firsts, alike(ends, firsts), "left_semi").withColumnRenamed(key, "_of")
+    kept = kept.join(ends if feed else F.broadcast(ends), kept[key].eqNullSafe(ends["_of"])).filter(F.col(page) <= F.col("_end")).drop("_end", "_of")
     return (kept if feed else kept.drop(key)).withColumn("_seq", F.col(page).cast("bigint") * PAGE_ROWS + F.col(pos))
 
 
+def polled_pages(df: DataFrame, poll: str = "polled_at", page: str = "page", ts: str = "ts", most: int = 5, pos: str = "pos") -> DataFrame:
+    """Rows of the pages that each poll reads, with _seq, their order in the poll: `most` pages at most, none from the first one without rows on, and none after the first that has a row older than the poll's window.
+
+    Pages come newest first, so what is older than a window ends it. Each page of that kind is a minimum of partial minima.
+    """
+    pages = concat_pages(df, page, F.lit(most), pos, feed=poll)
+    oldest = pages.groupBy(poll, page).agg(F.min(ts).alias("_oldest"))
+    stops = oldest.filter(F.col("_oldest") < poll_window(poll)["from"]).groupBy(F.col(poll).alias("_poll")).agg(F.min(page).alias("_stop"))
+    read = pages.join(stops, F.col(poll).eqNullSafe(F.col("_poll")), "left")
+    return read.filter(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).drop("_stop", "_poll")
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A written report: CSV with a header, where short rows end in nulls, or Parquet."""
-    if path.rstrip("/").endswith(".csv"):
-        return spark.read.option("header", True).csv(path)
-    return spark.read.parquet(path)
+    """A written report: CSV with a header, where short rows end in nulls, or Parquet.
+
+    The header is a row like others: its labels become the names of the columns as they are, equal and empty ones, too, and
+    data are bound to them by position. Each file of a report in parts has the same header. A report without a file of
+    its own header has no columns. Columns with equal names are told apart by position only, as in resolve_headers().
+    """
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.parquet(path)
+    first = spark.read.csv(path).head(1)
+    labels = [label or "" for label in first[0]] if first else []
+    if not labels:
+        return spark.createDataFrame([], T.StructType([]))
+    places = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(labels))])
+    return spark.read.schema(places).option("header", True).option("enforceSchema", True).csv(path).toDF(*labels)
 
 
 def resolve_headers(df: DataFrame, synonyms: dict[str, list[str]], positional: dict[str, int] | None = None, required: tuple[str, ...] = ("followed_at",)) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-written rows for the column functions."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,41 @@ def test_event_map(spark):
     day = lambda d: dt.date(2025, 10, d)
     got = values(spark, [[(2, []), (1, tags)], [(2, tags)], [(1, [])], [], None], lambda c: nested.event_map(c, 1), kind)
     assert [{d: tuple(v) for d, v in m.items()} for m in got] == [{day(9): (True, True), day(1): (False, True)}, {}, {}, {}, {}]
+
+
+def test_iso_forms(spark):
+    rows = ["2025-07-09T10:00:00+09", "20250709T101112Z", "20250709T1011", "20250709T101112.5+0900", "2025-07-09T10:00:00,5-05", "20250709", "20250709T10", "2025-07-09T10:00:00+9"]
+    at = lambda *x: dt.datetime(2025, 7, *x)
+    assert values(spark, rows, dates.parse_lenient) == [at(9, 10), at(9, 19, 11, 12), at(9, 10, 11), at(9, 10, 11, 12), at(10, 0), at(9), None, None]
+    assert values(spark, rows, dates.month_key) == ["2025-07"] * 6 + [None] * 2
+
+
+KEYED = [
+    '{"k": null, "b": {"k": 1}}', '{"a": {"k": null, "z": {"k": 5}}, "b": {"k": 2}}', '{"a": [{"b": {"k": [1, "x"]}}, {"k": 2}]}', '{"k": "s"}', "{bad", "", " ", None, '{"b": [3, {"k": 7}], "k": 6}',
+    '{"z": {"k": "first"}, "a": {"k": "second"}}', '[{"z": 1}, [{"k": true}]]', '{"a": "{\\\\"k\\\\": 1}", "b": {"k": "ü\\\\n"}}', '{"a": {"b": {"c": {"k": 9}}}, "d": {"k": 8}}', '{"d": {"k": 8}, "a": {"b": {"c": {"k": 9}}}}',
+    '{"a": {"k": 1.50}}', '{"k": 123456789012345678901}', '{"a": 1, "a": {"k": 2}}', "3", '"k"', "[]", "{}", '{"a": [[[[{"k": 4}]]]]}', '{"a": [null, {"x": null}], "k": {}}', '  {"b": {"k": ""}}', "[" * 3000 + "]" * 3000, '{"a": {"b": {"c": 1}}}', '{"a": NaN, "k": 3}',
+]
+
+
+def test_keys_near_the_root_and_below(spark):
+    """with_key() is find_key() for all; what is sure is right without Python."""
+    rows = spark.createDataFrame([(k, v, "clash") for k, v in enumerate(KEYED)], "id int, v string, name string").repartition(3)
+    due = [r[0] for r in rows.orderBy("id").select(nested.find_key("v", "k")).collect()]
+    assert due[:10] == [None, "2", '[1, "x"]', "s", None, None, None, None, "6", "first"]
+    assert [r.found for r in nested.with_key(rows, "v", "k", "found").orderBy("id").collect()] == due
+    for levels in (1, 2, 3, 5):
+        near = [r.n for r in rows.orderBy("id").select(nested.near_key("v", "k", levels).alias("n")).collect()]
+        assert all(n.value == d for n, d in zip(near, due) if n.sure)
+        assert sum(n.sure for n in near) >= 8 + levels and all(n.value is None or n.sure for n in near)
+    plan = rows.select(nested.near_key("v", "k").alias("n"))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def test_nfkc_of_different_values(spark):
+    rows = [" Ａｂ１－／　", "ｶﾞ", "①", "山 田（x）", "a\tb\n", "", "　", None, "ﬁ", "é", "\x1cx\x1f", "\x85x", "（＃１）~＼"] * 2
+    due = [None if v is None else unicodedata.normalize("NFKC", v).strip() for v in rows]
+    frame = spark.createDataFrame([(k, v, 1) for k, v in enumerate(rows)], "id int, v string, known int").repartition(3)
+    assert [r.out for r in text.with_nfkc(frame, "v", "out").orderBy("id").collect()] == due == values(spark, rows, text.nfkc)
+    assert text.with_nfkc(frame.filter("false"), "v", "out").count() == 0
+    sent = text.with_nfkc(frame, "v", "out")._jdf.queryExecution().optimizedPlan().toString()
+    assert sent.index("ArrowEvalPython") < sent.index("Aggregate")  # different values alone reach Python

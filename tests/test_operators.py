@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregates as agg
-from ledgerloom.operators import filters, joins, ranking
+from ledgerloom.operators import filters, joins, ranking, reshape
 from ledgerloom.sources import ingest, publish
 from ledgerloom.workspace import new_path
 
@@ -152,3 +152,57 @@ def test_batches_are_written_once(spark):
     publish.write_outbox(rows, path, batch=1)
     found = publish.read_outbox(spark, path)
     assert found.columns == ["recipient", "mode", "seq", "text"] and found.count() == 4
+
+
+def test_the_report_can_be_read_back(spark):
+    """Events to columns, written as CSV, read with its header, to rows again, and counted by month; two years share a header."""
+    events = spark.createDataFrame([(1, "2025-07-09", True, True), (2, "2025-07-09", True, False), (2, "2024-07-09", False, True), (3, "2025-05-01", None, True), (3, "2025-04-01", False, True)], "uid long, date string, hope boolean, attend boolean")
+    days = ["2024-07-09", "2025-04-01", "2025-05-01", "2025-07-09", "later"]
+    wide = reshape.pivot_events(events, days)
+    assert wide.columns == ["uid"] + [f"{d}{word}" for d in ("7/9", "4/1", "5/1", "7/9", "later") for word in ("参加希望", "参加")]
+    path = new_path(spark, "wide") + ".csv"
+    line = F.concat_ws(",", *(F.col(f"c{k}").cast("string") for k in range(len(wide.columns))))
+    wide.toDF(*(f"c{k}" for k in range(len(wide.columns)))).select(line.alias(",".join(wide.columns))).repartition(2).write.option("header", True).option("sep", "\u0001").csv(path)
+    report = ingest.read_report(spark, path)
+    assert report.columns == wide.columns and report.count() == 3
+    long = reshape.unpivot_report(report, ["uid"], [c for c in report.columns if c != "uid"])
+    assert long.count() == 30
+    assert {r.month: r.n for r in agg.attendance_by_event_month(long).collect()} == {m: {5: 1, 7: 2}.get(m, 0) for m in range(1, 13)}
+    stripped = spark.createDataFrame([("7/9参加", " ◯ "), ("7/9参加", "◯ x"), ("7/9参加", None)], "header string, cell string")
+    assert {r.month: r.n for r in agg.attendance_by_event_month(stripped).collect()}[7] == 1
+
+
+def test_labels_that_come_twice(spark):
+    path = new_path(spark, "report") + ".csv"
+    rows = spark.createDataFrame([("d,old,x,new",), ("e,,,",), ("f",)], "value string").repartition(3)
+    rows.select(F.col("value").alias(" 追加日,名前,,名前 ")).write.option("header", True).option("sep", "\u0001").csv(path)
+    report = ingest.read_report(spark, path)
+    assert [c.strip() for c in report.columns] == ["追加日", "名前", "", "名前"]
+    got = ingest.resolve_headers(report, {"followed_at": ["追加日"], "name": ["氏名", "名前"], "other": ["none"], "third": ["none"]}, {"third": 2})
+    assert sorted(tuple(r) for r in got.collect()) == [("d", "new", None, "x"), ("e", None, None, None), ("f", None, None, None)]
+    nothing = new_path(spark, "nothing") + ".csv"
+    rows.filter("false").select(F.lit("x")).write.csv(nothing)
+    assert ingest.read_report(spark, nothing).columns == []
+
+
+def test_pages_without_a_feed(spark):
+    rows = [("a", 1, 0), (None, 1, 0), (None, 1, 1), (None, 2, 0), (None, 4, 0), ("b", 2, 0)]
+    pages = spark.createDataFrame(rows, "feed string, page int, pos int").repartition(2)
+    assert sorted((str(r.feed), r.page, r.pos) for r in ingest.concat_pages(pages, feed="feed").collect()) == [("None", 1, 0), ("None", 1, 1), ("None", 2, 0), ("a", 1, 0)]
+
+
+def test_schedule_of_the_categories_that_are_found(spark):
+    rows = spark.createDataFrame([(1, "b", "d1", 5), (1, "a", "d2", 7), (2, "b", "d3", 9), (2, " ", "d4", 1), (3, None, "d5", 2), (2, "b", "d0", 3)], "id int, category string, due string, _seq int")
+    got = reshape.pivot_schedule(rows)
+    assert got.columns == ["id", "b", "a"]
+    assert sorted(map(tuple, got.collect())) == [(1, "d1", "d2"), (2, "d3", None), (3, None, None)]
+    with pytest.raises(ValueError):
+        reshape.pivot_schedule(rows, most=1)
+    assert reshape.pivot_schedule(rows.filter("id = 3")).columns == ["id"]
+    assert reshape.pivot_schedule(rows, ["a", "z"]).columns == ["id", "a", "z"]
+
+
+def test_first_seen_order_over_the_sorted_report(spark):
+    rows = spark.createDataFrame([(1, dt.date(2025, 1, 1), "x"), (2, dt.date(2025, 3, 1), "y"), (3, None, "z"), (4, dt.date(2025, 3, 1), "x")], "id int, course_join_date date, category string").repartition(3)
+    order = agg.first_seen_order(ranking.numbered(rows, *ranking.students_order()), "category").orderBy("first_seq").collect()
+    assert [tuple(r) for r in order] == [("y", 0), ("x", 1), ("z", 3)]
