@@ -3,7 +3,7 @@
 Each tree gives a vector a string of 64 bits, the sides of random hyperplanes it lies on. Vectors are shortened by one
 factor to a length of one at most and get a component that fills them up to one, so that the nearest by inner product are
 the nearest by angle. The strings of a tree, sorted, are kept in cells: all that begin with the same few bits, so many that
-a cell has some thousand rows, and vectors in bytes with the length of what these round off.
+a cell has some thousand rows, and vectors rounded to two bytes a component, with the length of what that takes off.
 
 A query goes down to the longest beginning that `least` strings of a cell share with its own in each tree, scores what is there,
 and then goes up in all trees at once, to shorter beginnings that more strings share, until it can stop: two vectors at an
@@ -11,8 +11,8 @@ angle of a share a bit with a chance of p = 1 - a / pi, so that one as near as t
 missed in all trees at a beginning of x bits with a chance of (1 - p^x)^trees, and nearer ones with less. A beginning of no bits is
 the whole table. Where neighbours stand out few strings are looked at; where all vectors are equally far, nearly all are.
 
-Only cells and queries meet. A query keeps what may be among its nearest by what the bytes leave open, and those are scored
-again from the vectors.
+Only cells and queries meet. A query keeps what may be among its nearest by what the rounding leaves open, and those are scored
+again from the vectors. One byte would leave all of a large group of near copies open to each query in it.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import Scratch, shuffle_partitions
+from ledgerloom.llm.scratch import Scratch
 
 BITS = 64
 #: Rows that a cell has on the average, rows of a beginning after which it is dealt to several cells, and queries that meet a cell at once.
 CELL_ROWS, MOST_ROWS, MOST_QUERIES = 4096, 1 << 14, 1024
-SLACK = 1e-6
+#: Steps to each side of 0 that a component is rounded to, which two bytes hold, and room for products in single precision.
+STEPS, SLACK = 32767, 1e-6
 CODED = "key long, d int, hashes array<long>, fine binary, unit double, rest double"
 ASKED = "q long, hashes array<long>, vec array<float>"
 HITS = "q long, key long, low double, up double, level int"
@@ -54,8 +55,8 @@ def _coded(trees: int, seed: int):
             for d, part in batch.groupby("d"):
                 v = np.stack(part["vec"].to_list()).astype(float) / part["top"].to_numpy()[:, None] / part["longest"].to_numpy()[:, None]
                 rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", v, v)))
-                unit = np.abs(v).max(axis=1, keepdims=True) / 127
-                fine = np.rint(v / unit).astype(np.int8)
+                unit = np.maximum(np.abs(v).max(axis=1, keepdims=True) / STEPS, 1e-300)
+                fine = np.rint(v / unit).astype(np.int16)
                 hashes = strings(np.column_stack([v, rest]), trees, seed)
                 yield pd.DataFrame({"key": part["key"], "d": d, "hashes": list(hashes), "fine": [x.tobytes() for x in fine], "unit": unit[:, 0], "rest": np.linalg.norm(v - fine * unit, axis=1)})
 
@@ -108,7 +109,7 @@ def _visited(n: int, least: int):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 own = np.asarray(row.strings)
-                fine = np.frombuffer(b"".join(row.fine), np.int8).reshape(len(own), -1)
+                fine = np.frombuffer(b"".join(row.fine), np.int16).reshape(len(own), -1)
                 vectors = fine * np.asarray(row.unit, np.float32)[:, None]
                 rest = (np.asarray(row.rest) + SLACK).astype(np.float32)
                 keys, q, hashes, level = np.asarray(row.keys), np.asarray(row.q), np.asarray(row.own), np.array(row.level)
@@ -164,7 +165,7 @@ def _visits(asked: DataFrame, sizes: DataFrame, cells: DataFrame, scratch: Scrat
     rows = rows.join(asked.select("q", "vec", "floor"), "q")
     lists = rows.groupBy(*place, "bits", "set").agg(F.collect_list(F.struct("q", "string", "level", "floor", "vec")).alias("a"))
     lists = lists.select(*place, "bits", F.col("a.q").alias("q"), F.col("a.string").alias("own"), F.col("a.level").alias("level"), F.col("a.floor").alias("floors"), F.flatten("a.vec").alias("vec"))
-    return lists.join(cells, place).repartition(shuffle_partitions(asked.sparkSession))
+    return lists.join(cells, place)
 
 
 def needed(floor: Column, trees: int, miss: float) -> Column:
@@ -185,7 +186,7 @@ def nearest(vectors: DataFrame, asks: Column, n: int = 20, trees: int = 24, miss
     different lengths do not meet. Equal vectors are one, with their n + 1 smallest ids, and rows of one id are rows like all others
     but that a row never finds its own id. Other columns are ignored, unless `asks` reads them. An empty table has no rows.
 
-    Each vector is written once a tree, with some 20 bytes and one for each component. The vectors of one length have a
+    Each vector is written once a tree, with some 30 bytes and two for each component. The vectors of one length have a
     factor of their own; one very long vector among short ones makes all the others look alike, and more is looked at.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
