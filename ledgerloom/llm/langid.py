@@ -154,14 +154,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, ...) with held_out, lang_pred and score; learned from rows that are not held out and have a lang."""
+def identify(docs: DataFrame, most: int = MAX_LANGUAGES) -> DataFrame:
+    """docs (doc_id, text, lang, ...) with held_out, lang_pred and score; learned from rows that are not held out and have a lang, of `most` languages at most (see fit())."""
     docs = docs.drop("held_out").withColumn("held_out", held_out())
-    return predict(docs, fit(docs.filter("not held_out")))
+    return predict(docs, fit(docs.filter("not held_out"), most))
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language: a letter, and a score of at least a half for some learned language."""
+def with_language(docs: DataFrame, most: int = MAX_LANGUAGES) -> DataFrame:
+    """The rows of docs whose text has a language: a letter, and a score of at least a half for some learned language, of which there are `most` at most."""
     own = {c: f"{c} of the input" for c in ("held_out", "lang_pred", "score") if c in docs.columns}
-    found = identify(docs.withColumnsRenamed(own)).filter(F.col("score") >= 0.5)
+    found = identify(docs.withColumnsRenamed(own), most).filter(F.col("score") >= 0.5)
     return found.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))

@@ -135,7 +135,7 @@ def _range(splits: list[int]):
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text of docs (doc_id, text; other columns are ignored) and of its edited text, and their likeness.
 
-    The next document is the one with the next smaller doc_id; after the last comes the first, and a single row is its own
+    doc_id is an integer, else TypeError. The next document is the one with the next smaller doc_id; after the last comes the first, and a single row is its own
     next. The edited text is edited() with the next one. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited and near_next. Null texts count as empty. Rows with equal doc_id follow each other by
     text, those without one come last; an empty table gives none.
@@ -144,6 +144,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     of a range is also sent to the range before, so each range is read once, in order, with one row in memory besides the
     batch. Only the ends of ranges, a number for each, come to the driver.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id has to be an integer, whose order tells the next document")
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select("doc_id", "text", at.alias("at"))
     rows = rows.withColumn("part", _range(_splits(rows.select("at"))))

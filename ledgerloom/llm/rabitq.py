@@ -234,7 +234,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding; other columns are ignored).
 
     Two rows link if their cosine in double precision is `least`, from 0 to 1, or more. n_links counts the rows a row links with;
-    component_id is the smallest vec_id reachable, kept is true for that one. Vectors that are null, empty, zero or hold a
+    vec_id is of any type that has an order; component_id is the smallest vec_id reachable, kept is true for that one. Vectors that are null, empty, zero or hold a
     null, NaN or infinity link with nothing; so do rows without a vec_id, which get a null component_id and are not kept.
     Vectors of different lengths do not link. An empty table gives none. Equal vectors are one, with their number.
 
@@ -246,7 +246,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     vec = F.col("embedding").cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(fine & F.col("vec_id").isNotNull(), vec).alias("vec"))
-    alike = rows.filter("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").cast("long").alias("id"))
+    alike = rows.filter("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("id"))
     alike = scratch.keep(alike.withColumn("key", F.monotonically_increasing_id()), "alike")
     coded = scratch.keep(alike.select("key", "vec").mapInPandas(_coded, CODED), "coded")
     dealt = scratch.keep(_dealt(coded, shuffle_partitions(spark)), "dealt")
@@ -278,5 +278,5 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(lowest, "component").select("vec", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.join(named, "vec", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

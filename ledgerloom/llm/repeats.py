@@ -266,8 +266,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Every byte that a string of length bytes covers goes if that string starts anywhere else in the input too, in the same
     text or another; matches never cross texts. n_spans counts maximal removed runs; kept_text leaves out characters that
-    lost some of their bytes. Other columns stay, except those with the names given here or part, row, packed, which are
-    dropped. Null texts count as empty, and as kept_text ''. Repeated rows are copies of each other: what is long enough
+    lost some of their bytes. Other columns stay, except those with the names given here, which are replaced. Null texts count as empty, and as kept_text ''. Repeated rows are copies of each other: what is long enough
     goes in all of them. Rows may share a doc_id or have none. An empty table gives none.
 
     Texts are compressed and written once, in blocks, as a table bucketed by block; all levels and the result read them
@@ -276,11 +275,13 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     if length < 64:
         raise ValueError("strings of fewer than 64 bytes are not supported")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    named = {"part", "row", "packed", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}
-    docs = docs.drop(*(c for c in docs.columns if c in named))
+    kept = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    others = [c for c in docs.columns if c != "text" and c not in kept.names]
+    # by numbers meanwhile, clear of the names in use here
+    docs = docs.select("text", *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
     rest = [f for f in docs.schema if f.name != "text"]
     stored = docs.mapInPandas(_stored, T.StructType([*rest, *T.StructType.fromDDL("packed binary, part long, row int")]))
     texts = scratch.bucketed(stored, "texts", "part")
     spans = repeated(texts, length, scratch)
-    kept = T.StructType([*rest, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")])
-    return spans.groupBy("part").cogroup(texts.groupBy("part")).applyInPandas(_without([f.name for f in rest]), kept)
+    found = spans.groupBy("part").cogroup(texts.groupBy("part")).applyInPandas(_without([f.name for f in rest]), T.StructType([*rest, *kept]))
+    return found.toDF(*others, *kept.names)

@@ -226,10 +226,17 @@ def linked(prints: DataFrame, lanes: int, radius: int, segments: int, scratch: S
     return found
 
 
+def _first_of_each(alike: DataFrame, found: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """Of alike (id, first doc_id, ...) and components (id, component): what `by` names, with the smallest doc_id of the component."""
+    named = scratch.keep(alike.join(found, "id", "left").select(*by, "first", F.coalesce("component", "id").alias("component")), "components")
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return scratch.keep(named.join(lowest, "component").select(*by, "component_id"), "named")
+
+
 def groups(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, distinct: bool = False, segments: int | None = None, banded: bool = False) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id) of each row of docs (doc_id, text; other columns are ignored).
 
-    component_id is the smallest doc_id reachable over links of at most radius bits. banded leaves out links between
+    doc_id is of any type that has an order, and component_id of the same: the smallest doc_id reachable over links of at most radius bits. banded leaves out links between
     documents whose numbers of shingles differ by more than a factor of 1.25 to 1.5625, which similarities of 0.8 exclude.
     Null and empty texts have the fingerprint zero and link with each other. Rows with a null doc_id get a null
     component_id and link nothing; repeated rows are one document; an empty table gives none.
@@ -238,12 +245,11 @@ def groups(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, dis
     prints = scratch.keep(fingerprints(docs, words, lanes, distinct), "fingerprints")
     band = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1.25))).cast("int") if banded else F.lit(0)
     prints = prints.withColumn("band", band)
-    alike = prints.filter("doc_id is not null").groupBy("fp", "band").agg(F.min("doc_id").cast("long").alias("id"))
-    alike = scratch.keep(alike, "alike")
+    alike = prints.filter("doc_id is not null").groupBy("fp", "band").agg(F.min("doc_id").alias("first"))
+    alike = scratch.keep(alike.withColumn("id", F.monotonically_increasing_id()), "alike")
     segments = segments or (4 if radius <= 3 else 1)
-    found = components(linked(alike, lanes, radius, segments, scratch, reach=int(banded)), scratch)
-    named = alike.join(found, "id", "left").select("fp", "band", F.coalesce("component", "id").alias("component_id"))
-    named = scratch.keep(named, "named")
+    found = components(linked(alike.drop("first"), lanes, radius, segments, scratch, reach=int(banded)), scratch)
+    named = _first_of_each(alike, found, ["fp", "band"], scratch)
     out = prints.join(named, ["fp", "band"], "left")
     return out.select("doc_id", "fp", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -359,20 +365,22 @@ def near_copies_out(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     deviation of 6, and 48, with one of 6.4, where 4 shingles stand against 5; 76 bits, 50 of them in one half, leave more
     than four deviations. Candidates that hang together are then compared exactly. Different sets of fewer than 4 shingles
     are never that similar, equal sets always are (those without shingles, of null, empty and blank texts, too). Of repeated
-    rows with the doc_id that stays, all stay, and so do rows without one. An empty table gives none. Columns named id or
-    grp may be there and stay.
+    rows with the doc_id that stays, all stay, and so do rows without one. doc_id is of any type that has an order. An empty
+    table gives none. Columns named id or grp may be there and stay.
     """
     lanes, radius, half_radius = 4, 76, 50
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.keep(sets(docs, words, lanes).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
-    alike = prints.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least"))
-    alike = scratch.keep(alike, "alike")
+    prints = scratch.keep(sets(docs, words, lanes).filter("doc_id is not null"), "fingerprints")
+    alike = prints.groupBy("set").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.first("least").alias("least"))
+    alike = scratch.keep(alike.withColumn("id", F.monotonically_increasing_id()), "alike")
     keyed = alike.filter("n_shingles >= 4").select("id", "fp", F.posexplode("least").alias("k", "key")).select("id", "fp", F.xxhash64("k", "key").alias("band"))
     shared = keyed.groupBy("band").count().filter("count > 1").select("band")
     near = components(linked(keyed.join(shared, "band", "left_semi"), lanes, radius, 1, scratch, half_radius), scratch)
     near = near.union(near.select("component", "component").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = components(exact_links(texts.join(near.withColumnRenamed("component", "grp"), "id"), words, least, scratch), scratch)
-    named = scratch.keep(alike.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id")), "named")
+    # of each set the text of its first document
+    wanted = scratch.keep(alike.select("id", F.col("first").alias("doc_id")).join(near.withColumnRenamed("component", "grp"), "id"), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    found = components(exact_links(texts, words, least, scratch), scratch)
+    named = _first_of_each(alike, found, ["set"], scratch)
     gone = prints.select("doc_id", "set").join(named, "set").filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

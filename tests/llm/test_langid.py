@@ -82,3 +82,10 @@ def test_accuracy_on_held_out_documents(spark):
 
 def test_no_labels(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs.selectExpr("doc_id", "text", "cast(NULL AS string) AS lang")).collect()} == {"und"}
+
+
+def test_the_number_of_languages_is_a_parameter(spark):
+    docs = spark.createDataFrame([(k, "word " * 3 + f"l{k}x", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.identify(docs, most=5)
+    assert langid.identify(docs, most=40).count() == 40 and langid.with_language(docs, most=64).columns == docs.columns

@@ -65,3 +65,8 @@ def test_matches_a_plain_version(text):
         value = tuples[(b + far) % omh.BINS]
         expected.append((one(value + far) if far else value) >> 48)
     assert omh.fingerprint(points).tolist() == expected
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        omh.compare_with_next(spark.createDataFrame([("a", "text")], "doc_id string, text string"))

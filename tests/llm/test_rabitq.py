@@ -79,3 +79,9 @@ def test_bounds_leave_out_no_link_and_most_others():
         left = np.zeros_like(true)
         left[i, j] = True
         assert not (true & ~left).any() and true.sum() <= left.sum() < true.sum() + 20
+
+
+def test_ids_of_any_type(spark):
+    rows = [("x9", [1.0, 0.0]), ("x10", [1.0, 0.1]), ("y", [0.0, 1.0]), ("x9", [2.0, 0.0])]
+    found = rabitq.near_copies(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
+    assert sorted(map(tuple, found.collect())) == [("x10", 2, "x10", True), ("x9", 2, "x10", False), ("x9", 2, "x10", False), ("y", 0, "y", True)]

@@ -59,3 +59,12 @@ def test_empty_table_and_short_length(no_docs):
     assert repeats.without_repeats(no_docs).count() == 0
     with pytest.raises(ValueError):
         repeats.without_repeats(no_docs, 10)
+
+
+def test_columns_with_the_names_in_use_stay(spark):
+    more = ["part", "row", "packed", "pos", "node", "core", "start", "stop", "c0", "a.b"]
+    text = "0123456789abcdefghijklmnopqrstuvwxyz" * 3
+    rows = spark.createDataFrame([(k, text, *(f"{c}{k}" for c in more), k, k) for k in range(3)], "doc_id int, text string, " + ", ".join(f"`{c}` string" for c in more) + ", n_bytes int, kept_text int")
+    found = repeats.without_repeats(rows, length=64)
+    assert found.columns == ["doc_id", *more, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert sorted(tuple(r)[:-2] for r in found.collect()) == [(k, *(f"{c}{k}" for c in more), 108, 108, 1) for k in range(3)]

@@ -120,3 +120,13 @@ def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch):
     like = lambda a, b: len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])
     root = groups_of(range(len(texts)), like)
     assert sorted(r.doc_id for r in simhash.near_copies_out(docs).collect()) == [k for k, r in root.items() if k == r]
+
+
+def test_ids_of_any_type(spark):
+    """Ids that are no numbers, where the order of strings is not that of the rows."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [("b-10", base), ("b-9", base), ("a-x", base + " more"), ("c", None), ("d", ""), ("e", "something else"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.groups(docs, radius=0).collect()}
+    assert found == {"b-10": "b-10", "b-9": "b-10", "a-x": "a-x", "c": "c", "d": "c", "e": "e", None: None}
+    assert sorted(str(r.doc_id) for r in simhash.near_copies_out(docs).collect()) == ["None", "a-x", "c", "e"]
