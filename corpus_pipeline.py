@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, packing, repeats, simhash
 from ledgerloom.llm.queries import table, tokenizer_file
-from ledgerloom.llm.scratch import left, sweep
-from ledgerloom.workspace import new_path
+from ledgerloom.llm.scratch import Scratch, released
+
+
+MOST_LANGUAGES = 512
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Clear is a posterior of at least a half. Null languages teach nothing, and without any no document stays. Repeated rows
     teach and stay each.
     """
-    return langid.with_language(docs)
+    return langid.with_language(docs, most=MOST_LANGUAGES)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +42,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes of strings of 200 bytes, which nearly all runs of over 50 words reach, that come more than once go.
 
-    All places of a string are cut, none is kept; n_chars, where it is there, follows. Null texts become ''. Columns with the
-    names that repeats.without_repeats() takes are dropped.
+    All places of a string are cut, none is kept; n_chars, where it is there, follows. Null texts become ''. All other columns
+    stay as they are.
     """
-    left = repeats.without_repeats(docs, length=200).withColumn("text", F.col("kept_text"))
+    own = {c: f"{c} of the input" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text") if c in docs.columns}
+    left = repeats.without_repeats(docs.withColumnsRenamed(own), length=200).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast("long"))
-    return left.select([c for c in docs.columns if c in left.columns])
+    return left.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage writes for itself goes when its result has been written.
+
+    The results of stages, and what the last one is read from, belong to the caller, who may run this inside released().
+    """
+    docs, results = table(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        path, before = new_path(spark, "stage"), left(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        sweep(spark, before)
-        docs = spark.read.parquet(path)
+        with released(spark):
+            docs = results.keep(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)
