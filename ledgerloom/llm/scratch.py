@@ -83,11 +83,5 @@ def left(spark: SparkSession) -> set[tuple[str, str | None]]:
     return set(LEFT.get(spark, ()))
 
 
-def sweep(spark: SparkSession, but: set[tuple[str, str | None]] = frozenset()) -> None:
-    """Remove the scratch tables of a session but some, for when the results that are read from them have been written."""
-    for path, table in left(spark) - but:
-        _remove(spark, path, table)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

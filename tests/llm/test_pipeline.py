@@ -4,6 +4,7 @@ import bisect
 import math
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 import numpy as np
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import langid, simhash
 from ledgerloom.llm.queries import tokenizer_file
-from ledgerloom.llm.scratch import left, sweep
+from ledgerloom.llm.scratch import left, released
 from ledgerloom.workspace import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,21 +113,32 @@ def test_whole(spark, labelled):
     sf_dir = new_path(spark, "tables")
     labelled.write.parquet(f"{sf_dir}/documents.parquet")
     others = left(spark)
-    rows = without_repeats(one_of_each_group(with_language(labelled.collect())))
-    assert held(corpus_pipeline.run(spark, sf_dir).collect()) == plain(pieces_of(r[:2] for r in rows))
-    sweep(spark, others)
-    assert left(spark) == others
+    due = plain(pieces_of(r[:2] for r in without_repeats(one_of_each_group(with_language(labelled.collect())))))
+    # two at once, and a result of an operator that is read when both are through
+    waiting = simhash.groups(labelled, radius=0)
+
+    def whole():
+        with released(spark):
+            return held(corpus_pipeline.run(spark, sf_dir).collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        assert [x.result() for x in [pool.submit(whole), pool.submit(whole)]] == [due, due]
+    assert waiting.count() == labelled.count()
+    with released(spark):
+        assert simhash.groups(labelled, radius=0).count() == labelled.count()
+    # what is left is what the waiting result is read from
+    assert 0 < len(left(spark) - others) <= 6 and waiting.count() == labelled.count()
 
 
 def test_empty_tables_and_more_columns(spark, labelled):
     nothing = labelled.filter("false")
-    more = labelled.selectExpr("*", "1 AS id", "2 AS grp", "'a' AS part", "3 AS score")
+    more = labelled.selectExpr("*", "1 AS id", "2 AS grp", "'a' AS part", "3 AS score", "4 AS n_bytes")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, "").count() == 0
     for _, stage in corpus_pipeline.STAGES[:3]:
         found = stage(spark, more, "")
-        assert found.columns == [c for c in more.columns if stage is not corpus_pipeline.repeated_strings or c != "part"]
-        assert {r.score for r in found.collect()} == {3}
+        assert found.columns == more.columns
+        assert {(r.part, r.score, r.n_bytes) for r in found.collect()} == {("a", 3, 4)}
     assert corpus_pipeline.STAGES[3][1](spark, more, "").count() >= labelled.count()
 
 
