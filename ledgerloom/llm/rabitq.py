@@ -9,8 +9,11 @@ c being the correction factor, and within that times eps / sqrt(D - 1) of t but
 Estimates outside of the confidence bound of the threshold decide a pair at once. The others are held against what the
 bytes of both leave open, which is some hundredths, and what is still undecided is computed again from the vectors.
 
-Vectors are dealt to cells by the component that sticks out most once they are rotated, so those that are near each other
-often share a cell. Only codes and factors travel to the comparison of cells. What they cannot decide goes on as pairs of
+Vectors are dealt to cells by the nearest of PIVOTS vectors, so those that are near each other often share a cell. A cell
+knows between which angles to each pivot its vectors lie. By the triangle inequality two vectors at an angle of a or less
+are at angles to a pivot that differ by a or less, so pairs of cells that lie further apart for some pivot are left out,
+for certain: what falls into groups is compared within groups and with what is near them, what is spread evenly, with everything.
+Codes, bytes and factors travel to the comparison of cells. What they cannot decide goes on as pairs of
 ids, to which the vectors are joined, or as a pair of cells where so many pairs are left that moving vectors is cheaper.
 """
 
@@ -32,6 +35,8 @@ LEAST_ROWS, MOST_ROWS = 1024, 16384
 SLICE = 1 << 17
 #: A pair of cells with more undecided pairs than so many times its rows is computed again as a whole.
 DENSE = 4
+#: Vectors, the first ones by a hash, that cells are arranged by. The driver gets them; which they are changes no result.
+PIVOTS = 64
 PLANES = 4
 LEVELS = 1 << PLANES
 SLACK = 1e-5
@@ -99,13 +104,50 @@ def confidence(correction: np.ndarray, t: float, size: int, eps: float | None) -
     return width * np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(np.maximum(0, 1 - correction**2)) / correction
 
 
-def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for d, part in batch.groupby(batch["vec"].map(len)):
-            code, steps, fine, factors = encode(np.stack(part["vec"].to_list()).astype(float))
-            most = np.abs(fine.astype(np.int16)).argmax(1)
-            side = 2 * most + (fine[np.arange(len(part)), most] > 0)
-            yield pd.DataFrame({"key": part["key"], "d": d, "side": side, "code": list(code), "steps": list(steps.reshape(len(part), -1)), "fine": [x.tobytes() for x in fine], "factors": list(factors)})
+def pivots_of(alike: DataFrame) -> dict[int, np.ndarray]:
+    """By length the rotated pivots: of all different vectors (key, vec) the PIVOTS with the smallest hashes of their keys, each followed by the nearest of those left."""
+    by: dict[int, list] = {}
+    for r in alike.select("vec", F.xxhash64("key").alias("h")).orderBy("h").limit(PIVOTS).collect():
+        by.setdefault(len(r.vec), []).append(r.vec)
+    return {d: _chained(turned(np.array(v, float))) for d, v in by.items()}
+
+
+def _chained(vectors: np.ndarray) -> np.ndarray:
+    order, near = [0], vectors @ vectors.T
+    while len(order) < len(vectors):
+        near[:, order[-1]] = -np.inf
+        order.append(int(near[order[-1]].argmax()))
+    return vectors[order]
+
+
+def _coded(pivots: dict[int, np.ndarray]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, part in batch.groupby(batch["vec"].map(len)):
+                code, steps, fine, factors = encode(np.stack(part["vec"].to_list()).astype(float))
+                side = (fine.astype(np.float32) @ pivots[d].T).argmax(1) if d in pivots else 0
+                yield pd.DataFrame({"key": part["key"], "d": d, "side": side, "code": list(code), "steps": list(steps.reshape(len(part), -1)), "fine": [x.tobytes() for x in fine], "factors": list(factors)})
+
+    return run
+
+
+def _between(pivots: dict[int, np.ndarray]):
+    """(d, cell, low, high): the least and the largest angle to each pivot that vectors of a cell can have, by their bytes and what these round off."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                cell = _Cell(row.keys, row.code, row.steps, row.fine, row.factors)
+                if row.d in pivots:
+                    near, off = cell.near.astype(float) @ pivots[row.d].T, cell.factors[:, 6:7] + SLACK
+                    low, high = (np.arccos(np.clip(near + s * off, -1, 1)) for s in (1, -1))
+                    rows.append((row.d, row.cell, low.min(0), high.max(0)))
+                else:
+                    rows.append((row.d, row.cell, [], []))
+            yield pd.DataFrame(rows, columns=["d", "cell", "low", "high"])
+
+    return run
 
 
 class _Cell:
@@ -214,10 +256,20 @@ def _exact_cells(least: float):
     return run
 
 
+def near_cells(cells: DataFrame, between: DataFrame, least: float) -> DataFrame:
+    """Pairs (d, cell_a, cell_b), a cell with itself too, but those whose vectors are all further apart than a cosine of `least` allows."""
+    gap = float(np.arccos(least)) + SLACK
+    side = lambda s: between.select("d", *(F.col(c).alias(f"{c}_{s}") for c in ("cell", "low", "high")))
+    pairs = cells.select("d", F.col("cell").alias("cell_a"), F.explode(F.sequence(F.col("cell"), F.col("n_cells") - 1)).alias("cell_b"))
+    pairs = pairs.join(side("a"), ["d", "cell_a"]).join(side("b"), ["d", "cell_b"])
+    apart = lambda x, y: F.exists(F.zip_with(f"low_{x}", f"high_{y}", lambda lo, hi: lo - hi > gap), lambda far: far)
+    return pairs.filter(~(apart("a", "b") | apart("b", "a"))).select("d", "cell_a", "cell_b")
+
+
 def _dealt(coded: DataFrame, tasks: int) -> DataFrame:
     """coded with cell and n_cells: of vectors of one length in order of their sides, cells of about as many rows as make twice as many pairs of cells as tasks, within bounds."""
     per_side = coded.groupBy("d", "side").agg(F.count("*").alias("n_side"))
-    order = Window.partitionBy("d").orderBy("side")  # of one length, at most four rows for each component
+    order = Window.partitionBy("d").orderBy("side")  # of one length, a row for each pivot
     per_side = per_side.withColumn("before", F.sum("n_side").over(order) - F.col("n_side")).withColumn("of", F.sum("n_side").over(Window.partitionBy("d")))
     rows = F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.ceil(F.col("of") / F.ceil(F.sqrt(F.lit(4.0 * tasks))))))
     per_side = per_side.withColumn("rows", rows).withColumn("n_cells", F.ceil(F.col("of") / F.col("rows")))
@@ -239,8 +291,8 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     Vectors of different lengths do not link. An empty table gives none. Equal vectors are one, with their number.
 
     Without eps the confidence bound is the certain one, and no link is lost. With it, each link is lost with a chance of
-    about exp(-eps^2 / 2), and fewer pairs are computed again. All pairs of cells meet, a vector's code, of some 160 bytes
-    at 64 components, travels once for each cell, and pairs of ids are sent on for at most DENSE times a cell's rows.
+    about exp(-eps^2 / 2), and fewer pairs are computed again. Pairs of cells that are too far apart for a
+    link do not meet. A vector's code, bytes and factors, some 160 bytes at 64 components, travel once for each cell that its own meets, and pairs of ids are sent on for at most DENSE times a cell's rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     vec = F.col("embedding").cast("array<double>")
@@ -248,13 +300,15 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     rows = vectors.select("vec_id", F.when(fine & F.col("vec_id").isNotNull(), vec).alias("vec"))
     alike = rows.filter("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("id"))
     alike = scratch.keep(alike.withColumn("key", F.monotonically_increasing_id()), "alike")
-    coded = scratch.keep(alike.select("key", "vec").mapInPandas(_coded, CODED), "coded")
+    pivots = pivots_of(alike)
+    coded = scratch.keep(alike.select("key", "vec").mapInPandas(_coded(pivots), CODED), "coded")
     dealt = scratch.keep(_dealt(coded, shuffle_partitions(spark)), "dealt")
     cells = dealt.groupBy("d", "cell").agg(F.first("n_cells").alias("n_cells"), F.collect_list(F.struct("key", "code", "steps", "fine", "factors")).alias("rows"))
     cells = cells.select("d", "cell", "n_cells", F.col("rows.key").alias("keys"), F.col("rows.fine").alias("fine"), *(F.flatten(f"rows.{c}").alias(c) for c in ("code", "steps", "factors")))
     cells = scratch.keep(cells, "cells")
 
-    pairs = cells.select("d", F.col("cell").alias("cell_a"), F.explode(F.sequence(F.col("cell"), F.col("n_cells") - 1)).alias("cell_b"))
+    between = scratch.keep(cells.mapInPandas(_between(pivots), "d int, cell long, low array<double>, high array<double>"), "between")
+    pairs = scratch.keep(near_cells(cells, between, least), "pairs")
     work = _sides(pairs, cells, ["keys", "code", "steps", "fine", "factors"])
     undecided_ = scratch.keep(work.mapInPandas(_compared(least, eps), FOUND), "undecided")
 
@@ -268,7 +322,7 @@ def near_copies(vectors: DataFrame, least: float = 0.9, eps: float | None = None
     whole = scratch.keep(whole.select("d", "cell", F.col("rows.key").alias("keys"), F.col("rows.n").alias("n"), F.flatten("rows.vec").alias("vec")), "whole")
     links = _sides(dense, whole, ["keys", "n", "vec"]).mapInPandas(_exact_cells(least), "a long, b long, links long")
     found = scratch.keep(found.union(links), "found")
-    scratch.drop(coded, dealt, cells, undecided_, whole)
+    scratch.drop(coded, dealt, cells, between, pairs, undecided_, whole)
 
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     parts = components(found.select("a", "b"), scratch).withColumnRenamed("id", "key")

@@ -85,3 +85,27 @@ def test_ids_of_any_type(spark):
     rows = [("x9", [1.0, 0.0]), ("x10", [1.0, 0.1]), ("y", [0.0, 1.0]), ("x9", [2.0, 0.0])]
     found = rabitq.near_copies(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
     assert sorted(map(tuple, found.collect())) == [("x10", 2, "x10", True), ("x9", 2, "x10", False), ("x9", 2, "x10", False), ("y", 0, "y", True)]
+
+
+def test_cells_that_are_too_far_apart_do_not_meet(spark, monkeypatch):
+    """Groups of vectors: links are those of brute force, and few pairs of cells are left; with vectors of two lengths."""
+    for name in ("LEAST_ROWS", "MOST_ROWS"):
+        monkeypatch.setattr(rabitq, name, 20)
+    monkeypatch.setattr(rabitq, "PIVOTS", 40)
+    rng, left = np.random.default_rng(8), []
+    centres = rng.standard_normal((12, 32))
+    vectors = centres[rng.integers(0, 12, 480)] + 0.25 * rng.standard_normal((480, 32))
+    near_cells = rabitq.near_cells
+
+    def counted(cells, between, least):
+        pairs = near_cells(cells, between, least)
+        left.append((pairs.count(), cells.filter("d = 32").count()))
+        return pairs
+
+    monkeypatch.setattr(rabitq, "near_cells", counted)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    found = {r.vec_id: r.n_links for r in rabitq.near_copies(table(spark, [*vectors, [1.0, 0.0], [2.0, 0.1]], "array<double>")).collect()}
+    assert found == dict(enumerate(links)) | {480: 1, 481: 1} and links.max() > 5
+    pairs, cells = left[0]
+    assert cells >= 24 and pairs < 0.5 * cells * (cells + 1) / 2
