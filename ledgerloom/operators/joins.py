@@ -68,7 +68,12 @@ def dual_key_sum_join(df: DataFrame, by_id: DataFrame, by_name: DataFrame, dedup
 
 
 def map_dimension(df: DataFrame, key: str, mapping: dict[str, str], default: str, out: str) -> DataFrame:
-    """df with the value that a small, given mapping has for a key, else the default."""
+    """df with the value that a small, given mapping has for a key, else the default.
+
+    The mapping becomes literals of the plan: for some dozens of codes. ValueError beyond 1,000, which are a table to join.
+    """
+    if len(mapping) > 1000:
+        raise ValueError("a mapping of so many keys is a table: join it")
     pairs = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
     return df.withColumn(out, F.coalesce(F.try_element_at(pairs, F.col(key)), F.lit(default)))
 
