@@ -18,6 +18,8 @@ from ledgerloom.sources.publish import write_outbox
 
 #: How long an id is remembered after it has been seen for the last time.
 KEEP_DAYS = 90
+#: Parts of the state, by hashes of ids.
+BUCKETS = 64
 #: What queries that keep state by key are started with. Batches without rows, which would only sweep expired keys, would never end.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -26,40 +28,51 @@ SETTINGS = {
 
 
 class Once(StatefulProcessor):
-    """The first row of each key, by a column, nulls before all; of later batches none for as long as the key keeps coming."""
+    """Of each bucket of keys the rows whose key it doesn't know: of each key the first by a column, nulls before all.
+
+    The state of a bucket is its keys with the time they were seen last, read and written once a batch; a call for each key would
+    take longer than all else."""
 
     def __init__(self, by: str, columns: list[str], keep_ms: int):
         self.by, self.columns, self.keep_ms = by, columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "at long", self.keep_ms)
+        self.seen = handle.getValueState("seen", "keys array<string>, at array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, first = self.sent.exists(), None
+        now, known, first = timerValues.getCurrentProcessingTimeInMs(), {}, None
+        if self.seen.exists():
+            known = {k: at for k, at in zip(*self.seen.get()) if at >= now - self.keep_ms}
+        here: set[str] = set()
         for batch in rows:
-            if not known:
-                first = batch if first is None else pd.concat([first, batch])
-                first = first.sort_values(self.by, na_position="first", kind="stable").head(1)
-        self.sent.update((timerValues.getCurrentProcessingTimeInMs(),))
-        if first is not None:
+            here.update(batch["key"])
+            new = batch[~batch["key"].isin(known)]
+            first = new if first is None else pd.concat([first, new])
+            first = first.sort_values(self.by, na_position="first", kind="stable").drop_duplicates("key")
+        known |= dict.fromkeys(here, now)
+        self.seen.update((list(known), list(known.values())))
+        if first is not None and len(first):
             yield first[self.columns]
 
     def close(self) -> None:
         pass
 
 
-def once(df: DataFrame, key: str, by: str, keep_days: int = KEEP_DAYS) -> DataFrame:
+def once(df: DataFrame, key: str, by: str, keep_days: int = KEEP_DAYS, buckets: int = BUCKETS) -> DataFrame:
     """Each key of a stream once, however late it comes: the row with the least `by`, those without a time before all.
 
     A key is remembered by its value for keep_days after it was seen last, in processing time, so state follows what is polled and not all
-    that ever was. Rows without a key are told apart by all that they hold. The sinks below start queries with the settings that this state needs.
+    that ever was. Keys are dealt to buckets by hash, whose number a checkpoint holds on to; a task holds the keys of one, so there should
+    be one for each million keys that are remembered. Rows without a key are told apart by all that they hold. The sinks
+    below start queries with the settings that this state needs.
     """
     # the columns go by numbers meanwhile, since names that begin with an underscore get lost on the way to Python
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     whole = F.concat(F.lit("-"), F.sha2(F.to_json(F.struct(*plain.columns)), 256))
     keyed = plain.withColumn("key", F.coalesce(F.concat(F.lit("+"), F.col(f"c{df.columns.index(key)}").cast("string")), whole))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     processor = Once(f"c{df.columns.index(by)}", plain.columns, keep_days * 24 * 3600 * 1000)
-    first = keyed.groupBy("key").transformWithStateInPandas(processor, outputStructType=plain.schema, outputMode="Append", timeMode="ProcessingTime")
+    first = keyed.groupBy("bucket").transformWithStateInPandas(processor, outputStructType=plain.schema, outputMode="Append", timeMode="ProcessingTime")
     return first.toDF(*df.columns)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,40 @@ def test_a_batch_run_again_keeps_its_order(spark):
     path = new_path(spark, "outbox")
     publish.write_outbox(ranking.numbered(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y")], "recipient string, ts int, text string"), F.asc("ts"), name="seq"), path, 0)
     assert [r.text for r in publish.read_outbox(spark, path).orderBy("seq").collect()] == ["y", "x"]
+
+
+class Held:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_keys_are_forgotten_after_they_were_last_seen():
+    once = feeds.Once("t", ["k", "t"], keep_ms=100)
+    once.seen = Held()
+
+    def run(ms, *batches):
+        frames = [pd.DataFrame({"key": [k for k, _ in b], "k": [k for k, _ in b], "t": [t for _, t in b]}) for b in batches]
+        return [tuple(r) for out in once.handleInputRows((0,), iter(frames), At(ms)) for r in out.itertuples(index=False)]
+
+    assert run(0, [("a", 5.0), ("b", 2.0)], [("a", 3.0), ("c", 1.0)]) == [("c", 1.0), ("b", 2.0), ("a", 3.0)]
+    assert run(90, [("a", 3.0), ("d", 1.0)]) == [("d", 1.0)]
+    assert run(150, [("a", 3.0), ("b", 2.0)]) == [("b", 2.0)]  # a was seen again at 90, b was not
+    assert set(once.seen.get()[0]) == {"a", "b", "d"}
+    assert run(1000, []) == [] and once.seen.get() == ([], [])
