@@ -130,3 +130,35 @@ def test_ids_of_any_type(spark):
     found = {r.doc_id: r.component_id for r in simhash.groups(docs, radius=0).collect()}
     assert found == {"b-10": "b-10", "b-9": "b-10", "a-x": "a-x", "c": "c", "d": "c", "e": "e", None: None}
     assert sorted(str(r.doc_id) for r in simhash.near_copies_out(docs).collect()) == ["None", "a-x", "c", "e"]
+
+
+def test_recall_by_kind_of_edit(spark):
+    """Copies of the driver's own documents, edited in five ways to similarities of 0.8 to 1: every one of some hundreds goes."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rng, rows, due = np.random.default_rng(6), [], {}
+    words = [t.split() for t in texts if t and 60 <= len(t.split()) <= 1500]
+    some = [words[k] for k in rng.permutation(len(words))[:60]]
+    for w in some:
+        rows.append((len(rows), " ".join(w)))
+        base, n = len(rows) - 1, len(w)
+        for kind in ("replaced", "inserted", "deleted", "cut", "moved"):
+            for share in (0.03, 0.08, 0.15):
+                own, k = list(w), max(1, int(share * n / 5))
+                if kind in ("replaced", "inserted"):
+                    for at in rng.choice(n, k, replace=False):
+                        own[at] = f"new{at}" if kind == "replaced" else f"{own[at]} new{at}"
+                elif kind == "deleted":
+                    own = [x for at, x in enumerate(w) if at not in set(rng.choice(n, k, replace=False).tolist())]
+                elif kind == "cut":
+                    own = own[: n - int(share * n)]
+                else:
+                    at, size = int(rng.integers(0, n // 2)), n // 4
+                    own = own[:at] + own[at + size :] + own[at : at + size]
+                a, b = (set(runs_of(" ".join(x), 5)) for x in (w, own))
+                if 0.8 <= len(a & b) / len(a | b) < 1:
+                    due[len(rows)] = (kind, base)
+                    rows.append((len(rows), " ".join(own)))
+    kept = {r.doc_id for r in simhash.near_copies_out(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id").collect()}
+    assert len(due) >= 400 and {k for k, _ in due.values()} == {"replaced", "inserted", "deleted", "cut", "moved"}
+    missed = [(kind, k) for k, (kind, _) in due.items() if k in kept]
+    assert not missed
