@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from ledgerloom.llm import repeats
 
@@ -55,6 +58,22 @@ def test_tiles_give_the_same_anchors(monkeypatch):
     assert all(((whole[0] >= p) & (whole[0] < p + 256)).any() for p in range(len(raw) - 399))
 
 
+def test_memory_does_not_follow_the_size_of_batches():
+    """A worker holds the members of some texts, not those of a whole batch."""
+    rng = np.random.default_rng(3)
+    n = 4 * repeats.TEXTS_AT_ONCE
+    packed = [zstandard.compress(rng.integers(97, 123, 2000, dtype=np.uint8).tobytes()) for _ in range(n)]
+    batch = pd.DataFrame({"part": 7, "row": np.arange(n, dtype=np.int32), "packed": packed})
+    members, peaks = repeats._members(200, 128), []
+    for size in (repeats.TEXTS_AT_ONCE, n):
+        tracemalloc.start()
+        found = [(m["row"].nunique(), len(m)) for m in members(iter([batch[:size]]))]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert max(rows for rows, _ in found) <= repeats.TEXTS_AT_ONCE and sum(rows for rows, _ in found) == size
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_empty_table_and_short_length(no_docs):
     assert repeats.without_repeats(no_docs).count() == 0
     with pytest.raises(ValueError):
