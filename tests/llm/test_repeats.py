@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 import zstandard
 
-from ledgerloom.llm import repeats
+from ledgerloom.llm import queries, repeats
+from ledgerloom.workspace import new_path
 
 
 def brute(raws, length):
@@ -80,6 +81,25 @@ def test_empty_table_and_short_length(no_docs):
         repeats.without_repeats(no_docs, 10)
 
 
+def test_query_tells_what_is_left(spark):
+    """Passages of over 50 words in two documents go, and texts without any stay as they are, of ASCII letters alone or not."""
+    rng = random.Random(4)
+    prose = lambda n, letters: " ".join("".join(rng.choices(letters, k=rng.randint(6, 10))) for _ in range(n))
+    passages = [prose(60, "abcdefgh"), prose(60, "abcdéfgü")]
+    clean = [prose(80, "abcdefgh"), prose(80, "abcdéfgü"), None, ""]
+    ends = [(prose(9, "ijkl"), prose(9, "mnop")) for _ in range(4)]
+    rows = [f"{a} {k} {passages[k % 2]} {k} {b}" for k, (a, b) in enumerate(ends)] + clean
+    folder = new_path(spark, "tables")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = queries.QUERIES["op3_repeated_strings"](spark, folder)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    found = sorted(found.collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found] == brute([(t or "").encode() for t in rows], 400)
+    assert [r.text for r in found[4:]] == [t or "" for t in clean] and not any(r.n_removed for r in found[4:])
+    assert [r.text for r in found[:4]] == [f"{a} {k}{k} {b}" for k, (a, b) in enumerate(ends)]
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and r.n_bytes - r.n_removed == len(r.text.encode()) for r in found)
+
+
 def test_columns_with_the_names_in_use_stay(spark):
     more = ["part", "row", "packed", "pos", "node", "core", "start", "stop", "c0", "a.b"]
     text = "0123456789abcdefghijklmnopqrstuvwxyz" * 3
