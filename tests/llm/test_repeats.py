@@ -9,6 +9,7 @@ import pytest
 import zstandard
 
 from ledgerloom.llm import queries, repeats
+from ledgerloom.llm.scratch import Scratch
 from ledgerloom.workspace import new_path
 
 
@@ -100,6 +101,31 @@ def test_query_tells_what_is_left(spark):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and r.n_bytes - r.n_removed == len(r.text.encode()) for r in found)
 
 
+def test_core_in_very_many_hulls_is_dealt_out(spark):
+    """A core with very many classes is split among tasks, and its members stay open like those of others."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "files.maxPartitionBytes": "16k", "files.openCostInBytes": "1k", "shuffle.partitions": "8", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before, plans = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}, {}
+
+    class Watched(Scratch):
+        def keep(self, df, name):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().keep(df, name)
+
+    many, few = 20_000, 2_000
+    rows = pd.DataFrame({"part": 0, "row": 0, "pos": range(many + few), "node": 0, "core": [7] * many + [8 + k // 2 for k in range(few)], "hull": range(many + few), "whole": True})
+    rows.loc[1, "hull"] = 0
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        spans, still = repeats._resolve(spark.createDataFrame(rows, repeats.MEMBER).repartition(8), 256, 400, Watched(spark))
+        assert "skew=true" in plans["open"]
+        assert spans.count() == 2 and still.count() == many + few - 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_columns_with_the_names_in_use_stay(spark):
     more = ["part", "row", "packed", "pos", "node", "core", "start", "stop", "c0", "a.b"]
     text = "0123456789abcdefghijklmnopqrstuvwxyz" * 3
